@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact, mixing, packing
+from . import exact, langid, mixing, packing, repetition, secret_scan
 from .common import documents
 
 
@@ -26,10 +27,29 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=1024)
 
 
+def op4_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(documents(spark, sf_dir))
+
+
+def language_model(spark: SparkSession, docs: DataFrame) -> langid.Model:
+    """Learned from text and language of the documents outside the held-out fold."""
+    return langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, language_model(spark, docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, sf_dir))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.0, max_epochs=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,7 +57,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_suffix_repetition": op4_suffix_repetition,
+    "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op10_mixing": op10_mixing,
 }
 
