@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, mixing, packing, repetition, secret_scan
+from . import exact, langid, licenses, mixing, packing, repetition, secret_scan
 from .common import documents
 
 
@@ -50,6 +50,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(documents(spark, sf_dir)))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.0, max_epochs=3)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -61,10 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_license_scan": op8_license_scan,
     "op10_mixing": op10_mixing,
 }
 
 SQL: dict[str, str] = {
     "op6_exact_dedup": exact.SQL,
+    "op8_license_scan": licenses.oracle(),
     "op10_mixing": mixing.SQL,
 }
