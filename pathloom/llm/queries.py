@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, licenses, mixing, packing, repetition, secret_scan
+from . import exact, langid, licenses, mixing, packing, repetition, secret_scan, simhash
 from .common import documents
 
 
@@ -27,6 +27,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, capacity=1024)
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, threshold=3, seed=42)
+
+
 def op4_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(documents(spark, sf_dir))
 
@@ -61,6 +65,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_suffix_repetition": op4_suffix_repetition,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
