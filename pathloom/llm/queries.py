@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, langid, licenses, mixing, packing, repetition, secret_scan, simhash, suffix
+from . import exact, langid, licenses, mixing, packing, repetition, secret_scan, simhash, suffix, warc
 from .common import documents
 
 
@@ -22,6 +22,19 @@ def tokenizer_files(json_name: str = "byte_bpe_50k.json", ranks_name: str = "byt
     }
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    made = warc.derive(warc.responses(pages), "page_id")
+    return made.select(
+        "page_id", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type",
+        F.element_at("headers", "WARC-Source-Block-Digest").alias("source_block_digest"),
+        F.element_at("headers", "WARC-Source-Payload-Digest").alias("source_payload_digest"),
+        F.element_at("headers", "WARC-Block-Digest").alias("block_digest"),
+        F.length("block").cast("long").alias("content_length"),
+        F.col("block").cast("string").alias("content"),
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize(documents(spark, sf_dir), **tokenizer_files(), capacity=1024, end_id=2)
     return packing.pack(pieces, capacity=1024)
@@ -68,6 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_derivatives": op1_warc_derivatives,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_suffix_repetition": op4_suffix_repetition,
