@@ -2,53 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ..functions.storage import checkpointed, shared_dir, shuffle_width, written
+
+__all__ = ["checkpointed", "discard", "documents", "shared_dir", "shuffle_width", "written"]
 
 #: White space as every contract counts it; a word is a run of anything else.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only where nothing is set (tests on one machine) a temporary folder takes its place.
-    """
-    sc = spark.sparkContext._jsc.sc()
-    if sc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pathloom-")
-        )
-    return sc.getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared folder, without its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
 
-def lower_ascii(text: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(text, UPPER, LOWER)
+def discard(table: DataFrame) -> None:
+    """Removes a written() table that nothing will read again."""
+    files = table.inputFiles()
+    if files:
+        sc = table.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

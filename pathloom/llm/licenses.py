@@ -32,10 +32,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, written
+from .common import written
 
 #: Words as the contract has them, on text with A-Z lower-cased.
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same characters listed, not excluded: Java's matcher takes a tenth of the time for that.
+_JAVA_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 
 # Phrases whose places are the base, and their labels.
 PHRASES = {
@@ -67,7 +69,15 @@ TEMPLATES = (
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(LICENSE_WORD), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_JAVA_WORD), F.lit(0))
+
+
+def _matchable(text: Column) -> Column:
+    """Lower-cased for comparison with ASCII words. lower() also changes other letters, which no phrase or template
+    has; the two that would become ASCII (Kelvin sign, dotted capital I) are put out of the way first. Word
+    ends stay where they are, since letters beyond ASCII stay beyond it."""
+    apart = F.replace(F.replace(text, F.lit("\u212a"), F.lit("\u00f8")), F.lit("\u0130"), F.lit("\u00f8"))
+    return F.lower(apart)
 
 
 def _literal(values: list[str]) -> Column:
@@ -123,11 +133,11 @@ def license_scan(
     vocabulary = sorted({w for t in table for w in t["words"]} | phrase_words)
     least = min(t["need"] for t in table)
 
-    lower = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    lower = _matchable(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), lower.alias("lower"))
     lines = lines.withColumn("lines", F.transform(F.split("lower", "\n"), _words))
-    wanted = _literal(vocabulary)
-    held = F.filter(F.transform("lines", lambda x: F.array_intersect(x, wanted)), lambda x: F.size(x) > 0)
+    held = F.transform("lines", lambda x: F.array_distinct(F.filter(x, lambda w: w.isin(vocabulary))))
+    held = F.filter(held, lambda x: F.size(x) > 0)
     lines = lines.select(
         "row", "id", "lines",
         F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("n_words"),

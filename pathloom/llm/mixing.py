@@ -13,8 +13,9 @@ that holds it is ordered, so no source, however large, comes together in a task.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; words are shared
 among sources by size alone, so a source without words gets nothing; rows that repeat an id are ordered
-by size and text digest (identical rows are alike, either may come first); an empty table gives an empty
-result; further columns are kept unless named as one of the four results, which replace them.
+by size (identical rows are alike, either may come first); an empty table gives an empty
+result; columns other than id, text and source are ignored (repeated() keeps them; rows that share an id come as
+often as the one of them that comes most).
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from .common import WORD_CLASS, checkpointed, written
 
 #: Hash ranges that a source is cut into before one of them is ordered.
@@ -32,26 +34,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD_CLASS), F.lit(0))), F.lit(0)).cast("long")
 
 
-def ranked(sources: DataFrame, by: str) -> DataFrame:
-    """sources with rank (from 0) by code point, null last: range partitions are numbered within, and
-    the sizes of the ranges before are added (a row a partition, so bounded by their number)."""
-    order = F.col(by).asc_nulls_last()
-    dealt = checkpointed(sources.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
-    before = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(order)) - 1
-    return (
-        dealt.withColumn("_within", within)
-        .join(F.broadcast(before), "_range")
-        .withColumn("rank", F.coalesce("_before", F.lit(0)) + F.col("_within"))
-        .drop("_range", "_n", "_before", "_within")
-    )
-
-
 def fill_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, max_epochs: int = 3) -> DataFrame:
     """sizes (source, source_size) with weight and target. Weights repeat over the sources' order."""
     cycle = F.array(*[F.lit(int(w)) for w in weights])
-    table = ranked(sizes, "source").withColumn("weight", F.get(cycle, (F.col("rank") % len(weights)).cast("int")))
+    table = numbered(sizes, [F.col("source").asc_nulls_last()], "rank").withColumn("weight", F.get(cycle, (F.col("rank") % len(weights)).cast("int")))
     table = checkpointed(table.withColumn("cap", F.col("source_size") * max_epochs))
     wanted = share * (table.agg(F.sum("source_size")).first()[0] or 0)
     wanted = int(wanted) if float(wanted).is_integer() else wanted

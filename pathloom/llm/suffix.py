@@ -36,10 +36,10 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, written
+from .common import discard, shuffle_width, written
 
 GRAM = 32
 #: Texts are worked on in buffers of at most so many bytes (positions have 24 bits).
@@ -304,22 +304,30 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchor_hashes(docs: DataFrame, least: int, common: np.ndarray) -> DataFrame:
-    """doc, key and the hashes of its anchors' grams."""
-    schema = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    """For each text a mark (hash of doc and key; texts that share one only get marks too many), the hashes of its
+    anchors' grams without the common ones, and whether it has common ones."""
+    schema = pa.schema([("mark", pa.int64()), ("hashes", pa.list_(pa.int64())), ("common", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = _flat(batch.column(2))
             for piece, ends, rows, _ in _buffers(data, offsets, least):
                 hashes, place, _, _ = anchors(piece, ends, least, common)
-                counts = np.bincount(np.searchsorted(ends, place, side="right"), minlength=len(ends))
+                text = np.searchsorted(ends, place, side="right")
+                often = _marked(hashes, common) if len(common) else np.zeros(len(hashes), bool)
+                has_common = np.bincount(text[often], minlength=len(ends)) > 0
+                counts = np.bincount(text[~often], minlength=len(ends))
                 bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                some = np.flatnonzero(counts)
-                values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes.view(np.int64)))
-                took = pa.array(rows[some])
-                yield pa.record_batch([batch.column(0).take(took), batch.column(1).take(took), values.take(pa.array(some))], schema=schema)
+                some = np.flatnonzero((counts > 0) | has_common)
+                values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes[~often].view(np.int64)))
+                yield pa.record_batch([batch.column(0).take(pa.array(rows[some])), values.take(pa.array(some)), pa.array(has_common[some])], schema=schema)
+
+    texts = docs.filter(F.length("data") >= least).select(_mark(), F.col("key"), F.col("data"))
+    return texts.mapInArrow(run, "mark long, hashes array<long>, common boolean")
+
 
-    return docs.select("doc", "key", "data").filter(F.length("data") >= least).mapInArrow(run, "doc long, key long, hashes array<long>")
+def _mark() -> Column:
+    return F.xxhash64("doc", "key").alias("mark")
 
 
 def _counted(table: DataFrame) -> DataFrame:
@@ -357,11 +365,14 @@ def _sorted_runs(docs: DataFrame, marks: DataFrame, least: int, common: np.ndarr
                 hashes, place, first, last = anchors(piece, ends, least, common)
                 text = np.searchsorted(ends, place, side="right")
                 mine = np.unique(wanted[wanted_ends[rows[0]] : wanted_ends[rows[-1] + 1]])
-                use = np.flatnonzero(_marked(hashes, mine)) if len(mine) else []
+                use = np.zeros(len(hashes), bool)
+                for known in (mine, common):
+                    if len(known):
+                        use |= _marked(hashes, known)
                 raw = piece.tobytes()
                 begins = np.concatenate([[0], ends[:-1]])
                 owner = (hashes % np.uint64(owners)).astype(np.int64)
-                for i in use:
+                for i in np.flatnonzero(use):
                     p, a, b = int(place[i]), int(first[i]), int(last[i]) + least
                     t = int(text[i])
                     moved = int(shift[t]) - int(begins[t])
@@ -378,7 +389,7 @@ def _sorted_runs(docs: DataFrame, marks: DataFrame, least: int, common: np.ndarr
                     yield from flush(contexts, spans)
         yield from flush(contexts, spans)
 
-    joined = docs.join(marks, (docs["doc"] == marks["m_doc"]) & (docs["key"] == marks["m_key"])).select("doc", "key", "data", "hashes")
+    joined = docs.join(marks, F.xxhash64("doc", "key") == marks["mark"]).select("doc", "key", "data", "hashes")
     return joined.mapInArrow(run, "owner int, run binary, doc long, key long, spans array<long>")
 
 
@@ -393,10 +404,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = _counted(table).filter(F.col("n") > max(very_common, total // most_common)).select("hash").collect()
     common = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
     if len(common):
+        discard(table)
         table = written(_anchor_hashes(keyed, least, common), "suffix-anchors-anew")
     twice = _counted(table).filter("n > 1").select(F.col("hash").alias("twin"))
-    exploded = table.select("doc", "key", F.explode("hashes").alias("hash"))
-    marks = exploded.join(twice, exploded["hash"] == twice["twin"]).groupBy(F.col("doc").alias("m_doc"), F.col("key").alias("m_key")).agg(F.collect_set("hash").alias("hashes"))
+    exploded = table.select("mark", F.explode("hashes").alias("hash"))
+    twins = exploded.join(twice, exploded["hash"] == twice["twin"]).select("mark", "hash")
+    # common grams are known to every task; a text that has some is looked at, whatever else it has
+    also = table.filter("common").select("mark", F.lit(None).cast("long").alias("hash"))
+    marks = twins.unionByName(also).groupBy("mark").agg(F.collect_set("hash").alias("hashes"))
     owners = max(shuffle_width(docs.sparkSession), total // 500_000)
     runs = _sorted_runs(keyed, marks, least, common, owners, run_entries)
 
