@@ -178,7 +178,9 @@ def segment_index(texts: list[bytes], wanted: np.ndarray) -> dict[int, np.ndarra
     ends = np.cumsum([len(t) + 1 for t in texts])
     pairs = np.unique(codes[at].astype(np.int64) << 32 | np.searchsorted(ends, at, side="right"))
     codes_at, first = np.unique(pairs >> 32, return_index=True)
-    return dict(zip(codes_at.tolist(), np.split(pairs & 0xFFFFFFFF, first[1:]), strict=True))
+    bounds = [*first.tolist(), len(pairs)]
+    numbers = pairs & 0xFFFFFFFF
+    return {code: numbers[a:b] for code, a, b in zip(codes_at.tolist(), bounds, bounds[1:], strict=False)}
 
 
 def candidates(query: object, index: dict[int, np.ndarray], n: int) -> np.ndarray:
