@@ -187,7 +187,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = 50_000
     """pieces with sequence_id and offset. partition_pieces bounds what one task packs; a partition's
     memory does not depend on the input. Rounds end once one gains nothing or the pool fits one partition."""
     spark = pieces.sparkSession
-    payload = [c for c in pieces.columns if c != "part"]
+    payload = [c for c in pieces.columns if c not in ("part", "sequence_id", *_PACKED.names)]
     pool = checkpointed(pieces.select(*payload))
     n = pool.count()
     parts = max(1, min(shuffle_width(spark), -(-n // 1000)), math.ceil(n / partition_pieces))

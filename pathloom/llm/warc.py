@@ -60,7 +60,7 @@ _CHARSET = re.compile(r"""charset\s*=\s*["']?([\w.:-]+)""", re.I)
 
 def page_text(page: str) -> str:
     """The text of a page: no markup, hidden elements or comments; a line for each block; entities decoded."""
-    text = _TAGS.sub("", _BREAKS.sub("\n", _UNSEEN.sub(" ", page)))
+    text = _TAGS.sub("", _BREAKS.sub("\n", _UNSEEN.sub("", page)))
     if "&" in text:
         text = html.unescape(text)
     return _EMPTY_LINES.sub("\n", _BLANKS.sub(" ", text)).strip()
