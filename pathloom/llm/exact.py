@@ -87,10 +87,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(id_col, "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the later copies of a text, all columns as they were."""
-    verdict = exact_dedup(docs, id_col, text_col).filter("kept").select(id_col).distinct()
-    return docs.join(verdict, docs[id_col].eqNullSafe(verdict[id_col]), "left_semi")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 16_384, max_depth: int = 16) -> DataFrame:
+    """docs without the later copies of a text, all columns as they were. Rows look themselves up in the index, so
+    rows that share an id but not a text are judged one by one."""
+    index = build_index(docs, id_col, text_col, capacity, max_depth)
+    index = index.select(F.col("hash").alias("_x_hash"), F.col("text_sha256").alias("_x_sha"), F.col("keep_id").alias("_x_keep"))
+    norm = normalised(F.col(text_col))
+    probes = docs.withColumn("_hash", F.xxhash64(norm)).withColumn("_sha", F.sha2(norm, 256))
+    mine = (F.col("_hash") == F.col("_x_hash")) & (F.col("_sha") == F.col("_x_sha")) & F.col(id_col).eqNullSafe(F.col("_x_keep"))
+    return probes.join(index, mine, "left_semi").select(*docs.columns)
 
 
 SQL = r"""
