@@ -14,6 +14,7 @@ from ..operators import graphs as gr
 from ..operators import judging as jd
 from ..operators import metrics as mt
 from ..operators import ngrams as ng
+from ..operators import reports as rp
 from ..sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -670,6 +671,135 @@ def evidence_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.groupBy("vec_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("evidence"))
 
 
+# --- reports ---------------------------------------------------------------------------------------------
+
+_DETECTED = """WITH dr AS (
+  SELECT doc_id, toxic AS y, CASE WHEN doc_id % 6 = 0 THEN 1 - toxic ELSE toxic END AS p, CASE WHEN doc_id % 5 = 0 THEN 'failed' WHEN doc_id % 5 = 1 THEN 'skipped' ELSE 'completed' END AS st FROM labels
+)"""
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, y = F.col("doc_id"), F.col("toxic")
+    p = F.when(d % 6 == 0, 1 - y).otherwise(y)
+    name = F.concat(F.lit("bin"), d.cast("string"))
+    status = F.when(d % 5 == 0, "failed").when(d % 5 == 1, "skipped").otherwise("completed")
+    feature = F.struct(F.lit(1).alias("feature_id"), F.lit("a b").alias("ngram"), F.lit(0.5).alias("value"), F.lit(0.25).alias("shap_value"))
+    return fx.table(spark, sf_dir, "labels").select(
+        "doc_id",
+        F.struct(name.alias("binary_name"), F.concat(name, F.lit(".json")).alias("source_name"), F.concat(F.lit("d/"), name).alias("source_path"), F.lit("test").alias("split"), F.floor(d / 100).cast("int").alias("batch_number"), (d % 100).cast("int").alias("row_index_in_batch"), y.alias("actual_label"), F.when(y == 1, "cryptojacking").otherwise("benign").alias("actual_class")).alias("sample"),
+        F.struct(F.lit(2).alias("ngram_size"), (p * 0.5 + 0.25).alias("malware_probability"), p.alias("predicted_class"), F.when(p == 1, "cryptojacking").otherwise("benign").alias("predicted_class_name")).alias("random_forest"),
+        F.struct(F.lit(20).alias("top_feature_limit"), F.array(feature).alias("top_features"), F.when(d % 9 == 0, "failed").otherwise("completed").alias("status"), F.when(d % 9 == 0, "no explainer").alias("error")).alias("shap"),
+        F.struct(status.alias("status"), F.struct(F.when(status == "completed", "benign").alias("tier"), F.lit(None).cast("string").alias("explanation"), F.lit(0.5).alias("confidence_score")).alias("analysis"), F.when(status == "failed", "timeout").alias("error"), F.struct((d % 50).alias("input_tokens"), (d % 20).alias("output_tokens"), F.lit("mock").alias("source")).alias("token_usage")).alias("llm"),
+    )
+
+
+@query(f"""{_DETECTED} SELECT count(*) AS test_samples, count(*) FILTER (y = 0) AS actual_benign, count(*) FILTER (y = 1) AS actual_cryptojacking, count(*) FILTER (p = 0) AS predicted_benign,
+count(*) FILTER (p = 1) AS predicted_cryptojacking, count(*) FILTER (st = 'completed') AS llm_completed, count(*) FILTER (st = 'failed') AS llm_failed, count(*) FILTER (st = 'skipped') AS llm_skipped,
+count(*) FILTER (y = 1 AND p = 1) AS true_positives, count(*) FILTER (y = 0 AND p = 1) AS false_positives, count(*) FILTER (y = 1 AND p = 0) AS false_negatives,
+round(count(*) FILTER (y = p)::DOUBLE / count(*), 9) AS accuracy FROM dr""")
+def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp.detection_summary(_reports(spark, sf_dir)).withColumn("accuracy", _r("accuracy"))
+
+
+@query(f"""{_DETECTED} SELECT 'bin' || doc_id::VARCHAR AS binary_name, p AS predicted_class, st AS llm_status, CASE WHEN st = 'completed' THEN 'benign' END AS llm_tier, doc_id % 50 AS llm_input_tokens,
+CASE WHEN st = 'failed' THEN 'timeout' WHEN doc_id % 9 = 0 THEN 'no explainer' END AS error, '[{{"feature_id":1,"ngram":"a b","value":0.5,"shap_value":0.25}}]' AS top_shap_features_json FROM dr""")
+def report_csv_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = rp.flat_reports(_reports(spark, sf_dir))
+    return flat.select("binary_name", "predicted_class", "llm_status", "llm_tier", "llm_input_tokens", "error", "top_shap_features_json")
+
+
+@query(f"{_DETECTED} SELECT doc_id FROM dr WHERE p = 1")
+def rf_positive_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import graphs
+
+    return graphs.positive_reports(_reports(spark, sf_dir)).select("doc_id")
+
+
+@query(f"""{_DETECTED} SELECT doc_id, doc_id % 9 <> 0 AND st IN ('completed', 'skipped') AND doc_id % 4 <> 0 AS reuse FROM dr""")
+def report_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = _reports(spark, sf_dir)
+    rows = saved.select("doc_id", "sample.source_name", "sample.source_path", "sample.batch_number", "sample.row_index_in_batch", F.col("sample.actual_label").alias("label"))
+    rows = rows.withColumn("source_path", F.when(F.col("doc_id") % 4 == 0, "moved").otherwise(F.col("source_path")))
+    return rp.reusable(rows, saved, 2).select("doc_id", "reuse")
+
+
+@query("""WITH a AS (SELECT doc_id % 30 AS run, doc_id AS pos, CASE WHEN doc_id % 7 IN (1, 2, 3, 4) THEN 'judge_error' WHEN doc_id % 7 = 5 THEN 'input_error' ELSE 'success' END AS outcome, doc_id % 101 = 7 AS fatal FROM labels), t AS (
+  SELECT *, outcome = 'judge_error' AND lag(outcome, 1) OVER w = 'judge_error' AND lag(outcome, 2) OVER w = 'judge_error' OR fatal AS stop FROM a WHERE outcome <> 'input_error' WINDOW w AS (PARTITION BY run ORDER BY pos)
+), s AS (SELECT run, min(pos) AS stop_pos FROM t WHERE stop GROUP BY run)
+SELECT a.run, a.pos, CASE WHEN a.outcome <> 'input_error' AND a.pos > s.stop_pos THEN 'not_attempted_batch_stopped' ELSE a.outcome END AS status FROM a LEFT JOIN s USING (run)""")
+def batch_stop_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    outcome = F.when((d % 7).isin(1, 2, 3, 4), "judge_error").when(d % 7 == 5, "input_error").otherwise("success")
+    attempts = fx.table(spark, sf_dir, "labels").select((d % 30).alias("run"), d.alias("pos"), outcome.alias("outcome"), (d % 101 == 7).alias("fatal"))
+    return rp.run_states(attempts).select("run", "pos", "status")
+
+
+@query("""WITH f AS (SELECT doc_id // 10 AS batch_id, count(*) AS n_rows FROM labels WHERE doc_id // 10 % 7 <> 0 GROUP BY 1), y AS (SELECT doc_id // 10 AS batch_id, count(*) + CASE WHEN doc_id // 10 % 5 = 0 THEN 1 ELSE 0 END AS n_rows FROM labels WHERE doc_id // 10 % 11 <> 0 GROUP BY 1)
+SELECT batch_id, f.n_rows AS feature_rows, y.n_rows AS label_rows, CASE WHEN y.n_rows IS NULL THEN 'no labels' WHEN f.n_rows IS NULL THEN 'no features' ELSE 'row mismatch' END AS problem
+FROM f FULL JOIN y USING (batch_id) WHERE f.n_rows IS DISTINCT FROM y.n_rows""")
+def batch_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = F.floor(F.col("doc_id") / 10)
+    counts = fx.table(spark, sf_dir, "labels").groupBy(b.alias("batch_id")).agg(F.count("*").alias("n_rows"))
+    i = F.col("batch_id")
+    labels = counts.filter(i % 11 != 0).withColumn("n_rows", F.col("n_rows") + F.when(i % 5 == 0, 1).otherwise(0))
+    return rp.paired_batches(counts.filter(i % 7 != 0), labels)
+
+
+@query(f"""WITH {fx.CONTRIBUTIONS}, e AS (
+  SELECT vec_id, string_agg(chr(10) || 'Rank ' || rank::VARCHAR || ': ' || ngram || chr(10) || '  Frequency : ' || printf('%.6f', 0.25) || chr(10) || '  SHAP      : ' || printf('%+.6f', (feature_id - 32) / 64.0::DOUBLE) || ' (' || CASE WHEN feature_id > 32 THEN 'toward cryptojacking' ELSE 'toward benign' END || ')', chr(10) ORDER BY rank) AS lines, count(*) AS n
+  FROM tk WHERE rank <= 3 GROUP BY vec_id
+) SELECT vec_id AS sample_id, 'Binary Name: v' || vec_id::VARCHAR || chr(10) || 'Random Forest Prediction: MALWARE (class 1) with probability 0.7500.' || chr(10) || chr(10) || 'Top-' || n::VARCHAR || ' n-grams by absolute SHAP contribution:' || chr(10) || lines
+|| chr(10) || chr(10) || 'Use this evidence only. Choose a tier: high-confidence, low-confidence, benign.' || chr(10) || 'Answer with one JSON object with the keys tier, explanation, evidence_analysis, confidence_score, key_indicators and recommended_action.' AS prompt FROM e""")
+def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = ft.top_contributions(fx.contributions(spark, sf_dir), "vec_id", 3)
+    evidence = top.select(F.col("vec_id").alias("sample_id"), "rank", "ngram", F.lit(0.25).alias("value"), ((F.col("feature_id") - 32) / 64.0).alias("shap_value"))
+    samples = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample_id"), F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("binary_name"), F.lit(1).alias("prediction"), F.lit(0.75).alias("probability"))
+    return rp.prompts(samples, evidence)
+
+
+@query("""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '/candidate_analysis/explanation' WHEN doc_id % 3 = 1 THEN '/candidate_analysis/notes/1' ELSE '/other' END AS candidate_path, CASE WHEN doc_id % 4 = 0 THEN 'absent' ELSE doc_id::VARCHAR END AS quote FROM labels)
+SELECT doc_id AS sample_id, candidate_path, quote, doc_id % 3 <> 2 AND doc_id % 4 <> 0 AS verified FROM f""")
+def quote_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    path = F.when(d % 3 == 0, "/candidate_analysis/explanation").when(d % 3 == 1, "/candidate_analysis/notes/1").otherwise("/other")
+    findings = fx.table(spark, sf_dir, "labels").select(d.alias("sample_id"), path.alias("candidate_path"), F.when(d % 4 == 0, "absent").otherwise(d.cast("string")).alias("quote"))
+    analysis = F.to_json(F.struct(F.concat(F.lit("says "), d.cast("string")).alias("explanation"), F.array(F.lit("x"), d.cast("string")).alias("notes")))
+    return rp.verified_findings(findings, fx.table(spark, sf_dir, "labels").select(d.alias("sample_id"), analysis.alias("analysis")))
+
+
+@query("""WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN '-4' WHEN 2 THEN ' 17 ' WHEN 3 THEN 'n/a' ELSE doc_id::VARCHAR END AS v, CASE doc_id % 4 WHEN 0 THEN 'LENGTH' WHEN 1 THEN 'stop' END AS reason, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 = 0 END AS done FROM labels), c AS (
+  SELECT *, CASE doc_id % 5 WHEN 2 THEN 17 WHEN 4 THEN doc_id END AS tokens FROM x
+) SELECT doc_id, tokens::BIGINT AS output_tokens, coalesce(lower(reason) = 'length', false) OR coalesce(NOT done, false) OR coalesce(tokens >= 300, false) AS truncated FROM c""")
+def answer_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    value = F.when(d % 5 == 0, "true").when(d % 5 == 1, "-4").when(d % 5 == 2, " 17 ").when(d % 5 == 3, "n/a").otherwise(d.cast("string"))
+    reason = F.when(d % 4 == 0, "LENGTH").when(d % 4 == 1, "stop")
+    rows = fx.table(spark, sf_dir, "labels").select("doc_id", rp.token_count(value).alias("output_tokens"), reason.alias("reason"), F.when(d % 3 == 0, d % 2 == 0).alias("done"))
+    return rows.select("doc_id", "output_tokens", rp.truncated(F.col("reason"), F.col("done"), F.col("output_tokens"), 300).alias("truncated"))
+
+
+@query(f"""WITH {fx.CONTRIBUTIONS} SELECT vec_id AS sample_id, 'SHAP:' || rank::VARCHAR AS evidence_id, ngram AS text FROM tk WHERE rank <= 3
+UNION ALL SELECT doc_id, 'DISASM:main:' || (i - 1)::VARCHAR, lines[i] FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))""")
+def evidence_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = ft.top_contributions(fx.contributions(spark, sf_dir), "vec_id", 3).withColumnRenamed("vec_id", "sample_id")
+    code = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sample_id"), F.lit("main").alias("function"), F.split("text", "\n").alias("lines"))
+    return jd.evidence_catalog(top, code)
+
+
+@query(f"WITH RECURSIVE {fx.CFG} SELECT function, path FROM cp")
+def cfg_acyclic_paths_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same paths by a recursive query: all of it in the JVM, level by level, for graphs of few paths."""
+    fx.cfg_edges(spark, sf_dir).createOrReplaceTempView("pathloom_edges")
+    _entry_blocks(spark, sf_dir).createOrReplaceTempView("pathloom_entries")
+    return spark.sql("""
+      WITH RECURSIVE walk(function, block, path) AS (
+        SELECT function, entry_block, array(entry_block) FROM pathloom_entries
+        UNION ALL
+        SELECT w.function, e.dst, array_append(w.path, e.dst) FROM walk w JOIN pathloom_edges e ON e.function = w.function AND e.src = w.block
+        WHERE NOT array_contains(w.path, e.dst)
+      ) SELECT w.function, w.path FROM walk w LEFT ANTI JOIN pathloom_edges e ON e.function = w.function AND e.src = w.block""")
+
+
 # --- models (no SQL form) --------------------------------------------------------------------------------
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
