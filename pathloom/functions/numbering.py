@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from .storage import checkpointed
 
 
-def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with name: 0, 1, 2, ... in the given order, which must be total.
-
-    Rows are dealt by ranges of the order and numbered within their range; the sizes of the ranges before
-    (a row a partition) are added. A range of a total order holds about a partition's share of the rows."""
-    dealt = checkpointed(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_offset"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return (
-        dealt.withColumn("_within", within)
-        .join(F.broadcast(offsets), "_range")
-        .withColumn(name, (F.col("_offset") + F.col("_within")).cast("long"))
-        .select(*df.columns, name)
-    )
+def numbered(df: DataFrame, order: list[Column], name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """df with name: 0, 1, 2, ... in the given order, which must be total; within: anew for each of these groups.
+
+    Rows are dealt by ranges of (group, order) and numbered within their range; the sizes of the group's ranges
+    before are added. So one group that holds most rows is still spread over ranges, and what is added is a row
+    for each group and range."""
+    groups = [F.col(c) for c in within]
+    dealt = checkpointed(df.repartitionByRange(*groups, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range", *within).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("_range").alias("_at"), *[F.col(c).alias(f"_in_{c}") for c in within], F.coalesce(before, F.lit(0)).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy("_range", *within).orderBy(*order)) - 1
+    same = F.col("_range") == F.col("_at")
+    for c in within:
+        same = same & F.col(c).eqNullSafe(F.col(f"_in_{c}"))
+    joined = dealt.withColumn("_within", rank).join(offsets if within else F.broadcast(offsets), same)
+    return joined.withColumn(name, (F.col("_offset") + F.col("_within")).cast("long")).select(*df.columns, name)
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:

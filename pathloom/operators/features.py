@@ -43,9 +43,11 @@ def batch_rows(samples: DataFrame, order: list[str], batch: int = 100, split: st
     """samples with row_index_in_split, batch_number and row_index_in_batch."""
     if batch < 1:
         raise ValueError("a batch needs at least 1 row")
-    row = F.row_number().over(Window.partitionBy(split).orderBy(*order)) - 1
-    placed = samples.withColumn("row_index_in_split", row)
-    return placed.withColumn("batch_number", F.expr(f"row_index_in_split div {batch}").cast("int")).withColumn("row_index_in_batch", F.col("row_index_in_split") % batch)
+    placed = numbered(samples, [F.col(c) for c in order], "_row", (split,))
+    row = F.col("_row")
+    return placed.select(
+        *samples.columns, row.cast("int").alias("row_index_in_split"), F.floor(row / batch).cast("int").alias("batch_number"), (row % batch).cast("int").alias("row_index_in_batch")
+    )
 
 
 def coordinates(rows: DataFrame, freq: DataFrame, sample: str = "program") -> DataFrame:
@@ -60,16 +62,24 @@ def density(nonzero: Column, rows: Column, columns: Column) -> Column:
 
 def stratified_split(samples: DataFrame, label: str, key: str, test_tenths: int = 2) -> DataFrame:
     """samples with split: of each label the ceiling of the given tenths, first by MD5 of the key, is test."""
-    order = F.md5(F.col(key).cast("string"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order, key))
-    size = F.count("*").over(Window.partitionBy(label))
-    test = rank <= F.ceil(size * test_tenths / 10)
-    return samples.withColumn("split", F.when(test, "test").otherwise("train"))
+    ranked = numbered(samples, [F.md5(F.col(key).cast("string")), F.col(key)], "_rank", (label,))
+    test = F.col("_rank") < F.ceil(F.col("_size") * test_tenths / 10)
+    return _with_sizes(ranked, label).select(*samples.columns, F.when(test, "test").otherwise("train").alias("split"))
 
 
 def folds(samples: DataFrame, label: str, order: str, k: int = 3) -> DataFrame:
-    """samples with fold 0..k-1: contiguous, of near equal size within each label."""
-    return samples.withColumn("fold", F.ntile(k).over(Window.partitionBy(label).orderBy(order)) - 1)
+    """samples with fold 0..k-1: contiguous, of near equal size within each label, larger ones first."""
+    ranked = numbered(samples, [F.col(order)], "_rank", (label,))
+    size, more = F.floor(F.col("_size") / k), F.col("_size") % k
+    in_large = F.col("_rank") < more * (size + 1)
+    fold = F.when(in_large, F.floor(F.col("_rank") / (size + 1))).otherwise(more + F.floor((F.col("_rank") - more * (size + 1)) / F.greatest(size, F.lit(1))))
+    return _with_sizes(ranked, label).select(*samples.columns, fold.cast("int").alias("fold"))
+
+
+def _with_sizes(rows: DataFrame, label: str) -> DataFrame:
+    """rows with _size, the number of rows of their label; counts are combined before the join."""
+    sizes = rows.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_size"))
+    return rows.join(sizes, rows[label].eqNullSafe(sizes["_label"])).drop("_label")
 
 
 def occurrence_report(shingles: DataFrame, vocabulary: DataFrame) -> DataFrame:
