@@ -12,6 +12,12 @@ not documents: copies of a text are one fingerprint.
 
 Groups are the connected components of the links; each is named by its smallest id.
 
+``similar_documents`` goes further for a filtering stage, which takes five-word shingles and a similarity of 0.8.
+Such pairs lie up to some ten bits apart, so it also looks at pairs within 7 bits under either of two
+hash seeds (quarters of 16 bits then, one of which differs in at most 1 bit; every word is an anchor, the covering
+radius is 0 and each fingerprint goes to 17 anchors a quarter) and links those whose shingle sets, compared exactly,
+have a Jaccard similarity of 0.8 or more. What lies within 3 bits is linked as before.
+
 Edge cases: a null text has no words; texts without words have fingerprint 0 and are linked like any other; a
 null id never names a group unless all ids of it are null; repeated rows have one fingerprint and one
 group; an empty table gives an empty result; columns other than the id and the text are ignored.
@@ -38,18 +44,31 @@ GOLAY_GENERATOR = 0b101011100011
 GOLAY_BITS, GOLAY_RADIUS, FREE_BITS = 23, 3, 9
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """Majority vote, bit by bit, of the XXH64 hashes of a text's word shingles, repeats included."""
-    import xxhash
-
+def shingles(text: str | None, size: int) -> list[bytes]:
+    """Runs of size words, A-Z lower-cased, space-joined; the whole sequence if it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return []
     joined = b" ".join(words)
     starts = list(accumulate((len(w) + 1 for w in words), initial=0))
-    width = min(shingle, len(words))
+    return [joined[a : b - 1] for a, b in zip(starts, starts[min(size, len(words)) :], strict=False)]
+
+
+def shingle_hashes(runs: list[bytes], seed: int) -> np.ndarray:
+    import xxhash
+
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[width:], strict=False)], "<u8")
+    return np.array([digest(x, seed) for x in runs], "<u8")
+
+
+def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
+    """Majority vote, bit by bit, of the XXH64 hashes of a text's word shingles, repeats included."""
+    return majority(shingle_hashes(shingles(text, shingle), seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    if not len(hashes):
+        return 0
     by_byte = hashes.view(np.uint8).reshape(-1, 8)
     if len(hashes) < 64:
         votes = np.unpackbits(by_byte, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -101,6 +120,14 @@ def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.n
     return low, high, np.array([w[0] for w in ways], np.int64), bounds, np.array([x for w in ways for x in w], np.int64)
 
 
+def quarter_anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As anchors(), for quarters: every 16-bit word is an anchor, visited from all within one bit."""
+    every, flips = np.arange(len(fps)), np.array([0, *(1 << b for b in range(16))], np.int64)
+    word = [(fps.view(np.uint64) >> np.uint64(16 * q) & np.uint64(0xFFFF)).astype(np.int64) | q << 16 for q in range(4)]
+    keys = np.concatenate([(w[:, None] ^ flips).ravel() for w in word])
+    return np.tile(np.repeat(every, 17), 4), keys, np.tile(np.arange(17) == 0, 4 * len(fps))
+
+
 def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprint's index, anchor, is its own) for both halves of each fingerprint."""
     low, high, nearest, bounds, ways = golay_tables()
@@ -127,21 +154,26 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def fingerprint_links(distinct: DataFrame, threshold: int = 3) -> DataFrame:
     """a < b: all pairs of the distinct fingerprints (column fp) that differ in 1 to threshold bits."""
-    if not 0 <= threshold <= 3:
-        raise ValueError("two halves with one bit each cover thresholds up to 3")
-    schema = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("own", pa.bool_())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            index, keys, own = anchors(fps)
-            yield pa.record_batch([pa.array(keys), pa.array(fps[index]), pa.array(own)], schema=schema)
-
-    placed = written(distinct.select("fp").mapInArrow(run, "anchor long, fp long, own boolean"), "simhash-anchors")
-    residents = placed.filter("own").select("anchor", F.col("fp").alias("a"))
-    visitors = placed.select("anchor", F.col("fp").alias("b"))
+    if not 0 <= threshold <= 7:
+        raise ValueError("two halves cover thresholds up to 3, four quarters up to 7")
+    places = anchors if threshold <= 3 else quarter_anchors
+    schema = pa.schema([("anchor", pa.int64()), ("fp", pa.int64())])
+
+    def placed(own_only: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                fps = batch.column(0).to_numpy(zero_copy_only=False)
+                index, keys, own = places(fps)
+                if own_only:
+                    index, keys = index[own], keys[own]
+                yield pa.record_batch([pa.array(keys), pa.array(fps[index])], schema=schema)
+
+        return distinct.select("fp").mapInArrow(run, "anchor long, fp long")
+
+    residents = placed(True).select("anchor", F.col("fp").alias("a"))
+    visitors = placed(False).select(F.col("anchor").alias("at"), F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return residents.join(visitors, residents["anchor"].eqNullSafe(visitors["anchor"]) & near).select("a", "b").distinct()
+    return residents.join(visitors, (F.col("anchor") == F.col("at")) & near).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 3, seed: int = 42) -> DataFrame:
@@ -157,8 +189,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def _similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of ids whose sets of shingles have a Jaccard similarity of at least similarity."""
+    schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(shingles(t, shingle), 0)).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, schema.field(1).type)], schema=schema)
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    sets = texts.join(ids, F.col("id") == F.col("wanted"), "left_semi").mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
+    sets = written(sets, "simhash-sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
+    common = F.size(F.array_intersect("s", "t"))
+    return both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+    """id and component_id: documents within 3 bits (three-word shingles), and those within 7 bits under one of
+    the seeds whose five-word shingles are similar enough. Documents with one fingerprint are one node, named by
+    its smallest id, whose text stands for it; nodes without an id are left to the 3-bit rule."""
+    found = written(_many_fingerprints(docs, id_col, text_col, 3, seeds), "simhash-fingerprints")
+    nodes = written(found.groupBy("fp0").agg(F.min("id").alias("node")), "simhash-nodes")
+    close = fingerprint_links(nodes.select(F.col("fp0").alias("fp")), 3)
+    named = lambda end: nodes.select(F.col("fp0").alias(end), F.col("node").alias(f"{end}_node"))
+    links = close.join(named("a"), "a").join(named("b"), "b").select("a_node", "b_node").filter("a_node IS NOT NULL AND b_node IS NOT NULL")
+    far = None
+    for i in range(len(seeds)):
+        table = written(found.join(nodes, "fp0").filter("node IS NOT NULL").select(F.col(f"fp{i}").alias("fp"), "node").distinct(), "simhash-seed")
+        chosen = written(table.groupBy("fp").agg(F.min("node").alias("rep")), "simhash-seed-nodes")
+        rep = lambda end: chosen.select(F.col("fp").alias(end), F.col("rep").alias(f"{end}_node"))  # noqa: B023, E731
+        pairs = fingerprint_links(chosen.select("fp"), 7).join(rep("a"), "a").join(rep("b"), "b").select("a_node", "b_node")
+        same = table.join(chosen, "fp").filter("node <> rep").select(F.col("rep").alias("a_node"), F.col("node").alias("b_node"))
+        far = pairs.unionByName(same) if far is None else far.unionByName(pairs).unionByName(same)
+    candidates = written(far.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "simhash-candidates")
+    similar = _similar_pairs(docs, candidates, id_col, text_col, shingle, similarity)
+    roots = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).unionByName(similar))
+    members = nodes.join(roots, nodes["node"] == roots["node"], "left").select("fp0", nodes["node"].alias("first"), "root")
+    return found.join(members, "fp0").select(F.col("id").alias(id_col), F.coalesce("root", "first").alias("component_id"))
+
+
+def _many_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: tuple[int, ...]) -> DataFrame:
+    """id, fp0, fp1, ...: a fingerprint for each seed, from one cut of the text."""
+    schema = pa.schema([("id", pa.int64()), *[(f"fp{i}", pa.int64()) for i in range(len(seeds))]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column(1).to_pylist():
+                runs = shingles(text, shingle)
+                rows.append([majority(shingle_hashes(runs, seed)) for seed in seeds])
+            table = np.array(rows, np.uint64).reshape(-1, len(seeds)).view(np.int64)
+            yield pa.record_batch([batch.column(0), *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(seeds))]], schema=schema)
+
+    ddl = ", ".join(f"{f.name} long" for f in schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the smallest id of each group; all columns as they were."""
-    groups = near_duplicates(docs, id_col, text_col, **options)
+    """docs with the smallest id of each group of similar_documents(); all columns as they were."""
+    groups = similar_documents(docs, id_col, text_col, **options)
     kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_near_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["_near_id"]), "left_semi")

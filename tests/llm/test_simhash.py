@@ -91,7 +91,63 @@ def test_odd_documents(odd_docs, no_docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, g in want if i == g}
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
     with pytest.raises(ValueError):
-        simhash.fingerprint_links(no_docs.selectExpr("doc_id AS fp"), 4)
+        simhash.fingerprint_links(no_docs.selectExpr("doc_id AS fp"), 8)
+
+
+def brute_similar(rows, seeds=(42, 43)):
+    """(id, smallest id of its group) by comparing everything with everything."""
+    rows = [(i, simhash.shingles(t, 3), set(simhash.shingles(t, 5))) for i, t in rows]
+    fps = [[simhash.majority(simhash.shingle_hashes(r[1], s)) for s in seeds] for r in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            gap = [(a ^ b).bit_count() for a, b in zip(fps[i], fps[j], strict=True)]
+            if gap[0] <= 3 or (min(gap) <= 7 and len(rows[i][2] & rows[j][2]) >= 0.8 * len(rows[i][2] | rows[j][2])):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    least = {}
+    for i, (doc, _, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc), doc)
+    return sorted((r[0], least[find(i)]) for i, r in enumerate(rows))
+
+
+def test_similar_documents_against_brute_force(spark, sf_dir):
+    import random
+
+    rng = random.Random(6)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    for i in range(60):
+        words = rng.choice(rows[:100])[1].split()
+        for _ in range(rng.randint(1, 1 + len(words) // 60)):
+            words[rng.randrange(len(words))] = "edited"
+        rows.append((10_000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, simhash.similar_documents(df).collect()))
+    assert got == brute_similar(rows)
+    strict = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert sum(i != g for i, g in got) > sum(i != g for i, g in strict.items())
+
+
+def test_pairs_within_seven_bits_meet():
+    rng = np.random.default_rng(2)
+    fps = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    near = fps.copy()
+    for i in range(len(near)):
+        for b in rng.choice(64, rng.integers(0, 8), replace=False):
+            near[i] ^= np.uint64(1 << int(b))
+    index, keys, own = simhash.quarter_anchors(np.concatenate([fps, near]).view(np.int64))
+    home, visits = {}, {}
+    for i, k, o in zip(index.tolist(), keys.tolist(), own, strict=True):
+        visits.setdefault(i, set()).add(k)
+        if o:
+            home.setdefault(i, set()).add(k)
+    assert all(visits[i] & home[i + 200] and visits[i + 200] & home[i] for i in range(200))
 
 
 def test_components_of_chains_stars_and_cycles(spark):
