@@ -303,6 +303,28 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(given, F.lit(0)).alias("doc"), F.xxhash64(text, given.isNull()).alias("key"), text.cast("binary").alias("data"), given.alias("id"))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs with each text compressed: what a shuffle of the texts then writes is less than two thirds."""
+    at = docs.columns.index("data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        compress = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            small = pa.array([compress(x) for x in batch.column(at).to_pylist()], pa.binary())
+            yield batch.set_column(at, "data", small)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    import zstandard
+
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(x) for x in column.to_pylist()]
+
+
 def _anchor_hashes(docs: DataFrame, least: int, common: np.ndarray) -> DataFrame:
     """For each text a mark (hash of doc and key; texts that share one only get marks too many), the hashes of its
     anchors' grams without the common ones, and whether it has common ones."""
@@ -330,6 +352,33 @@ def _mark() -> Column:
     return F.xxhash64("doc", "key").alias("mark")
 
 
+def _near_common(docs: DataFrame, least: int, common: np.ndarray) -> DataFrame:
+    """hash, n of grams within a window of a common anchor: the rest of a passage is as common as its anchors. Grams
+    met once in a buffer are left out; they could only add to the list of common ones."""
+    schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = _flat(batch.column(0))
+            for piece, ends, _, _ in _buffers(data, offsets, least):
+                hashes, place, _, _ = anchors(piece, ends, least, np.empty(0, np.uint64))
+                place = place[_marked(hashes, common)]
+                if not len(place):
+                    continue
+                text = np.searchsorted(ends, place, side="right")
+                begin = np.concatenate([[0], ends[:-1]])[text]
+                step = np.zeros(len(piece) + 2, np.int32)
+                np.add.at(step, np.maximum(place - least + GRAM, begin), 1)
+                np.add.at(step, np.minimum(place + least, ends[text]) - GRAM + 1, -1)
+                near = np.flatnonzero(np.cumsum(step)[: len(piece) - GRAM + 1] > 0)
+                found, times = np.unique(gram_hashes(piece)[near], return_counts=True)
+                again = times > 1
+                yield pa.record_batch([pa.array(found[again].view(np.int64)), pa.array(times[again])], schema=schema)
+
+    texts = docs.filter(F.length("data") >= least).select("data")
+    return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
 def _counted(table: DataFrame) -> DataFrame:
     return table.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
 
@@ -358,7 +407,8 @@ def _sorted_runs(docs: DataFrame, marks: DataFrame, least: int, common: np.ndarr
         spans: dict = {}
         for batch in batches:
             ids, keys, marked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
-            data, offsets = _flat(batch.column(2))
+            texts = _unpacked(batch.column(2))
+            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
             wanted_ends = marked.offsets.to_numpy()
             wanted = marked.values.to_numpy(zero_copy_only=False).view(np.uint64)
             for piece, ends, rows, shift in _buffers(data, offsets, least):
@@ -389,7 +439,8 @@ def _sorted_runs(docs: DataFrame, marks: DataFrame, least: int, common: np.ndarr
                     yield from flush(contexts, spans)
         yield from flush(contexts, spans)
 
-    joined = docs.join(marks, F.xxhash64("doc", "key") == marks["mark"]).select("doc", "key", "data", "hashes")
+    texts = _packed(docs.filter(F.length("data") >= least).select("doc", "key", "data"))
+    joined = texts.join(marks, F.xxhash64("doc", "key") == marks["mark"]).select("doc", "key", "data", "hashes")
     return joined.mapInArrow(run, "owner int, run binary, doc long, key long, spans array<long>")
 
 
@@ -397,14 +448,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc, key (hash of the text), start, end: byte ranges whose union is what repeats.
 
     A gram is very common if it occurs more than very_common times and more often than one most_common-th of all
-    anchors, so at most most_common of them (8 bytes each) are sent to the tasks."""
+    that are counted, so at most about most_common of them (8 bytes each) are sent to the tasks."""
     keyed = _keyed(docs, id_col, text_col)
     table = written(_anchor_hashes(keyed, least, np.empty(0, np.uint64)), "suffix-anchors")
     total = table.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    often = _counted(table).filter(F.col("n") > max(very_common, total // most_common)).select("hash").collect()
-    common = np.sort(np.array([r[0] for r in often], np.int64).view(np.uint64))
+
+    def often(counts: DataFrame, of: int) -> np.ndarray:
+        rows = counts.filter(F.col("n") > max(very_common, of // most_common)).select("hash").collect()
+        return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+
+    common = often(_counted(table), total)
     if len(common):
         discard(table)
+        # a text has about this many grams for each anchor
+        common = np.union1d(common, often(_near_common(keyed, least, common), total * (least - GRAM)))
         table = written(_anchor_hashes(keyed, least, common), "suffix-anchors-anew")
     twice = _counted(table).filter("n > 1").select(F.col("hash").alias("twin"))
     exploded = table.select("mark", F.explode("hashes").alias("hash"))
@@ -433,7 +490,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col, text_col, least, **options)
     by_doc = spans.groupBy(F.col("doc").alias("s_doc"), F.col("key").alias("s_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     by_doc = by_doc.select("s_doc", "s_key", F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))).alias("bounds"))
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _packed(_keyed(docs, id_col, text_col))
     joined = keyed.join(by_doc, (keyed["doc"] == by_doc["s_doc"]) & (keyed["key"] == by_doc["s_key"]), "left").select("id", "data", "bounds")
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
     ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -445,7 +502,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, data, bounds in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for doc, data, bounds in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 merged: list[int] = []
                 for a, b in zip((bounds or [])[::2], (bounds or [])[1::2], strict=True):
                     if merged and a <= merged[-1]:
