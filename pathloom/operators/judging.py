@@ -13,6 +13,45 @@ DIMENSIONS = ("technical_accuracy", "coherence", "cybersecurity_relevance", "act
 TIERS = ("high-confidence", "low-confidence", "benign")
 
 
+# The two layouts of an explanation file: a detection report, and an analyser's own result.
+_FEATURE = "array<struct<ngram: string, value: double, shap_value: double>>"
+_ANALYSIS = "struct<tier: string, explanation: string, parse_error: boolean, evidence_analysis: array<struct<ngram: string, shap_contribution: double, assessment: string>>>"
+REPORT_LAYOUT = f"""sample struct<binary_name: string>, random_forest struct<ngram_size: int, malware_probability: double, predicted_class: int>,
+shap struct<status: string, top_features: {_FEATURE}>, llm struct<status: string, model: string, analysis: {_ANALYSIS}>"""
+RESULT_LAYOUT = f"""binary_name string, ngram_size int, rf_prediction int, rf_probability double, analysis_status string, analysis {_ANALYSIS},
+evidence array<struct<ngram: string, frequency: double, value: double, shap_value: double, occurrences: array<string>, functions: array<string>>>,
+context_limits struct<occurrences_per_feature: int>"""
+
+
+def judge_inputs(files: DataFrame, text: str = "text") -> DataFrame:
+    """files (JSON text) in the columns of screened(), whichever layout they have; layout is null for any other. An
+    n-gram may be given as a list of items; its size is derived from the n-grams if they agree; of a feature's
+    occurrences the first three count, or as many as the file's own limit says."""
+    rows = files.withColumn("_a", F.from_json(text, REPORT_LAYOUT)).withColumn("_b", F.from_json(text, RESULT_LAYOUT))
+    every = lambda s, names: F.forall(F.array(*[F.col(f"{s}.{n}").isNotNull() for n in names]), lambda x: x)
+    is_a, is_b = every("_a", ("sample", "random_forest", "shap", "llm")), every("_b", ("rf_prediction", "evidence", "analysis"))
+    pick = lambda a, b: F.when(is_a, a).when(is_b, b)
+    joined = lambda n: F.when(n.startswith("["), F.array_join(F.from_json(n, "array<string>"), " ")).otherwise(n)
+    feature = lambda n, v, s: F.struct(joined(n).alias("ngram"), v.alias("value"), s.alias("shap_value"))
+    features = pick(
+        F.transform("_a.shap.top_features", lambda x: feature(x["ngram"], x["value"], x["shap_value"])),
+        F.transform("_b.evidence", lambda x: feature(x["ngram"], F.coalesce(x["frequency"], x["value"], F.lit(0.0)), x["shap_value"])),
+    )
+    analysis = pick(F.col("_a.llm.analysis"), F.col("_b.analysis"))
+    cap = F.coalesce("_b.context_limits.occurrences_per_feature", F.lit(3))
+    out = rows.select(
+        *files.columns, F.when(is_a, "report").when(is_b, "result").alias("layout"), pick(F.col("_a.sample.binary_name"), F.col("_b.binary_name")).alias("binary_name"),
+        pick(F.col("_a.shap.status"), F.lit("completed")).alias("shap_status"),
+        pick(F.col("_a.llm.status"), F.when(F.coalesce("_b.analysis_status", F.lit("success")) == "success", "completed").otherwise("failed")).alias("llm_status"),
+        analysis["explanation"].alias("explanation"), analysis["parse_error"].alias("parse_error"), analysis["tier"].alias("tier"), analysis["evidence_analysis"].alias("evidence_analysis"),
+        pick(F.col("_a.random_forest.predicted_class"), F.col("_b.rf_prediction")).alias("prediction"), pick(F.col("_a.random_forest.malware_probability"), F.col("_b.rf_probability")).alias("probability"),
+        features.alias("features"), pick(F.col("_a.random_forest.ngram_size"), F.col("_b.ngram_size")).alias("ngram_size"),
+        F.when(is_b & ~is_a, F.transform("_b.evidence", lambda x: F.struct(joined(x["ngram"]).alias("ngram"), F.slice(x["occurrences"], F.lit(1), cap).alias("records"), x["functions"].alias("functions")))).alias("occurrences"),
+    )
+    sizes = F.array_distinct(F.transform("features", lambda x: F.size(F.split(F.trim(x["ngram"]), r"\s+"))))
+    return out.withColumn("ngram_size", F.coalesce("ngram_size", F.when(F.size(sizes) == 1, sizes[0])))
+
+
 def _first_failure(checks: list[tuple[Column, str, str]]) -> tuple[Column, Column]:
     """(status, reason) of the first check that fails; null if none does."""
     status, reason = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -29,7 +68,9 @@ def screened(reports: DataFrame) -> DataFrame:
     f = F.col("features")
     names = F.transform(f, lambda x: x["ngram"])
     blank = lambda c: c.isNull() | (F.trim(c) == "")
+    layout = [(F.col("layout").isNull(), "input_error", "unsupported layout")] if "layout" in reports.columns else []
     checks = [
+        *layout,
         (~(F.col("llm_status").eqNullSafe("completed") & F.col("shap_status").eqNullSafe("completed")), "generation_error", "explanation or SHAP not completed"),
         (blank(F.col("binary_name")), "input_error", "no binary name"),
         (blank(F.col("explanation")), "generation_error", "no explanation"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, fields
+from dataclasses import MISSING, dataclass, field, fields
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,6 +47,17 @@ class JudgeOptions:
         if self.shap_target_class not in (0, 1) or self.timeout <= 0 or self.shap_tolerance < 0:
             raise ValueError("invalid class, timeout or tolerance")
 
+    @classmethod
+    def from_env(cls, environ: dict[str, str], prefix: str = "JUDGE_") -> JudgeOptions:
+        """Options named JUDGE_MODEL, JUDGE_MAX_TOKENS and so on; the rest keep their defaults."""
+        given = {}
+        for f in fields(cls):
+            raw = environ.get(prefix + f.name.upper())
+            if raw is not None:
+                kind = type(f.default) if f.default is not MISSING else str
+                given[f.name] = raw.lower() in ("1", "true", "yes") if kind is bool else kind(raw)
+        return cls(**given)
+
     def public(self) -> dict:
         return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "api_key"}
 

@@ -594,6 +594,23 @@ def input_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jd.screened(reports).select("doc_id", "status", "reason")
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'report' WHEN doc_id % 4 IN (1, 2) THEN 'result' END AS layout, CASE WHEN doc_id % 4 < 3 THEN 2 END AS ngram_size,
+CASE WHEN doc_id % 4 = 3 THEN 'input_error' WHEN doc_id % 4 = 2 THEN 'generation_error' ELSE 'input_ready' END AS status,
+CASE WHEN doc_id % 4 IN (1, 2) THEN least(doc_id % 6, CASE WHEN doc_id % 8 = 1 THEN 2 ELSE 3 END)::INT END AS n_occurrences FROM labels""")
+def judge_input_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    analysis = '"analysis": {"tier": "benign", "explanation": "fine"}'
+    report = '{"sample": {"binary_name": "b"}, "random_forest": {"malware_probability": 0.5, "predicted_class": 1}, "shap": {"status": "completed", "top_features": [{"ngram": ["a", "b"], "value": 1, "shap_value": 0.5}]}, "llm": {"status": "completed", ' + analysis + "}}"
+    times = F.array_join(F.array_repeat(F.lit('"x"'), (d % 6).cast("int")), ", ")
+    result = F.concat(
+        F.lit('{"binary_name": "b", "rf_prediction": 1, "rf_probability": 0.5, "evidence": [{"ngram": "a b", "frequency": 1, "shap_value": 0.5, "occurrences": ['), times, F.lit("]}], " + analysis),
+        F.when(d % 8 == 1, ', "context_limits": {"occurrences_per_feature": 2}').otherwise(""), F.when(d % 4 == 2, ', "analysis_status": "failed"').otherwise(""), F.lit("}"),
+    )
+    files = fx.table(spark, sf_dir, "labels").select("doc_id", F.when(d % 4 == 0, report).when(d % 4 == 3, '{"other": 1}').otherwise(result).alias("text"))
+    found = jd.screened(jd.judge_inputs(files))
+    return found.select("doc_id", "layout", "ngram_size", "status", F.when(F.col("occurrences").isNotNull(), F.size(F.col("occurrences")[0]["records"])).alias("n_occurrences"))
+
+
 @query("""WITH f AS (SELECT doc_id, map {'technical_accuracy': doc_id % 6, 'coherence': 3, 'cybersecurity_relevance': CASE WHEN doc_id % 10 = 0 THEN 2.5 ELSE 2 END, 'actionable_utility': 5} AS m, doc_id % 8 AS ref FROM labels)
 SELECT doc_id, doc_id % 6 BETWEEN 1 AND 5 AND doc_id % 10 <> 0 AND ref < 6 AS valid FROM f""")
 def judgement_validation(spark: SparkSession, sf_dir: str) -> DataFrame:

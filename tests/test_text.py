@@ -51,3 +51,36 @@ def test_quality_needs_two(spark):
     r = spark.createDataFrame([("success", 1, 2, 3, 4)], "status string, " + ", ".join(f"{d} int" for d in jd.DIMENSIONS))
     assert all(x["sd"] is None for x in jd.quality_table(r).collect())
     assert jd.share_table(r.withColumn("flag", F.lit(True)).filter("false"), "flag", "y", "n").first()["percentage"] is None
+
+
+def test_judge_options():
+    import pytest
+
+    from pathloom.operators.reports import JudgeOptions
+
+    o = JudgeOptions.from_env({"JUDGE_MODEL": "m", "JUDGE_API_KEY": "secret", "JUDGE_MAX_TOKENS": "10", "JUDGE_THINKING": "false"})
+    assert (o.max_tokens, o.thinking) == (10, False)
+    assert "secret" not in repr(o) and "api_key" not in o.public()
+    with pytest.raises(ValueError):
+        JudgeOptions("m", consistency_runs=1)
+
+
+def test_exports(spark, tmp_path):
+    from pathloom.operators import reports as rp
+    from pathloom.sources import graphs as src
+
+    df = spark.createDataFrame([("=x", 0.5)], "name string, value double")
+    rp.export_summary({"t": df}, tmp_path / "r", "Report")
+    assert "0.5000" in (tmp_path / "r/report.md").read_text() and "<td>=x</td>" in (tmp_path / "r/report.html").read_text()
+    src.guarded_csv(df, str(tmp_path / "c"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).first()["name"] == "'=x"
+    calls = []
+
+    def flaky(prompt):
+        calls.append(prompt)
+        if len(calls) < 3:
+            raise OSError("busy")
+        return "ok"
+
+    waits = []
+    assert rp.retried(flaky, sleep=waits.append)("p") == "ok" and waits == [1.0, 2.0]
