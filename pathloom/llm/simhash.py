@@ -152,27 +152,32 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(keys), np.concatenate(own)
 
 
-def fingerprint_links(distinct: DataFrame, threshold: int = 3) -> DataFrame:
-    """a < b: all pairs of the distinct fingerprints (column fp) that differ in 1 to threshold bits."""
+def fingerprint_links(distinct: DataFrame, threshold: int = 3, apart: str | None = None) -> DataFrame:
+    """a < b: all pairs of the distinct fingerprints (column fp) that differ in 1 to threshold bits. apart: a bigint
+    column; pairs that agree in it are left out (they are known to belong together)."""
     if not 0 <= threshold <= 7:
         raise ValueError("two halves cover thresholds up to 3, four quarters up to 7")
     places = anchors if threshold <= 3 else quarter_anchors
-    schema = pa.schema([("anchor", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("of", pa.int64())])
+    given = distinct.select("fp", F.col(apart).alias("of") if apart else F.lit(0).cast("long").alias("of"))
 
     def placed(own_only: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                fps = batch.column(0).to_numpy(zero_copy_only=False)
+                fps, of = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
                 index, keys, own = places(fps)
                 if own_only:
                     index, keys = index[own], keys[own]
-                yield pa.record_batch([pa.array(keys), pa.array(fps[index])], schema=schema)
+                yield pa.record_batch([pa.array(keys), pa.array(fps[index]), pa.array(of[index])], schema=schema)
 
-        return distinct.select("fp").mapInArrow(run, "anchor long, fp long")
+        made = given.mapInArrow(run, "anchor long, fp long, of long")
+        return made if apart else made.drop("of")
 
-    residents = placed(True).select("anchor", F.col("fp").alias("a"))
-    visitors = placed(False).select(F.col("anchor").alias("at"), F.col("fp").alias("b"))
+    residents = placed(True).withColumnRenamed("fp", "a").withColumnRenamed("of", "a_of")
+    visitors = placed(False).withColumnRenamed("anchor", "at").withColumnRenamed("fp", "b").withColumnRenamed("of", "b_of")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
+    if apart:
+        near = near & (F.col("a_of") != F.col("b_of"))
     return residents.join(visitors, (F.col("anchor") == F.col("at")) & near).select("a", "b").distinct()
 
 
@@ -216,17 +221,23 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     close = fingerprint_links(nodes.select(F.col("fp0").alias("fp")), 3)
     named = lambda end: nodes.select(F.col("fp0").alias(end), F.col("node").alias(f"{end}_node"))
     links = close.join(named("a"), "a").join(named("b"), "b").select("a_node", "b_node").filter("a_node IS NOT NULL AND b_node IS NOT NULL")
+    # what 3 bits have joined needs no further link, which spares a large group of copies most of its pairs
+    joined = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).withColumnRenamed("root", "of")
+    joined = joined.withColumnRenamed("node", "j_node")
+    grouped = nodes.filter("node IS NOT NULL").join(joined, F.col("node") == F.col("j_node"), "left")
+    grouped = written(grouped.select("fp0", "node", F.coalesce("of", "node").alias("of")), "simhash-groups")
     far = None
     for i in range(len(seeds)):
-        table = written(found.join(nodes, "fp0").filter("node IS NOT NULL").select(F.col(f"fp{i}").alias("fp"), "node").distinct(), "simhash-seed")
-        chosen = written(table.groupBy("fp").agg(F.min("node").alias("rep")), "simhash-seed-nodes")
+        table = written(found.join(grouped, "fp0").select(F.col(f"fp{i}").alias("fp"), "node", "of").distinct(), "simhash-seed")
+        chosen = written(table.groupBy("fp").agg(F.min(F.struct("node", "of")).alias("m")).select("fp", F.col("m.node").alias("rep"), F.col("m.of").alias("rep_of")), "simhash-seed-nodes")
         rep = lambda end: chosen.select(F.col("fp").alias(end), F.col("rep").alias(f"{end}_node"))  # noqa: B023, E731
-        pairs = fingerprint_links(chosen.select("fp"), 7).join(rep("a"), "a").join(rep("b"), "b").select("a_node", "b_node")
-        same = table.join(chosen, "fp").filter("node <> rep").select(F.col("rep").alias("a_node"), F.col("node").alias("b_node"))
+        pairs = fingerprint_links(chosen, 7, apart="rep_of").join(rep("a"), "a").join(rep("b"), "b").select("a_node", "b_node")
+        same = table.join(chosen, "fp").filter("of <> rep_of").select(F.col("rep").alias("a_node"), F.col("node").alias("b_node"))
         far = pairs.unionByName(same) if far is None else far.unionByName(pairs).unionByName(same)
     candidates = written(far.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "simhash-candidates")
     similar = _similar_pairs(docs, candidates, id_col, text_col, shingle, similarity)
-    roots = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).unionByName(similar))
+    known = grouped.filter("node <> of").select(F.col("node").alias("a"), F.col("of").alias("b"))
+    roots = components(known.unionByName(similar))
     members = nodes.join(roots, nodes["node"] == roots["node"], "left").select("fp0", nodes["node"].alias("first"), "root")
     return found.join(members, "fp0").select(F.col("id").alias(id_col), F.coalesce("root", "first").alias("component_id"))
 
