@@ -197,7 +197,7 @@ def export_summary(tables: dict[str, DataFrame], folder: str | Path, title: str)
     folder.mkdir(parents=True, exist_ok=True)
     md, pages = [f"# {title}"], [f"<h1>{title}</h1>"]
     for name, df in tables.items():
-        rows = [r.asDict() for r in df.limit(1000).collect()]
+        rows = [r.asDict() for r in df.collect()]
         md += ["", f"## {name}", "", tx.markdown_table(df.columns, rows)]
         pages += [f"<h2>{name}</h2>", tx.html_table(df.columns, rows)]
     for file, body in (("report.md", "\n".join(md) + "\n"), ("report.html", '<!doctype html><meta charset="utf-8">' + "".join(pages))):
