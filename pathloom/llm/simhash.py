@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose sets of shingles have a Jaccard similarity of at least similarity."""
+    """Those of the pairs (a, b) of ids whose sets of shingles have a Jaccard similarity of at least similarity. Where rows
+    share an id, the least of their texts stands for it."""
     schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +206,8 @@ def _similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = texts.join(ids, F.col("id") == F.col("wanted"), "left_semi").mapInArrow(run, "id long, set array<long>").dropDuplicates(["id"])
-    sets = written(sets, "simhash-sets")
+    wanted = texts.join(ids, F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    sets = written(wanted.mapInArrow(run, "id long, set array<long>"), "simhash-sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
     common = F.size(F.array_intersect("s", "t"))
     return both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
@@ -222,8 +223,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = lambda end: nodes.select(F.col("fp0").alias(end), F.col("node").alias(f"{end}_node"))
     links = close.join(named("a"), "a").join(named("b"), "b").select("a_node", "b_node").filter("a_node IS NOT NULL AND b_node IS NOT NULL")
     # what 3 bits have joined needs no further link, which spares a large group of copies most of its pairs
-    joined = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).withColumnRenamed("root", "of")
-    joined = joined.withColumnRenamed("node", "j_node")
+    joined = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).select(F.col("node").alias("j_node"), F.col("root").alias("of"))
     grouped = nodes.filter("node IS NOT NULL").join(joined, F.col("node") == F.col("j_node"), "left")
     grouped = written(grouped.select("fp0", "node", F.coalesce("of", "node").alias("of")), "simhash-groups")
     far = None
