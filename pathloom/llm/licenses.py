@@ -85,7 +85,7 @@ def _literal(values: list[str]) -> Column:
 
 
 def _places(words: Column, phrase: str) -> Column:
-    """Numbers of the words at which the phrase starts."""
+    """Numbers of the words at which the phrase starts; null without words enough. words must be a plain column."""
     first, *rest = phrase.split(" ")
 
     def at(i: Column) -> Column:
@@ -95,7 +95,7 @@ def _places(words: Column, phrase: str) -> Column:
         return found
 
     last = F.size(words) - len(rest) - 1
-    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), at)).otherwise(F.array().cast("array<int>"))
+    return F.when(last >= 0, F.filter(F.sequence(F.lit(0), last), at))
 
 
 def _all_held(words: list[str]) -> Column:
@@ -143,13 +143,16 @@ def license_scan(
         F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("n_words"),
         held.alias("held"),
     )
-    words = F.flatten("lines")
+    # words are numbered only in texts that hold all of some phrase's, and put in a column of their own first: a lambda
+    # that held the expression would make the list anew for each place
+    some = F.lit(False)
+    for phrase in phrases:
+        some = some | _all_held(phrase.split(" "))
+    lines = lines.withColumn("words", F.when(some, F.flatten("lines"))).drop("lines")
     nothing = F.array().cast("array<int>")
     columns = []
     for phrase, label in phrases.items():
-        # words are numbered only in texts that hold all of the phrase's; a line break may part them
-        found = F.when(_all_held(phrase.split(" ")), _places(words, phrase)).otherwise(nothing)
-        columns.append(found.alias(f"at_{label}"))
+        columns.append(F.coalesce(_places(F.col("words"), phrase), nothing).alias(f"at_{label}"))
     read = written(lines.select("row", "id", "n_words", "held", *columns), "license-lines")
 
     # the global order: rarest first over all blocks; a row per vocabulary word
