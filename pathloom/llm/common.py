@@ -6,13 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.storage import checkpointed, shared_dir, shuffle_width, written
 
-__all__ = ["checkpointed", "discard", "documents", "shared_dir", "shuffle_width", "written"]
+__all__ = ["bounded_batches", "checkpointed", "discard", "documents", "shared_dir", "shuffle_width", "written"]
 
 #: White space as every contract counts it; a word is a run of anything else.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Arrow batches hold so many bytes at most, so that a Python worker's memory does not follow the length of the
+    texts. A session that has a bound of its own keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864"):  # Spark's default
+        spark.conf.set(key, most)
+
+
 def discard(table: DataFrame) -> None:
     """Removes a written() table that nothing will read again."""
     files = table.inputFiles()

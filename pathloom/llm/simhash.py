@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .components import components
 
 #: Bits of a byte, lowest first.
@@ -80,6 +80,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """id, fp (the fingerprint's bits as a signed long) for every row of docs."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,33 +153,37 @@ def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(keys), np.concatenate(own)
 
 
-def fingerprint_links(distinct: DataFrame, threshold: int = 3, apart: str | None = None) -> DataFrame:
-    """a < b: all pairs of the distinct fingerprints (column fp) that differ in 1 to threshold bits. apart: a bigint
-    column; pairs that agree in it are left out (they are known to belong together)."""
+def _meetings(distinct: DataFrame, threshold: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """a < b (fingerprints), a_x and b_x (of each carried bigint column x), at least once for each pair that differs in
+    1 to threshold bits; with a carried column "of", only for pairs that differ in it."""
     if not 0 <= threshold <= 7:
         raise ValueError("two halves cover thresholds up to 3, four quarters up to 7")
     places = anchors if threshold <= 3 else quarter_anchors
-    schema = pa.schema([("anchor", pa.int64()), ("fp", pa.int64()), ("of", pa.int64())])
-    given = distinct.select("fp", F.col(apart).alias("of") if apart else F.lit(0).cast("long").alias("of"))
+    names = ["anchor", "fp", *carry]
+    schema = pa.schema([(n, pa.int64()) for n in names])
 
-    def placed(own_only: bool) -> DataFrame:
+    def placed(own_only: bool, end: str, anchor: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                fps, of = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                index, keys, own = places(fps)
+                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                index, keys, own = places(columns[0])
                 if own_only:
                     index, keys = index[own], keys[own]
-                yield pa.record_batch([pa.array(keys), pa.array(fps[index]), pa.array(of[index])], schema=schema)
+                yield pa.record_batch([pa.array(keys), *[pa.array(c[index]) for c in columns]], schema=schema)
 
-        made = given.mapInArrow(run, "anchor long, fp long, of long")
-        return made if apart else made.drop("of")
+        made = distinct.select("fp", *carry).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+        return made.toDF(anchor, end, *[f"{end}_{c}" for c in carry])
 
-    residents = placed(True).withColumnRenamed("fp", "a").withColumnRenamed("of", "a_of")
-    visitors = placed(False).withColumnRenamed("anchor", "at").withColumnRenamed("fp", "b").withColumnRenamed("of", "b_of")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    if apart:
+    if "of" in carry:
         near = near & (F.col("a_of") != F.col("b_of"))
-    return residents.join(visitors, (F.col("anchor") == F.col("at")) & near).select("a", "b").distinct()
+    residents, visitors = placed(True, "a", "anchor"), placed(False, "b", "at")
+    return residents.join(visitors, (F.col("anchor") == F.col("at")) & near).drop("anchor", "at")
+
+
+def fingerprint_links(distinct: DataFrame, threshold: int = 3) -> DataFrame:
+    """a < b: all pairs of the distinct fingerprints (column fp) that differ in 1 to threshold bits."""
+    return _meetings(distinct, threshold).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 3, seed: int = 42) -> DataFrame:
@@ -197,6 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of ids whose sets of shingles have a Jaccard similarity of at least similarity. Where rows
     share an id, the least of their texts stands for it."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,34 +222,36 @@ def _similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
     """id and component_id: documents within 3 bits (three-word shingles), and those within 7 bits under one of
     the seeds whose five-word shingles are similar enough. Documents with one fingerprint are one node, named by
-    its smallest id, whose text stands for it; nodes without an id are left to the 3-bit rule."""
+    its smallest id, whose text stands for it; nodes without an id stay alone.
+
+    Seeds are taken one after another, and pairs that are in one group by then are not looked at again: this spares
+    a large group of near copies most of its pairs."""
     found = written(_many_fingerprints(docs, id_col, text_col, 3, seeds), "simhash-fingerprints")
-    nodes = written(found.groupBy("fp0").agg(F.min("id").alias("node")), "simhash-nodes")
-    close = fingerprint_links(nodes.select(F.col("fp0").alias("fp")), 3)
-    named = lambda end: nodes.select(F.col("fp0").alias(end), F.col("node").alias(f"{end}_node"))
-    links = close.join(named("a"), "a").join(named("b"), "b").select("a_node", "b_node").filter("a_node IS NOT NULL AND b_node IS NOT NULL")
-    # what 3 bits have joined needs no further link, which spares a large group of copies most of its pairs
-    joined = components(links.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))).select(F.col("node").alias("j_node"), F.col("root").alias("of"))
-    grouped = nodes.filter("node IS NOT NULL").join(joined, F.col("node") == F.col("j_node"), "left")
-    grouped = written(grouped.select("fp0", "node", F.coalesce("of", "node").alias("of")), "simhash-groups")
-    far = None
+    nodes = written(found.groupBy("fp0").agg(F.min("id").alias("node")).filter("node IS NOT NULL"), "simhash-nodes")
+    close = _meetings(nodes.select(F.col("fp0").alias("fp"), "node"), 3, ("node",))
+    groups = components(close.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
     for i in range(len(seeds)):
+        named = nodes.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
+        grouped = named.select("fp0", "node", F.coalesce("root", "node").alias("of"))
         table = written(found.join(grouped, "fp0").select(F.col(f"fp{i}").alias("fp"), "node", "of").distinct(), "simhash-seed")
-        chosen = written(table.groupBy("fp").agg(F.min(F.struct("node", "of")).alias("m")).select("fp", F.col("m.node").alias("rep"), F.col("m.of").alias("rep_of")), "simhash-seed-nodes")
-        rep = lambda end: chosen.select(F.col("fp").alias(end), F.col("rep").alias(f"{end}_node"))  # noqa: B023, E731
-        pairs = fingerprint_links(chosen, 7, apart="rep_of").join(rep("a"), "a").join(rep("b"), "b").select("a_node", "b_node")
-        same = table.join(chosen, "fp").filter("of <> rep_of").select(F.col("rep").alias("a_node"), F.col("node").alias("b_node"))
-        far = pairs.unionByName(same) if far is None else far.unionByName(pairs).unionByName(same)
-    candidates = written(far.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "simhash-candidates")
-    similar = _similar_pairs(docs, candidates, id_col, text_col, shingle, similarity)
-    known = grouped.filter("node <> of").select(F.col("node").alias("a"), F.col("of").alias("b"))
-    roots = components(known.unionByName(similar))
-    members = nodes.join(roots, nodes["node"] == roots["node"], "left").select("fp0", nodes["node"].alias("first"), "root")
-    return found.join(members, "fp0").select(F.col("id").alias(id_col), F.coalesce("root", "first").alias("component_id"))
+        chosen = table.groupBy("fp").agg(F.min(F.struct("node", "of")).alias("m")).select("fp", F.col("m.node").alias("node"), F.col("m.of").alias("of"))
+        chosen = written(chosen, "simhash-seed-nodes")
+        met = _meetings(chosen, 7, ("node", "of")).select("a_node", "b_node")
+        rest = chosen.select("fp", F.col("node").alias("a_node"), F.col("of").alias("a_of"))
+        same = table.join(rest, "fp").filter("of <> a_of").select("a_node", F.col("node").alias("b_node"))
+        ends = [f("a_node", "b_node").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))]
+        candidates = written(met.unionByName(same).select(*ends).distinct(), "simhash-candidates")
+        similar = _similar_pairs(docs, candidates, id_col, text_col, shingle, similarity)
+        known = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        groups = components(known.unionByName(similar))
+    members = nodes.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
+    members = members.select(F.col("fp0").alias("m_fp"), F.coalesce("root", "node").alias("component_id"))
+    return found.join(members, F.col("fp0") == F.col("m_fp"), "left").select(F.col("id").alias(id_col), "component_id")
 
 
 def _many_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: tuple[int, ...]) -> DataFrame:
     """id, fp0, fp1, ...: a fingerprint for each seed, from one cut of the text."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), *[(f"fp{i}", pa.int64()) for i in range(len(seeds))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
