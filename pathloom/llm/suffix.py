@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, shuffle_width, written
+from .common import bounded_batches, discard, shuffle_width, written
 
 GRAM = 32
 #: Texts are worked on in buffers of at most so many bytes (positions have 24 bits).
@@ -84,13 +84,14 @@ def _marked(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
     return found
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, least: int, common: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, place, first window, last window) for every anchor of the texts that end at ends."""
+def anchors(data: np.ndarray, ends: np.ndarray, least: int, common: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(hash, place, first window, last window) for every anchor of the texts that end at ends; hashes: of all grams,
+    if they are known."""
     none = np.empty(0, np.int64)
     n = len(data) - least + 1
     if n <= 0:
         return np.empty(0, np.uint64), none, none, none
-    hashes = gram_hashes(data)
+    hashes = gram_hashes(data) if hashes is None else hashes
     keys = hashes >> np.uint64(1)
     if len(common):
         keys[_marked(hashes, common)] |= np.uint64(1 << 63)
@@ -352,17 +353,31 @@ def _mark() -> Column:
     return F.xxhash64("doc", "key").alias("mark")
 
 
-def _near_common(docs: DataFrame, least: int, common: np.ndarray) -> DataFrame:
-    """hash, n of grams within a window of a common anchor: the rest of a passage is as common as its anchors. Grams
-    met once in a buffer are left out; they could only add to the list of common ones."""
+def _near_common(docs: DataFrame, least: int, common: np.ndarray, most_held: int = 1_000_000) -> DataFrame:
+    """hash, n of grams within a window of a common anchor: the rest of a passage is as common as its anchors. A task
+    adds its grams up before it gives them on, and leaves out those it met once: they could only lengthen the list of
+    common grams, which decides nothing but where work goes."""
     schema = pa.schema([("hash", pa.int64()), ("n", pa.int64())])
 
+    def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        found, at = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+        return [(found, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))]
+
+    def given(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for found, times in added(parts) if parts else []:
+            again = times > 1
+            yield pa.record_batch([pa.array(found[again].view(np.int64)), pa.array(times[again])], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             data, offsets = _flat(batch.column(0))
             for piece, ends, _, _ in _buffers(data, offsets, least):
-                hashes, place, _, _ = anchors(piece, ends, least, np.empty(0, np.uint64))
-                place = place[_marked(hashes, common)]
+                if len(piece) < least:
+                    continue
+                hashes = gram_hashes(piece)
+                found, place, _, _ = anchors(piece, ends, least, np.empty(0, np.uint64), hashes)
+                place = place[_marked(found, common)]
                 if not len(place):
                     continue
                 text = np.searchsorted(ends, place, side="right")
@@ -370,10 +385,14 @@ def _near_common(docs: DataFrame, least: int, common: np.ndarray) -> DataFrame:
                 step = np.zeros(len(piece) + 2, np.int32)
                 np.add.at(step, np.maximum(place - least + GRAM, begin), 1)
                 np.add.at(step, np.minimum(place + least, ends[text]) - GRAM + 1, -1)
-                near = np.flatnonzero(np.cumsum(step)[: len(piece) - GRAM + 1] > 0)
-                found, times = np.unique(gram_hashes(piece)[near], return_counts=True)
-                again = times > 1
-                yield pa.record_batch([pa.array(found[again].view(np.int64)), pa.array(times[again])], schema=schema)
+                near = np.flatnonzero(np.cumsum(step)[: len(hashes)] > 0)
+                parts.append(np.unique(hashes[near], return_counts=True))
+                if sum(len(h) for h, _ in parts) > most_held:
+                    parts = added(parts)
+                    if len(parts[0][0]) > most_held // 2:
+                        yield from given(parts)
+                        parts = []
+        yield from given(parts)
 
     texts = docs.filter(F.length("data") >= least).select("data")
     return texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
@@ -449,6 +468,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A gram is very common if it occurs more than very_common times and more often than one most_common-th of all
     that are counted, so at most about most_common of them (8 bytes each) are sent to the tasks."""
+    bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     table = written(_anchor_hashes(keyed, least, np.empty(0, np.uint64)), "suffix-anchors")
     total = table.agg(F.sum(F.size("hashes"))).first()[0] or 0
@@ -487,6 +507,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, with_kept: bool = False, **options) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 for every row of docs; with_kept: also removed (the
     spans) and kept (the bytes left)."""
+    bounded_batches(docs.sparkSession)
     spans = repeated_spans(docs, id_col, text_col, least, **options)
     by_doc = spans.groupBy(F.col("doc").alias("s_doc"), F.col("key").alias("s_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     by_doc = by_doc.select("s_doc", "s_key", F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))).alias("bounds"))
