@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, shuffle_width
+from .common import bounded_batches, checkpointed, shuffle_width
 
 #: Characters whose Unicode class the two tokenizer libraries certainly agree on; a text with others
 #: takes the slower library, whose ids are the ones asked for.
@@ -79,6 +79,7 @@ def tokenize(
     with_ids: bool = False,
 ) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32 (and ids, if asked for)."""
+    bounded_batches(docs.sparkSession)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     if with_ids:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS
+from .common import WORD_CLASS, bounded_batches
 
 _WORD = re.compile(WORD_CLASS)
 #: The characters counted as symbols.
@@ -129,6 +129,7 @@ def repetition(
     segment_chars: int = 2_000_000,
 ) -> DataFrame:
     """id, the counts of measure(), base_failed and kept."""
+    bounded_batches(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
     schema = pa.schema([("id", pa.int64()), *[(x, pa.int64()) for x in names]])
 

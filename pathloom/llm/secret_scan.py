@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 try:
     from re import _constants as sre
     from re import _parser as sre_parser
@@ -213,6 +215,7 @@ def scan_segment(texts: list[str], rules: list[tuple[Rule, re.Pattern, object]],
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + FORMAT_RULES, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 4_000_000) -> DataFrame:
     """id and spans: array of (kind, start, end) by start, then in the order of the rules."""
+    bounded_batches(docs.sparkSession)
     schema = pa.schema([("id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 RECORD = "record_type string, record_id string, refers_to string, target_uri string, date string, content_type string, headers map<string,string>, block binary"
 _ARROW = pa.schema(
     [(n, pa.string()) for n in ("record_type", "record_id", "refers_to", "target_uri", "date", "content_type")]
@@ -159,6 +161,7 @@ def derivatives(record_id: str | None, uri: str | None, date: str | None, header
 def derive(records: DataFrame, *carry: str) -> DataFrame:
     """Metadata and conversion records of the responses among records. carry: columns (of strings or longs)
     that each derived record keeps from its response."""
+    bounded_batches(records.sparkSession)
     source = records.filter(F.col("record_type") == "response").select("record_id", "target_uri", "date", "headers", "block", *carry)
     kept = source.select(*carry).schema
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
