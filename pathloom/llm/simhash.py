@@ -13,7 +13,7 @@ not documents: copies of a text are one fingerprint.
 Groups are the connected components of the links; each is named by its smallest id.
 
 ``similar_documents`` goes further for a filtering stage, which takes five-word shingles and a similarity of 0.8.
-Such pairs lie up to some ten bits apart, so it also looks at pairs within 7 bits under either of two
+Such pairs lie up to some ten bits apart, so it also looks at pairs within 5 bits under either of two
 hash seeds (quarters of 16 bits then, one of which differs in at most 1 bit; every word is an anchor, the covering
 radius is 0 and each fingerprint goes to 17 anchors a quarter) and links those whose shingle sets, compared exactly,
 have a Jaccard similarity of 0.8 or more. What lies within 3 bits is linked as before.
@@ -220,7 +220,7 @@ def _similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
-    """id and component_id: documents within 3 bits (three-word shingles), and those within 7 bits under one of
+    """id and component_id: documents within 3 bits (three-word shingles), and those within 5 bits under one of
     the seeds whose five-word shingles are similar enough. Documents with one fingerprint are one node, named by
     its smallest id, whose text stands for it; nodes without an id stay alone.
 
@@ -236,7 +236,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         table = written(found.join(grouped, "fp0").select(F.col(f"fp{i}").alias("fp"), "node", "of").distinct(), "simhash-seed")
         chosen = table.groupBy("fp").agg(F.min(F.struct("node", "of")).alias("m")).select("fp", F.col("m.node").alias("node"), F.col("m.of").alias("of"))
         chosen = written(chosen, "simhash-seed-nodes")
-        met = _meetings(chosen, 7, ("node", "of")).select("a_node", "b_node")
+        met = _meetings(chosen, 5, ("node", "of")).select("a_node", "b_node")
         rest = chosen.select("fp", F.col("node").alias("a_node"), F.col("of").alias("a_of"))
         same = table.join(rest, "fp").filter("of <> a_of").select("a_node", F.col("node").alias("b_node"))
         ends = [f("a_node", "b_node").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))]

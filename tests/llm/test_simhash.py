@@ -108,7 +108,7 @@ def brute_similar(rows, seeds=(42, 43)):
     for i in range(len(rows)):
         for j in range(i):
             gap = [(a ^ b).bit_count() for a, b in zip(fps[i], fps[j], strict=True)]
-            if gap[0] <= 3 or (min(gap) <= 7 and len(rows[i][2] & rows[j][2]) >= 0.8 * len(rows[i][2] | rows[j][2])):
+            if gap[0] <= 3 or (min(gap) <= 5 and len(rows[i][2] & rows[j][2]) >= 0.8 * len(rows[i][2] | rows[j][2])):
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     least = {}
     for i, (doc, _, _) in enumerate(rows):
