@@ -12,11 +12,10 @@ not documents: copies of a text are one fingerprint.
 
 Groups are the connected components of the links; each is named by its smallest id.
 
-``similar_documents`` goes further for a filtering stage, which takes five-word shingles and a similarity of 0.8.
-Such pairs lie up to some ten bits apart, so it also looks at pairs within 5 bits under either of two
-hash seeds (quarters of 16 bits then, one of which differs in at most 1 bit; every word is an anchor, the covering
-radius is 0 and each fingerprint goes to 17 anchors a quarter) and links those whose shingle sets, compared exactly,
-have a Jaccard similarity of 0.8 or more. What lies within 3 bits is linked as before.
+``similar_texts`` goes further for a filtering stage, which takes five-word shingles and a similarity of 0.8. Such pairs lie up
+to some ten bits apart, so they are found by an exact join of the shingle sets. ``similar_documents`` is an older form that only
+looks at pairs within 5 bits under either of two hash seeds (quarters of 16 bits then, one of which differs in at most 1
+bit; every word is an anchor, the covering radius is 0 and each fingerprint goes to 17 anchors a quarter).
 
 Edge cases: a null text has no words; texts without words have fingerprint 0 and are linked like any other; a
 null id never names a group unless all ids of it are null; repeated rows have one fingerprint and one
@@ -25,13 +24,14 @@ group; an empty table gives an empty result; columns other than the id and the t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
@@ -42,6 +42,8 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY_GENERATOR = 0b101011100011
 GOLAY_BITS, GOLAY_RADIUS, FREE_BITS = 23, 3, 9
+#: Fixed value: nodes without an id are numbered from here.
+_UNNAMED = 1 << 62
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -267,8 +269,111 @@ def _many_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A row's node: its id, or for a row without one a number beyond ids that its text decides."""
+    unnamed = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).bitwiseAND(F.lit(_UNNAMED - 1)) + F.lit(_UNNAMED)
+    return F.coalesce(F.col(id_col).cast("long"), unnamed)
+
+
+def _set(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(shingles(text, shingle), 0))
+
+
+def _common_shingles(texts: DataFrame, shingle: int, one_of: int = 16, most: int = 100_000) -> np.ndarray:
+    """Hashes of shingles that a sample of the texts (node, text) holds more than once, rarest first. They only decide the order
+    in which a set is read, so neither the sample nor the bound changes what is found."""
+    schema = pa.schema([("hash", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array(_set(text, shingle).view(np.int64))], schema=schema)
+
+    sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(one_of)) == 0).select("text").mapInArrow(run, "hash long")
+    counted = sample.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "hash").limit(most)
+    return np.array([r["hash"] for r in counted.collect()][::-1], np.int64).view(np.uint64)
+
+
+def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """token, node, size, i: the first shingles of each text (node, text) in one order for all, rare ones first, as
+    many that two sets of the similarity share one of them."""
+    common = _common_shingles(texts, shingle)
+    order = np.argsort(common)
+    shared = texts.sparkSession.sparkContext.broadcast((common[order], order + 1))  # of bounded size
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("i", pa.int32())])
+
+    def prefix(text: str | None) -> tuple[np.ndarray, int]:
+        known, ranks = shared.value
+        found = _set(text, shingle)
+        if not len(found):
+            return np.zeros(1, np.uint64), 0  # all texts without words are one set
+        rank = np.zeros(len(found), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            rank = np.where(known[at] == found, ranks[at], 0)
+        return found[np.lexsort((found, rank))][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1], len(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = [prefix(t) for t in batch.column(1).to_pylist()]
+            counts = np.array([len(t) for t, _ in cut], np.int64)
+            tokens = np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in cut]]).view(np.int64)
+            places = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
+            sizes = np.repeat(np.array([n for _, n in cut], np.int64), counts)
+            columns = [tokens, np.repeat(nodes, counts), sizes.astype(np.int32), places.astype(np.int32)]
+            yield pa.record_batch([pa.array(c) for c in columns], schema=schema)
+
+    return texts.select("node", "text").mapInArrow(run, "token long, node long, size int, i int")
+
+
+def _grouped(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """nodes with the column "of", the least node of their group."""
+    named = nodes.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
+    return named.withColumn("of", F.coalesce("root", "node")).drop("g_node", "root")
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """node and root for every document that is in a group with others: groups are the connected components of all pairs
+    whose sets of shingles have a Jaccard similarity of at least similarity, or whose fingerprints are within 3 bits.
+
+    Every such pair is found, by prefix filtering: it shares one of the first shingles of both sets. Candidates are first,
+    for each shingle, the least document with each other; these join most of a large group of near copies at a
+    linear number of comparisons. Then pairs that share a first shingle and are still in
+    different groups are compared, all of them."""
+    texts = docs.select(_keyed(docs, id_col, text_col).alias("node"), F.col(text_col).cast("string").alias("text"))
+    shorter, longer = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
+    prefixes = written(_prefixes(texts, shingle, similarity), "simhash-prefixes")
+    leaders = prefixes.groupBy("token").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("last")).filter("last > least.node")
+    met = leaders.select("token", F.col("least.node").alias("a"), F.col("least.size").alias("a_size"))
+    met = written(prefixes.join(met, "token"), "simhash-met")
+    stars = met.select("a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size")).filter("a < b")
+    stars = stars.filter(shorter >= similarity * longer).select("a", "b")
+
+    prints = written(fingerprints(texts, "node", "text"), "simhash-fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
+    close = _meetings(nodes, 3, ("node",)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    same = prints.join(nodes, "fp").filter("id > node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    linked = components(close.unionByName(same)).filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    first = written(stars.distinct(), "simhash-candidates")
+    groups = components(linked.unionByName(_similar_pairs(texts, first, "node", "text", shingle, similarity)))
+
+    rows = written(_grouped(met.select("token", "node", "size", "i"), groups), "simhash-apart")
+    several = rows.groupBy("token").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("token")
+    rows = rows.join(several, "token", "left_semi")
+    a, b = (rows.toDF("token", *[f"{end}_{c}" for c in ("node", "size", "i", "of")]) for end in "ab")
+    # the first shared shingle leaves an overlap of at most 1 and what follows it in the set with less left
+    room = 1 + F.least(F.col("a_size") - 1 - F.col("a_i"), F.col("b_size") - 1 - F.col("b_i"))
+    overlap = similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-9
+    apart = a.join(b, "token").filter("a_node < b_node AND a_of <> b_of").filter((shorter >= similarity * longer) & (room >= overlap))
+    rest = apart.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    similar = _similar_pairs(texts, written(rest, "simhash-rest"), "node", "text", shingle, similarity)
+    known = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(known.unionByName(similar))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the smallest id of each group of similar_documents(); all columns as they were."""
-    groups = similar_documents(docs, id_col, text_col, **options)
-    kept = groups.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_near_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_near_id"]), "left_semi")
+    """docs with the smallest id of each group of similar_texts(); all columns as they were. A row without an id stays
+    only in a group where no row has one."""
+    gone = similar_texts(docs, id_col, text_col, **options).filter("node <> root").select(F.col("node").alias("_near_node"))
+    return docs.join(gone, _keyed(docs, id_col, text_col) == gone["_near_node"], "left_anti")
