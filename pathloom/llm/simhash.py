@@ -335,11 +335,11 @@ def _grouped(nodes: DataFrame, groups: DataFrame) -> DataFrame:
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """node and root for every document that is in a group with others: groups are the connected components of all pairs
-    whose sets of shingles have a Jaccard similarity of at least similarity, or whose fingerprints are within 3 bits.
+    whose sets of shingles have a Jaccard similarity of at least similarity.
 
-    Every such pair is found, by prefix filtering: it shares one of the first shingles of both sets. Candidates are first,
-    for each shingle, the least document with each other; these join most of a large group of near copies at a
-    linear number of comparisons. Then pairs that share a first shingle and are still in
+    Every such pair is found, by prefix filtering: it shares one of the first shingles of both sets. Candidates are first the
+    fingerprints within 3 bits and, for each shingle, the least document with each other; these join most of a large group of
+    near copies at a linear number of comparisons. Then pairs that share a first shingle and are still in
     different groups are compared, all of them."""
     texts = docs.select(_keyed(docs, id_col, text_col).alias("node"), F.col(text_col).cast("string").alias("text"))
     shorter, longer = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
@@ -354,9 +354,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
     close = _meetings(nodes, 3, ("node",)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
     same = prints.join(nodes, "fp").filter("id > node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    linked = components(close.unionByName(same)).filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    first = written(stars.distinct(), "simhash-candidates")
-    groups = components(linked.unionByName(_similar_pairs(texts, first, "node", "text", shingle, similarity)))
+    first = written(stars.unionByName(close).unionByName(same).distinct(), "simhash-candidates")
+    groups = components(_similar_pairs(texts, first, "node", "text", shingle, similarity))
 
     rows = written(_grouped(met.select("token", "node", "size", "i"), groups), "simhash-apart")
     several = rows.groupBy("token").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("token")
