@@ -80,6 +80,12 @@ class Model:
             return np.zeros(len(self.languages))
         return np.asarray(weights) @ self.table[rows]
 
+    def knows(self, text: str | None) -> bool:
+        """Whether any word of the text is known, or any n-gram of it besides the marks of words' ends."""
+        marks = {self.grams.get("<"), self.grams.get(">")}
+        words = (m.group() for m in _LETTERS.finditer(text.lower())) if text else ()
+        return any(w in self.words or not marks.issuperset(self.backoff(w)) for w in words)
+
     def predict(self, text: str | None, temper: float) -> tuple[str, float]:
         scores = self.scores(text)
         if scores is None:
@@ -170,15 +176,16 @@ def held_out(id_col: Column) -> Column:
 
 
 def confident(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5, temper: float = 0.1) -> DataFrame:
-    """docs whose language is determined with at least least_score; all columns as they were. Rows pass through
-    the worker in Arrow batches, so nothing is shuffled and rows with one id are judged one by one."""
+    """docs whose language is determined with at least least_score; all columns as they were. Where no word
+    or n-gram is known, no language is determined. Rows pass through the worker in Arrow batches, so nothing is shuffled and rows with one id are judged one by one."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shared.value.predict(text, temper) for text in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array([language != UNDETERMINED and score >= least_score for language, score in found], pa.bool_()))
+            texts = batch.column(at).to_pylist()
+            found = [(*shared.value.predict(text, temper), shared.value.knows(text)) for text in texts]
+            yield batch.filter(pa.array([language != UNDETERMINED and score >= least_score and known for language, score, known in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

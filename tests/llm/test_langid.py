@@ -65,3 +65,14 @@ def test_fold_is_never_learned_from(spark):
     fitted = queries.language_model(spark, docs)
     assert "common" in fitted.words and "uniqueword" not in fitted.words
     assert docs.filter(langid.held_out(F.col("doc_id"))).count() == sum("unique" in t for _, t, _ in rows)
+
+
+def test_pipeline_keeps_short_texts(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    short = ["Thank you very much", "Good morning everyone", "Guten Morgen", "12 34 !", "", None, "\u6f22\u5b57"]
+    extra = spark.createDataFrame([(10_000 + i, t, None) for i, t in enumerate(short)], docs.schema)
+    stay = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra), sf_dir).collect()}
+    assert {i for i in stay if i >= 10_000} == {10_000, 10_001, 10_002}
+    assert {r["doc_id"] for r in docs.collect()} <= stay
