@@ -1,6 +1,7 @@
 """License scanning by an exact set-similarity join between text blocks and license templates.
 
-Built from DataFrame functions alone. A block is a line of a text, a template the wording of a notice; both
+Built from DataFrame functions alone. A block is a line of a text, or a run of words across lines (a notice may be
+wrapped) that is as long as the template's wording divided by ``containment``; a template the wording of a notice; both
 are sets of words. A block meets a template if it holds at least ``containment`` of the template's
 words. The join that finds every such pair:
 
@@ -13,6 +14,8 @@ words. The join that finds every such pair:
   1 + min(|t| - 1 - i, |b| - 1 - j);
 * candidates that pass are verified on the whole sets.
 
+Runs are looked at only in texts of several lines that hold enough of a template's words anywhere, which few do.
+
 The templates' side is a small table (a row per template and prefix word), broadcast; blocks are never
 joined with blocks.
 
@@ -114,7 +117,8 @@ def template_table(templates: tuple[tuple[str, str], ...], containment: float) -
     table = []
     for number, (label, wording) in enumerate(templates):
         words = list(dict.fromkeys(wording.split(" ")))
-        table.append({"template": number, "label": label, "words": words, "need": math.ceil(containment * len(words) - 1e-9)})
+        run = math.ceil(len(wording.split(" ")) / containment - 1e-9)
+        table.append({"template": number, "label": label, "words": words, "run": run, "need": math.ceil(containment * len(words) - 1e-9)})
     return table
 
 
@@ -148,12 +152,17 @@ def license_scan(
     some = F.lit(False)
     for phrase in phrases:
         some = some | _all_held(phrase.split(" "))
+    enough = F.lit(False)
+    for t in table:
+        enough = enough | (F.size(F.array_intersect("whole", _literal(t["words"]))) >= t["need"])
+    lines = lines.withColumn("whole", F.array_distinct(F.flatten("held")))
+    lines = lines.withColumn("wrapped", F.when((F.size("held") > 1) & enough, F.flatten("lines")))
     lines = lines.withColumn("words", F.when(some, F.flatten("lines"))).drop("lines")
     nothing = F.array().cast("array<int>")
     columns = []
     for phrase, label in phrases.items():
         columns.append(F.coalesce(_places(F.col("words"), phrase), nothing).alias(f"at_{label}"))
-    read = written(lines.select("row", "id", "n_words", "held", *columns), "license-lines")
+    read = written(lines.select("row", "id", "n_words", "held", "wrapped", *columns), "license-lines")
 
     # the global order: rarest first over all blocks; a row per vocabulary word
     blocks = read.select("row", F.posexplode("held").alias("block", "words"))
@@ -165,9 +174,9 @@ def license_scan(
         t["words"].sort(key=rank.__getitem__)
         size = len(t["words"])
         prefix_rows += [(t["template"], size, t["need"], i, w) for i, w in enumerate(t["words"][: size - t["need"] + 1])]
-        set_rows.append((t["template"], t["label"], t["words"]))
+        set_rows.append((t["template"], t["label"], t["words"], t["need"], t["run"]))
     prefixes = spark.createDataFrame(prefix_rows, "template int, size int, need int, i int, word string")
-    sets = spark.createDataFrame(set_rows, "template int, label string, t_words array<string>")
+    sets = spark.createDataFrame(set_rows, "template int, label string, t_words array<string>, t_need int, run int")
 
     ordered = F.filter(_literal(ranked), lambda w: F.array_contains("words", w))
     kept = blocks.filter(F.size("words") >= least).withColumn("words", ordered)
@@ -176,16 +185,22 @@ def license_scan(
     room = 1 + F.least(F.col("size") - 1 - F.col("i"), F.size("words") - 1 - F.col("j"))
     pairs = pairs.filter((F.size("words") >= F.col("need")) & (room >= F.col("need")))
     overlap = F.size(F.array_intersect("words", "t_words"))
-    met = (
+    by_line = (
         pairs.join(F.broadcast(sets), "template")
         .withColumn("overlap", overlap)
         .filter(F.col("overlap") >= F.col("need"))
-        .groupBy("row")
-        .agg(F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("size")).alias("best"))
+        .select("row", "label", (F.col("overlap") / F.col("size")).alias("share"))
     )
+    wrapped = read.filter("wrapped IS NOT NULL").select("row", F.col("wrapped").alias("words"))
+    wrapped = wrapped.join(F.broadcast(sets), overlap >= F.col("t_need"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - F.col("run") + 1))
+    most = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("words", k, F.col("run")), "t_words"))))
+    by_run = wrapped.withColumn("overlap", most).filter(F.col("overlap") >= F.col("t_need"))
+    by_run = by_run.select("row", "label", (F.col("overlap") / F.size("t_words")).alias("share"))
+    met = by_line.unionByName(by_run).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
     places = F.concat(*[F.col(f"at_{label}") for label in phrases.values()])
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in phrases.values()])))
-    everything = read.withColumn("places", places).withColumn("base", base).drop("held").join(met, "row", "left")
+    everything = read.withColumn("places", places).withColumn("base", base).drop("held", "wrapped").join(met, "row", "left")
     return everything.select(
         F.col("id").alias(id_col),
         "n_words",
@@ -203,7 +218,8 @@ def _values(rows: list[tuple]) -> str:
 
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = 0.8) -> str:
-    """The same rows by brute force: each line against each template, each word against each phrase."""
+    """Rows by brute force: each line against each template, each word against each phrase. The same as the scan's where no
+    notice is wrapped over lines."""
     t_rows = [(t["template"], t["label"], " ".join(t["words"]), t["need"]) for t in template_table(templates, containment)]
     return f"""
 WITH t AS (

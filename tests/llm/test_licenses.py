@@ -59,3 +59,19 @@ def test_sql_is_the_same(spark, sf_dir):
         columns = sorted(spark_rows.columns)
         want = con.sql(sql).project(", ".join(columns)).fetchall()
         assert sorted(map(tuple, spark_rows.select(*columns).collect()), key=str) == sorted(want, key=str), name
+
+
+def test_wrapped_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mit = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files"
+    isc = " * Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted"
+    lgpl = (
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+        "License as published by the Free Software Foundation"
+    )
+    scattered = "\n".join(f"{w} one two three four five six seven" for w in bsd.split())
+    texts = [bsd, mit, isc, lgpl, scattered, "x y z\n" * 300 + bsd + "\nx y z" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lic.license_scan(df).collect()}
+    assert [got[i]["labels"] for i in range(6)] == ["bsd", "mit", "isc", "gpl,lgpl", "", "bsd"]  # on one line, lgpl wording meets gpl too
+    assert got[0]["score"] == 1.0 and got[4]["score"] == 0.0
