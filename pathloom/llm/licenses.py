@@ -1,20 +1,22 @@
 """License scanning by an exact set-similarity join between text blocks and license templates.
 
-Built from DataFrame functions alone. A block is a line of a text, or a run of words across lines (a notice may be
-wrapped) that is as long as the template's wording divided by ``containment``; a template the wording of a notice; both
-are sets of words. A block meets a template if it holds at least ``containment`` of the template's
-words. The join that finds every such pair:
+Built from DataFrame functions alone. A template is the wording of a notice, as a set of words. A block is a line of a
+text, or a window of words across its lines, since notices are wrapped: for a template whose wording has L words, windows are
+twice the first power of 2 from L / ``containment`` on, and start at every such power, so that any run of L /
+containment words lies within one of them. A block meets a template if it holds at least ``containment`` of the
+template's words. The join that finds every such pair:
 
-* frequency order: the templates' words are ranked by the number of blocks that hold them, over all
+* frequency order: the templates' words are ranked by the number of lines that hold them, over all
   documents, rarest first (other words cannot contribute to an overlap and are dropped on reading);
 * prefix filter: a pair with overlap o shares a word among the first |x| - o + 1 of both sides, so only these
-  prefixes are joined, on the word;
+  prefixes are joined, on the word, and a block without a word of any template's prefix is left out before;
 * length filter: a block with fewer than o template words cannot meet the template;
 * positional filter: a shared word at places i and j leaves an overlap of at most
   1 + min(|t| - 1 - i, |b| - 1 - j);
 * candidates that pass are verified on the whole sets.
 
-Runs are looked at only in texts of several lines that hold enough of a template's words anywhere, which few do.
+Windows are cut only in texts of several lines that hold enough of a template's words somewhere; the prefix filter (which any
+order of words makes exact) says which texts are counted for that. They then go through the same join as lines.
 
 The templates' side is a small table (a row per template and prefix word), broadcast; blocks are never
 joined with blocks.
@@ -49,23 +51,31 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Wordings of public license notices, and the labels they stand for.
+# Wordings of public license notices, openings and whole ones, and the labels they stand for.
 TEMPLATES = (
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved no part of this work may be reproduced without prior written permission"),
 )
@@ -114,14 +124,20 @@ def _all_held(words: list[str]) -> Column:
 
 
 def template_table(templates: tuple[tuple[str, str], ...], containment: float) -> list[dict]:
+    """template, label, words (distinct), need (words that a block must hold) and step (of its windows)."""
     table = []
     for number, (label, wording) in enumerate(templates):
         words = list(dict.fromkeys(wording.split(" ")))
         run = math.ceil(len(wording.split(" ")) / containment - 1e-9)
-        table.append({"template": number, "label": label, "words": words, "run": run, "need": math.ceil(containment * len(words) - 1e-9)})
+        table.append({"template": number, "label": label, "words": words, "step": 1 << (run - 1).bit_length(), "need": math.ceil(containment * len(words) - 1e-9)})
     return table
 
 
+def _prefix(words: list[str], need: int) -> list[str]:
+    """Words of an ordered template of which every block that meets it holds one."""
+    return words[: len(words) - need + 1]
+
+
 def license_scan(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -140,8 +156,8 @@ def license_scan(
     lower = _matchable(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), lower.alias("lower"))
     lines = lines.withColumn("lines", F.transform(F.split("lower", "\n"), _words))
-    held = F.transform("lines", lambda x: F.array_distinct(F.filter(x, lambda w: w.isin(vocabulary))))
-    held = F.filter(held, lambda x: F.size(x) > 0)
+    known = lambda words: F.array_distinct(F.filter(words, lambda w: w.isin(vocabulary)))
+    held = F.filter(F.transform("lines", known), lambda x: F.size(x) > 0)
     lines = lines.select(
         "row", "id", "lines",
         F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("n_words"),
@@ -155,8 +171,11 @@ def license_scan(
     enough = F.lit(False)
     for t in table:
         enough = enough | (F.size(F.array_intersect("whole", _literal(t["words"]))) >= t["need"])
+    # long words first is a guess at rarity; the frequencies are not known yet
+    likely = sorted({w for t in table for w in _prefix(sorted(t["words"], key=lambda w: (-len(w), w)), t["need"])})
     lines = lines.withColumn("whole", F.array_distinct(F.flatten("held")))
-    lines = lines.withColumn("wrapped", F.when((F.size("held") > 1) & enough, F.flatten("lines")))
+    several = (F.size("held") > 1) & F.arrays_overlap("whole", _literal(likely)) & enough
+    lines = lines.withColumn("wrapped", F.when(several, F.flatten("lines")))
     lines = lines.withColumn("words", F.when(some, F.flatten("lines"))).drop("lines")
     nothing = F.array().cast("array<int>")
     columns = []
@@ -164,40 +183,42 @@ def license_scan(
         columns.append(F.coalesce(_places(F.col("words"), phrase), nothing).alias(f"at_{label}"))
     read = written(lines.select("row", "id", "n_words", "held", "wrapped", *columns), "license-lines")
 
-    # the global order: rarest first over all blocks; a row per vocabulary word
-    blocks = read.select("row", F.posexplode("held").alias("block", "words"))
-    counts = {r["word"]: r["n"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
+    # the global order: rarest first over all lines; a row per vocabulary word
+    of_lines = read.select("row", F.posexplode("held").alias("block", "words"))
+    counts = {r["word"]: r["n"] for r in of_lines.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     ranked = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(ranked)}
     prefix_rows, set_rows = [], []
     for t in table:
         t["words"].sort(key=rank.__getitem__)
         size = len(t["words"])
-        prefix_rows += [(t["template"], size, t["need"], i, w) for i, w in enumerate(t["words"][: size - t["need"] + 1])]
-        set_rows.append((t["template"], t["label"], t["words"], t["need"], t["run"]))
-    prefixes = spark.createDataFrame(prefix_rows, "template int, size int, need int, i int, word string")
-    sets = spark.createDataFrame(set_rows, "template int, label string, t_words array<string>, t_need int, run int")
+        prefix_rows += [(t["template"], t["step"], size, t["need"], i, w) for i, w in enumerate(_prefix(t["words"], t["need"]))]
+        set_rows.append((t["template"], t["label"], t["words"]))
+    prefixes = spark.createDataFrame(prefix_rows, "template int, t_step int, size int, need int, i int, word string")
+    sets = spark.createDataFrame(set_rows, "template int, label string, t_words array<string>")
+
+    # windows by their step; lines are blocks of step 0
+    texts = read.filter("wrapped IS NOT NULL").select("row", "wrapped").repartition("row")
+    steps = F.array(*[F.lit(x) for x in sorted({t["step"] for t in table})])
+    cut = texts.select("row", "wrapped", F.explode(steps).alias("step"))
+    cut = cut.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.size("wrapped") - 1, F.lit(0)), F.col("step"))))
+    windows = cut.select("row", "step", F.col("start").alias("block"), known(F.slice("wrapped", F.col("start") + 1, 2 * F.col("step"))).alias("words"))
+    rare = _literal(sorted({r[5] for r in prefix_rows}))
+    possible = (F.size("words") >= least) & F.arrays_overlap("words", rare)
+    blocks = of_lines.filter(possible).select("row", F.lit(0).alias("step"), "block", "words").repartition("row", "block").unionByName(windows.filter(possible))
 
     ordered = F.filter(_literal(ranked), lambda w: F.array_contains("words", w))
-    kept = blocks.filter(F.size("words") >= least).withColumn("words", ordered)
-    probes = kept.select("row", "block", "words", F.posexplode(F.slice("words", F.lit(1), F.size("words") - least + 1)).alias("j", "word"))
-    pairs = probes.join(F.broadcast(prefixes), "word")
+    kept = blocks.withColumn("words", ordered)
+    probes = kept.select("row", "step", "block", "words", F.posexplode(F.slice("words", F.lit(1), F.size("words") - least + 1)).alias("j", "word"))
+    pairs = probes.join(F.broadcast(prefixes), "word").filter("step = 0 OR step = t_step")
     room = 1 + F.least(F.col("size") - 1 - F.col("i"), F.size("words") - 1 - F.col("j"))
     pairs = pairs.filter((F.size("words") >= F.col("need")) & (room >= F.col("need")))
-    overlap = F.size(F.array_intersect("words", "t_words"))
-    by_line = (
+    met = (
         pairs.join(F.broadcast(sets), "template")
-        .withColumn("overlap", overlap)
+        .withColumn("overlap", F.size(F.array_intersect("words", "t_words")))
         .filter(F.col("overlap") >= F.col("need"))
-        .select("row", "label", (F.col("overlap") / F.col("size")).alias("share"))
+        .groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("size")).alias("best"))
     )
-    wrapped = read.filter("wrapped IS NOT NULL").select("row", F.col("wrapped").alias("words"))
-    wrapped = wrapped.join(F.broadcast(sets), overlap >= F.col("t_need"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - F.col("run") + 1))
-    most = F.array_max(F.transform(starts, lambda k: F.size(F.array_intersect(F.slice("words", k, F.col("run")), "t_words"))))
-    by_run = wrapped.withColumn("overlap", most).filter(F.col("overlap") >= F.col("t_need"))
-    by_run = by_run.select("row", "label", (F.col("overlap") / F.size("t_words")).alias("share"))
-    met = by_line.unionByName(by_run).groupBy("row").agg(F.collect_set("label").alias("found"), F.max("share").alias("best"))
     places = F.concat(*[F.col(f"at_{label}") for label in phrases.values()])
     base = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label in phrases.values()])))
     everything = read.withColumn("places", places).withColumn("base", base).drop("held", "wrapped").join(met, "row", "left")
@@ -218,12 +239,12 @@ def _values(rows: list[tuple]) -> str:
 
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = 0.8) -> str:
-    """Rows by brute force: each line against each template, each word against each phrase. The same as the scan's where no
-    notice is wrapped over lines."""
-    t_rows = [(t["template"], t["label"], " ".join(t["words"]), t["need"]) for t in template_table(templates, containment)]
+    """Rows by brute force: each line, and each window of a template's step, against each template, each word against each
+    phrase."""
+    t_rows = [(t["template"], t["label"], " ".join(t["words"]), t["need"], t["step"]) for t in template_table(templates, containment)]
     return f"""
 WITH t AS (
-  SELECT template, label, string_split(words, ' ') AS tw, need FROM (VALUES {_values(t_rows)}) v(template, label, words, need)
+  SELECT template, label, string_split(words, ' ') AS tw, need, step FROM (VALUES {_values(t_rows)}) v(template, label, words, need, step)
 ), p AS (
   SELECT string_split(phrase, ' ') AS pw, label FROM (VALUES {_values(list(phrases.items()))}) v(phrase, label)
 ), d AS (
@@ -238,8 +259,16 @@ WITH t AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM b GROUP BY doc_id
 ), l AS (
   SELECT doc_id, list_distinct(regexp_extract_all(line, '{LICENSE_WORD}')) AS lw FROM (SELECT doc_id, unnest(string_split(lower, chr(10))) AS line FROM d)
+), s AS (
+  SELECT DISTINCT step FROM t
+), cut AS (
+  SELECT w.doc_id, w.words, s.step, unnest(range(0, len(w.words), s.step)) AS start FROM w, s
+), x AS (
+  SELECT doc_id, step, list_distinct(list_slice(words, start + 1, start + 2 * step)) AS lw FROM cut
 ), m AS (
   SELECT l.doc_id, t.label, len(list_intersect(l.lw, t.tw)) AS overlap, len(t.tw) AS size FROM l JOIN t ON len(list_intersect(l.lw, t.tw)) >= t.need
+  UNION ALL
+  SELECT x.doc_id, t.label, len(list_intersect(x.lw, t.tw)) AS overlap, len(t.tw) AS size FROM x JOIN t ON x.step = t.step AND len(list_intersect(x.lw, t.tw)) >= t.need
 ), best AS (
   SELECT doc_id, max(overlap / size) AS score FROM m GROUP BY doc_id
 ), bl AS (

@@ -15,10 +15,13 @@ def brute(text):
         places += at
         base |= {label} if at else set()
     labels, score = set(base), 0.0
-    for line in lower.split("\n"):
-        have = set(WORD.findall(line))
-        for label, wording in lic.TEMPLATES:
-            want = set(wording.split(" "))
+    lines = [set(WORD.findall(line)) for line in lower.split("\n")]
+    for label, wording in lic.TEMPLATES:
+        step, want = 1, set(wording.split(" "))
+        while step < len(wording.split(" ")) / 0.8 - 1e-9:
+            step *= 2
+        windows = [set(words[a : a + 2 * step]) for a in range(0, len(words), step)]
+        for have in lines + windows:
             if len(have & want) >= 0.8 * len(want) - 1e-9:
                 labels.add(label)
                 score = max(score, len(have & want) / len(want))
@@ -70,8 +73,12 @@ def test_wrapped_notices(spark):
         "License as published by the Free Software Foundation"
     )
     scattered = "\n".join(f"{w} one two three four five six seven" for w in bsd.split())
-    texts = [bsd, mit, isc, lgpl, scattered, "x y z\n" * 300 + bsd + "\nx y z" * 300]
+    whole = next(w for label, w in lic.TEMPLATES if label == "mit" and len(w) > 300).split(" ")
+    long = "\n".join(" ".join(whole[i : i + 9]) for i in range(6, len(whole), 9))
+    texts = [bsd, mit, isc, lgpl, scattered, "x y z\n" * 300 + bsd + "\nx y z" * 300, "a b\n" * 7 + long]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in lic.license_scan(df).collect()}
-    assert [got[i]["labels"] for i in range(6)] == ["bsd", "mit", "isc", "gpl,lgpl", "", "bsd"]  # on one line, lgpl wording meets gpl too
+    # lgpl wording meets that of its kin too
+    assert [got[i]["labels"] for i in range(7)] == ["bsd", "mit", "isc", "agpl,gpl,lgpl", "", "bsd", "mit"]
+    check(df)
     assert got[0]["score"] == 1.0 and got[4]["score"] == 0.0
