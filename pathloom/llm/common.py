@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import checkpointed, shared_dir, shuffle_width, written
 
-__all__ = ["bounded_batches", "checkpointed", "discard", "documents", "free_names", "joined_with", "shared_dir", "shuffle_width", "written"]
+__all__ = ["bounded_batches", "checkpointed", "discard", "documents", "free_names", "joined_with", "looked_up", "shared_dir", "shuffle_width", "written"]
 
 #: White space as every contract counts it; a word is a run of anything else.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -22,6 +22,14 @@ def joined_with(rows: DataFrame, few: DataFrame, n: int, on: str | list[str] | l
     return rows.join(F.broadcast(few) if n <= BROADCAST_ROWS else few, on, how)
 
 
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], times: str, often: int) -> DataFrame:
+    """rows joined with a table whose column ``times`` tells how many of them meet each of its rows. Those that more than
+    ``often`` meet are few and broadcast, so that no task gets all the rows of one key."""
+    hot, rest = table.filter(F.col(times) > often), table.filter(F.col(times) <= often)
+    others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(others.join(rest, on))
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until df has no column of that name in any case."""
     taken, found = {c.lower() for c in df.columns}, []

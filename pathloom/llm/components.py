@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, looked_up
 
 
-def _star(pairs: DataFrame, with_centre: bool) -> DataFrame:
-    """pairs (u, v): every v, and with_centre u itself, is linked to the least of u and its neighbours.
-    The minimum is combined before the shuffle, so a node with very many neighbours costs no task."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    out = pairs.join(least, "u").filter("v > u" if not with_centre else "v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
+def _star(pairs: DataFrame, n: int, with_centre: bool) -> DataFrame:
+    """n pairs (u, v): every v, and with_centre u itself, is linked to the least of u and its neighbours. The minimum is
+    combined before the shuffle; the few nodes with very many neighbours are broadcast, so that no task gets all of these."""
+    least = checkpointed(pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("times")))
+    out = looked_up(pairs, least, ["u"], "times", max(10_000, n // 1000))
+    out = out.filter("v > u" if not with_centre else "v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if with_centre:
         out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     return out.filter("a <> b").distinct()
@@ -33,5 +34,5 @@ def components(links: DataFrame) -> DataFrame:
             )
         seen = state
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = checkpointed(_star(both, with_centre=False))
-        edges = checkpointed(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), with_centre=True))
+        large = checkpointed(_star(both, 2 * state[0], with_centre=False))
+        edges = checkpointed(_star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), state[0], with_centre=True))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_CLASS, free_names, joined_with, shuffle_width, written
+from .common import SPACE_CLASS, free_names, joined_with, looked_up, shuffle_width, written
 
 Hash = Callable[[Column], Column]
 #: Buckets that a directory has at most, about, where the capacity follows the table.
@@ -144,27 +144,20 @@ def build_index(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_c
     return Index(directory, depth, entries, rows, entries.filter("length > 1").count(), hash_of)
 
 
-def _met(probes: DataFrame, entries: DataFrame, on: list[str], often: int) -> DataFrame:
-    """probes with their entry. Entries that more than ``often`` rows look up are few, and broadcast."""
-    hot, rest = entries.filter(F.col("group_size") > often), entries.filter(F.col("group_size") <= often)
-    others = probes.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return probes.join(F.broadcast(hot), on).unionByName(others.join(rest, on))
-
-
 def lookup(docs: DataFrame, keys: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, id, hash, sha, keep_id, group_size of each keyed() row of docs that the index holds. Rows of a longer chain
     have no row number."""
     often = max(1000, index.rows // 1000)
     answer = ["bucket", "hash", "sha", "keep_id", "group_size"]
     probes = _placed(keys.select("row", "id", "hash"), index.directory, index.depth).drop("local_depth")
-    found = _met(probes, index.entries.filter("length = 1").select(*answer), ["bucket", "hash"], often)
+    found = looked_up(probes, index.entries.filter("length = 1").select(*answer), ["bucket", "hash"], "group_size", often)
     columns = ["row", "id", "hash", "sha", "keep_id", "group_size"]
     if not index.chained:
         return found.select(*columns)
     chained = index.entries.filter("length > 1")
     texts = _texts_of(docs, chained.select("hash").distinct(), index.chained, id_col, text_col, index.hash_of)
     texts = _placed(texts, index.directory, index.depth).drop("local_depth").withColumn("row", F.lit(None).cast("long"))
-    by_bytes = _met(texts, chained.select(*answer, F.col("text").alias("norm")), ["bucket", "hash", "norm"], often)
+    by_bytes = looked_up(texts, chained.select(*answer, F.col("text").alias("norm")), ["bucket", "hash", "norm"], "group_size", often)
     return found.select(*columns).unionByName(by_bytes.select(*columns))
 
 

@@ -1,50 +1,59 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints have 64 bits. If two differ in at most 3, then one of their halves differs in at most 1 bit, so
-each half is searched on its own with threshold 1. The anchors of a half are a covering code of its 32
-bits: the binary Golay code on 23 of them (4096 code words, every word within 3 of exactly one) times all
-words on the other 9. A fingerprint lives at its own anchor, within the covering radius, and is copied to
-every anchor within radius plus threshold: the code words within 4 of its 23 bits with its own 9 bits,
-and its own code word with one of the 9 bits flipped, about 13 copies a half. If a half of u differs from
-that of v in at most one bit, u is copied to the anchor where v lives; so comparing, per anchor, the
-copies with the residents finds every link and nothing needs all pairs. Distinct fingerprints are compared,
-not documents: copies of a text are one fingerprint.
+Fingerprints have 64 bits. If two differ in at most 3, then one of their halves differs in at most 1 bit (pigeonhole), so
+each half is searched on its own with threshold 1. The anchors of a half are a covering code of its 32 bits: the
+perfect Hamming code on 31 of them (2 ** 26 code words, every word within 1 of exactly one) times the free bit. A
+fingerprint lives at its own anchor, within the covering radius, and is copied to every anchor within radius plus
+threshold: the 16 code words within 2 of its 31 bits with its own free bit, and its own code word with the free bit
+flipped, 17 copies a half. If a half of u differs from that of v in at most one bit, u is copied to the anchor where v
+lives; so comparing, per anchor, the copies with the residents finds every link and nothing needs all pairs. A half has
+2 ** 27 anchors. From 2 ** 36 distinct fingerprints on, halves give way to triples of five blocks: three differences leave
+three of five blocks with at most one, and a triple has 2 ** 33 anchors and more. So the residents that a copy meets stay few at any size.
+Distinct fingerprints are compared, not documents: copies of a text are one fingerprint.
 
 Groups are the connected components of the links; each is named by its smallest id.
 
-``similar_texts`` goes further for a filtering stage, which takes five-word shingles and a similarity of 0.8. Such pairs lie up
-to some ten bits apart, so they are found by an exact join of the shingle sets. ``similar_documents`` is an older form that only
-looks at pairs within 5 bits under either of two hash seeds (quarters of 16 bits then, one of which differs in at most 1
-bit; every word is an anchor, the covering radius is 0 and each fingerprint goes to 17 anchors a quarter).
+``similar_texts`` is for a filtering stage, which takes five-word shingles and a similarity of 0.8. Fingerprints of such pairs lie
+up to some fifteen bits apart, so anchors give the first candidates and an exact prefix-filtered join of the shingle sets the
+rest; every candidate is verified on the whole sets.
 
 Edge cases: a null text has no words; texts without words have fingerprint 0 and are linked like any other; a
 null id never names a group unless all ids of it are null; repeated rows have one fingerprint and one
-group; an empty table gives an empty result; columns other than the id and the text are ignored.
+group; an empty table gives an empty result; columns other than the id and the text are ignored; fingerprints take ids of
+any type, similar_texts() whole numbers (rows that share one are one node, as similar as the most similar of their texts).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, free_names, joined_with, looked_up, shuffle_width, written
 from .components import components
 
 #: Bits of a byte, lowest first.
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-#: Fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
-GOLAY_GENERATOR = 0b101011100011
-GOLAY_BITS, GOLAY_RADIUS, FREE_BITS = 23, 3, 9
+CODE_BITS, CODE_WAYS = 31, 16
 #: Fixed value: nodes without an id are numbered from here.
 _UNNAMED = 1 << 62
 
+#: A search is a choice of blocks (first bit, bits) of the fingerprint, read as one word of 31 bits and more.
+Search = tuple[tuple[int, int], ...]
+HALVES: tuple[Search, ...] = (((0, 32),), ((32, 32),))
+_FIFTHS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+TRIPLES: tuple[Search, ...] = tuple(combinations(_FIFTHS, 3))
+#: Distinct fingerprints from which on triples are searched.
+MANY = 1 << 36
+
 
 def shingles(text: str | None, size: int) -> list[bytes]:
     """Runs of size words, A-Z lower-cased, space-joined; the whole sequence if it is shorter."""
@@ -83,84 +92,67 @@ def majority(hashes: np.ndarray) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
     """id, fp (the fingerprint's bits as a signed long) for every row of docs."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], schema=schema)
+            yield pa.record_batch([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, fp long")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
-def _remainder(word: int) -> int:
-    for bit in range(GOLAY_BITS - 1, 10, -1):
-        if word >> bit & 1:
-            word ^= GOLAY_GENERATOR << (bit - 11)
-    return word
+# --- anchors ---------------------------------------------------------------------------------------------
 
 
 @cache
-def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Remainders of the low 12 and the high 11 bits; by remainder, the way to the code word within the
-    radius, and (as bounds and flat list) the ways to all code words within the radius plus 1."""
-    single = [_remainder(1 << i) for i in range(GOLAY_BITS)]
-
-    def of(word: int) -> int:
-        found = 0
-        for i in range(GOLAY_BITS):
-            if word >> i & 1:
-                found ^= single[i]
-        return found
-
-    low = np.array([of(x) for x in range(1 << 12)], np.int64)
-    high = np.array([of(x << 12) for x in range(1 << 11)], np.int64)
-    ways: list[list[int]] = [[] for _ in range(1 << 11)]
-    for weight in range(GOLAY_RADIUS + 2):
-        for bits in combinations(range(GOLAY_BITS), weight):
-            ways[of(sum(1 << b for b in bits))].append(sum(1 << b for b in bits))
-    bounds = np.cumsum([0, *map(len, ways)])
-    return low, high, np.array([w[0] for w in ways], np.int64), bounds, np.array([x for w in ways for x in w], np.int64)
-
-
-def quarter_anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As anchors(), for quarters: every 16-bit word is an anchor, visited from all within one bit."""
-    every, flips = np.arange(len(fps)), np.array([0, *(1 << b for b in range(16))], np.int64)
-    word = [(fps.view(np.uint64) >> np.uint64(16 * q) & np.uint64(0xFFFF)).astype(np.int64) | q << 16 for q in range(4)]
-    keys = np.concatenate([(w[:, None] ^ flips).ravel() for w in word])
-    return np.tile(np.repeat(every, 17), 4), keys, np.tile(np.arange(17) == 0, 4 * len(fps))
-
-
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint's index, anchor, is its own) for both halves of each fingerprint."""
-    low, high, nearest, bounds, ways = golay_tables()
+def code_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Syndromes of the values of each of a word's four bytes (bit i counts i + 1); by syndrome, what turns a word into the code
+    words within 2 of it, the nearest first. Syndrome 0 is a code word itself, with no other within 2."""
+    of_byte = np.zeros((4, 256), np.int64)
+    for byte in range(4):
+        for bit in range(8):
+            if 8 * byte + bit < CODE_BITS:
+                of_byte[byte, (np.arange(256) >> bit & 1).astype(bool)] ^= 8 * byte + bit + 1
+    ways = np.zeros((CODE_BITS + 1, CODE_WAYS), np.int64)
+    for s in range(1, CODE_BITS + 1):
+        pairs = [1 << i - 1 | 1 << (i ^ s) - 1 for i in range(1, CODE_BITS + 1) if i < i ^ s]
+        ways[s] = [1 << s - 1, *pairs]
+    return of_byte, ways
+
+
+def anchors(fps: np.ndarray, searches: tuple[Search, ...] = HALVES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint's index, anchor, is its own) for all searches of each fingerprint."""
+    of_byte, ways = code_tables()
     index, keys, own = [], [], []
     every = np.arange(len(fps))
-    for half in (0, 1):
-        word = (fps.view(np.uint64) >> np.uint64(32 * half) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        code, free = word & (1 << GOLAY_BITS) - 1, word >> GOLAY_BITS
-        rest = low[code & 0xFFF] ^ high[code >> 12]
-        key = half << 32 | free << GOLAY_BITS
-        home = key | (code ^ nearest[rest])
-        counts = bounds[rest + 1] - bounds[rest]
-        rows = np.repeat(every, counts)
-        within = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-        index += [rows]
-        keys += [key[rows] | (code[rows] ^ ways[bounds[rest][rows] + within])]
-        own += [within == 0]  # the lightest way comes first, and only one is within the radius
-        for bit in range(FREE_BITS):
+    bits = fps.view(np.uint64)
+    for number, blocks in enumerate(searches):
+        word, width = np.zeros(len(fps), np.int64), 0
+        for first, n in blocks:
+            word |= (bits >> np.uint64(first) & np.uint64((1 << n) - 1)).astype(np.int64) << width
+            width += n
+        code, free = word & (1 << CODE_BITS) - 1, word >> CODE_BITS
+        rest = of_byte[0][code & 255] ^ of_byte[1][code >> 8 & 255] ^ of_byte[2][code >> 16 & 255] ^ of_byte[3][code >> 24]
+        key = number << 48 | free << CODE_BITS
+        home = key | (code ^ ways[rest, 0])
+        # the nearest code word for all, the others where the word is none itself
+        off = np.flatnonzero(rest)
+        index += [every, np.repeat(off, CODE_WAYS - 1)]
+        keys += [home, ((key | code)[off, None] ^ ways[rest[off], 1:]).ravel()]
+        own += [np.ones(len(fps), bool), np.zeros(len(off) * (CODE_WAYS - 1), bool)]
+        for bit in range(CODE_BITS, width):
             index += [every]
-            keys += [home ^ (1 << GOLAY_BITS + bit)]
+            keys += [home ^ (1 << bit)]
             own += [np.zeros(len(fps), bool)]
     return np.concatenate(index), np.concatenate(keys), np.concatenate(own)
 
 
-def _meetings(distinct: DataFrame, threshold: int, carry: tuple[str, ...] = ()) -> DataFrame:
+def _meetings(distinct: DataFrame, searches: tuple[Search, ...], threshold: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """a < b (fingerprints), a_x and b_x (of each carried bigint column x), at least once for each pair that differs in
-    1 to threshold bits; with a carried column "of", only for pairs that differ in it."""
-    if not 0 <= threshold <= 7:
-        raise ValueError("two halves cover thresholds up to 3, four quarters up to 7")
-    places = anchors if threshold <= 3 else quarter_anchors
+    1 to threshold bits."""
+    if not 0 <= threshold <= 3:
+        raise ValueError("halves and triples of blocks cover thresholds up to 3")
     names = ["anchor", "fp", *carry]
     schema = pa.schema([(n, pa.int64()) for n in names])
 
@@ -168,7 +160,7 @@ def _meetings(distinct: DataFrame, threshold: int, carry: tuple[str, ...] = ())
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                index, keys, own = places(columns[0])
+                index, keys, own = anchors(columns[0], searches)
                 if own_only:
                     index, keys = index[own], keys[own]
                 yield pa.record_batch([pa.array(keys), *[pa.array(c[index]) for c in columns]], schema=schema)
@@ -177,96 +169,36 @@ def _meetings(distinct: DataFrame, threshold: int, carry: tuple[str, ...] = ())
         return made.toDF(anchor, end, *[f"{end}_{c}" for c in carry])
 
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    if "of" in carry:
-        near = near & (F.col("a_of") != F.col("b_of"))
     residents, visitors = placed(True, "a", "anchor"), placed(False, "b", "at")
     return residents.join(visitors, (F.col("anchor") == F.col("at")) & near).drop("anchor", "at")
 
 
-def fingerprint_links(distinct: DataFrame, threshold: int = 3) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, threshold: int = 3, searches: tuple[Search, ...] = HALVES) -> DataFrame:
     """a < b: all pairs of the distinct fingerprints (column fp) that differ in 1 to threshold bits."""
-    return _meetings(distinct, threshold).select("a", "b").distinct()
+    return _meetings(distinct, searches, threshold).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 3, seed: int = 42) -> DataFrame:
     """id, fingerprint (16 hex digits) and component_id for every row of docs."""
     found = written(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-fingerprints")
-    distinct = written(found.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    roots = components(fingerprint_links(distinct, threshold))
-    members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "root")
-    smallest = members.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"))
-    named = members.join(smallest, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return found.join(named, "fp").select(
+    distinct = written(found.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("times")), "simhash-distinct")
+    n, rows = distinct.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
+    often = max(1000, rows // 1000)
+    roots = components(fingerprint_links(distinct, threshold, TRIPLES if n > MANY else HALVES))
+    members = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", "times", "root")
+    smallest = members.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("nodes"))
+    linked = looked_up(members.filter("root IS NOT NULL"), smallest, ["root"], "nodes", often).select("fp", "times", F.coalesce("least", "first").alias("component_id"))
+    alone = members.filter("root IS NULL").select("fp", "times", F.col("first").alias("component_id"))
+    return looked_up(found, linked.unionByName(alone), ["fp"], "times", often).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
-def _similar_pairs(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of ids whose sets of shingles have a Jaccard similarity of at least similarity. Where rows
-    share an id, the least of their texts stands for it."""
-    bounded_batches(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(shingles(t, shingle), 0)).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(sets, schema.field(1).type)], schema=schema)
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    wanted = texts.join(ids, F.col("id") == F.col("wanted"), "left_semi").groupBy("id").agg(F.min("text").alias("text"))
-    sets = written(wanted.mapInArrow(run, "id long, set array<long>"), "simhash-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
-    common = F.size(F.array_intersect("s", "t"))
-    return both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("a", "b")
-
-
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
-    """id and component_id: documents within 3 bits (three-word shingles), and those within 5 bits under one of
-    the seeds whose five-word shingles are similar enough. Documents with one fingerprint are one node, named by
-    its smallest id, whose text stands for it; nodes without an id stay alone.
-
-    Seeds are taken one after another, and pairs that are in one group by then are not looked at again: this spares
-    a large group of near copies most of its pairs."""
-    found = written(_many_fingerprints(docs, id_col, text_col, 3, seeds), "simhash-fingerprints")
-    nodes = written(found.groupBy("fp0").agg(F.min("id").alias("node")).filter("node IS NOT NULL"), "simhash-nodes")
-    close = _meetings(nodes.select(F.col("fp0").alias("fp"), "node"), 3, ("node",))
-    groups = components(close.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
-    for i in range(len(seeds)):
-        named = nodes.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
-        grouped = named.select("fp0", "node", F.coalesce("root", "node").alias("of"))
-        table = written(found.join(grouped, "fp0").select(F.col(f"fp{i}").alias("fp"), "node", "of").distinct(), "simhash-seed")
-        chosen = table.groupBy("fp").agg(F.min(F.struct("node", "of")).alias("m")).select("fp", F.col("m.node").alias("node"), F.col("m.of").alias("of"))
-        chosen = written(chosen, "simhash-seed-nodes")
-        met = _meetings(chosen, 5, ("node", "of")).select("a_node", "b_node")
-        rest = chosen.select("fp", F.col("node").alias("a_node"), F.col("of").alias("a_of"))
-        same = table.join(rest, "fp").filter("of <> a_of").select("a_node", F.col("node").alias("b_node"))
-        ends = [f("a_node", "b_node").alias(n) for f, n in ((F.least, "a"), (F.greatest, "b"))]
-        candidates = written(met.unionByName(same).select(*ends).distinct(), "simhash-candidates")
-        similar = _similar_pairs(docs, candidates, id_col, text_col, shingle, similarity)
-        known = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        groups = components(known.unionByName(similar))
-    members = nodes.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
-    members = members.select(F.col("fp0").alias("m_fp"), F.coalesce("root", "node").alias("component_id"))
-    return found.join(members, F.col("fp0") == F.col("m_fp"), "left").select(F.col("id").alias(id_col), "component_id")
-
-
-def _many_fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: tuple[int, ...]) -> DataFrame:
-    """id, fp0, fp1, ...: a fingerprint for each seed, from one cut of the text."""
-    bounded_batches(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), *[(f"fp{i}", pa.int64()) for i in range(len(seeds))]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                runs = shingles(text, shingle)
-                rows.append([majority(shingle_hashes(runs, seed)) for seed in seeds])
-            table = np.array(rows, np.uint64).reshape(-1, len(seeds)).view(np.int64)
-            yield pa.record_batch([batch.column(0), *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(len(seeds))]], schema=schema)
+# --- similar texts ---------------------------------------------------------------------------------------
 
-    ddl = ", ".join(f"{f.name} long" for f in schema)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ddl)
+#: Rows that an owner of tokens holds at once, about, and rows of one token that are dealt by a salt beyond that.
+OWNED, SALTED = 2_000_000, 250_000
+_CUT = np.uint64(24)  # tokens are told apart by 40 bits: what they share by chance is only one more candidate
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -275,98 +207,222 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), unnamed)
 
 
-def _set(text: str | None, shingle: int) -> np.ndarray:
-    return np.unique(shingle_hashes(shingles(text, shingle), 0))
+@dataclass(frozen=True)
+class Order:
+    """What is known of tokens before they are read: those that a sample holds more than once, sorted, with their rank (the rarest first)
+    and the number of salts of each; and the number of owners. It decides where work goes, never what is found."""
 
+    known: np.ndarray
+    rank: np.ndarray
+    salts: np.ndarray
+    owners: int
 
-def _common_shingles(texts: DataFrame, shingle: int, one_of: int = 16, most: int = 100_000) -> np.ndarray:
-    """Hashes of shingles that a sample of the texts (node, text) holds more than once, rarest first. They only decide the order
-    in which a set is read, so neither the sample nor the bound changes what is found."""
+    def prefix(self, found: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, salts) of the first tokens of a set, as many that two sets of the similarity share one of them."""
+        if not len(found):
+            return np.zeros(1, np.uint64), np.ones(1, np.int64)  # all texts without words are one set
+        rank, salts = np.zeros(len(found), np.int64), np.ones(len(found), np.int64)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+            met = self.known[at] == found
+            rank, salts = np.where(met, self.rank[at], 0), np.where(met, self.salts[at], 1)
+        order = np.lexsort((found, rank))[: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1]
+        return found[order], salts[order]
+
+
+def token_order(texts: DataFrame, shingle: int, similarity: float, one_of: int = 16, most: int = 100_000) -> Order:
+    """The order of tokens, from one text (node, text) in one_of; most: tokens that are ranked at most."""
     schema = pa.schema([("hash", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.record_batch([pa.array(_set(text, shingle).view(np.int64))], schema=schema)
+                yield pa.record_batch([pa.array(np.unique(shingle_hashes(shingles(text, shingle), 42)).view(np.int64))], schema=schema)
 
     sample = texts.filter(F.pmod(F.xxhash64("node"), F.lit(one_of)) == 0).select("text").mapInArrow(run, "hash long")
-    counted = sample.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").orderBy(F.desc("n"), "hash").limit(most)
-    return np.array([r["hash"] for r in counted.collect()][::-1], np.int64).view(np.uint64)
+    counted = written(sample.groupBy("hash").agg(F.count("*").alias("n")), "simhash-sample")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = counted.filter("n > 1").orderBy(F.desc("n"), "hash").limit(most).collect()
+    known, times = np.array([r["hash"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)
+    order = np.argsort(known)
+    owners = max(2 * shuffle_width(texts.sparkSession), int(total * one_of * (1 - similarity)) // OWNED)
+    return Order(known[order], (len(known) - np.arange(len(known)))[order], -(-times * one_of // SALTED)[order], owners)
 
 
-def _prefixes(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """token, node, size, i: the first shingles of each text (node, text) in one order for all, rare ones first, as
-    many that two sets of the similarity share one of them."""
-    common = _common_shingles(texts, shingle)
-    order = np.argsort(common)
-    shared = texts.sparkSession.sparkContext.broadcast((common[order], order + 1))  # of bounded size
-    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("i", pa.int32())])
+def _planes(column: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side, which compress well."""
+    return column.view(np.uint8).reshape(len(column), -1).T.tobytes()
 
-    def prefix(text: str | None) -> tuple[np.ndarray, int]:
-        known, ranks = shared.value
-        found = _set(text, shingle)
-        if not len(found):
-            return np.zeros(1, np.uint64), 0  # all texts without words are one set
-        rank = np.zeros(len(found), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-            rank = np.where(known[at] == found, ranks[at], 0)
-        return found[np.lexsort((found, rank))][: len(found) - math.ceil(similarity * len(found) - 1e-9) + 1], len(found)
+
+def pack_rows(tokens: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> bytes:
+    """Rows of one owner, sorted by token."""
+    import zstandard
+
+    body = b"".join([_planes(tokens), _planes(nodes), _planes(sizes), _planes(places)])
+    return zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def unpack_rows(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n, at, found = len(body) // 24, 0, []
+    for kind in (np.uint64, np.int64, np.int32, np.int32):
+        width = np.dtype(kind).itemsize
+        found.append(np.ascontiguousarray(body[at : at + n * width].reshape(width, n).T).view(kind).ravel())
+        at += n * width
+    return found
+
+
+def signatures(texts: DataFrame, shingle: int, similarity: float, order: Order) -> DataFrame:
+    """For each text (node, text) its fingerprint (node, fp), and for each owner the rows (token, node, size of the set, place in the
+    order) of the prefixes of a batch of texts, packed (owner, rows). One pass cuts the shingles for both."""
+    bounded_batches(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(order)  # of bounded size
+    schema = pa.schema([("owner", pa.int32()), ("rows", pa.binary()), ("node", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for batch in batches:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            cut = [prefix(t) for t in batch.column(1).to_pylist()]
+            prints, sizes, cut = [], [], []
+            for text in batch.column(1).to_pylist():
+                hashes = shingle_hashes(shingles(text, shingle), 42)
+                found = np.unique(hashes)
+                prints.append(majority(hashes))
+                sizes.append(len(found))
+                cut.append(known.prefix(found, similarity))
+            empty = pa.nulls(len(nodes))
+            yield pa.record_batch([empty.cast(pa.int32()), empty.cast(pa.binary()), pa.array(nodes), pa.array(np.array(prints, np.uint64).view(np.int64))], schema=schema)
             counts = np.array([len(t) for t, _ in cut], np.int64)
-            tokens = np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in cut]]).view(np.int64)
-            places = np.arange(len(tokens)) - np.repeat(np.cumsum(counts) - counts, counts)
-            sizes = np.repeat(np.array([n for _, n in cut], np.int64), counts)
-            columns = [tokens, np.repeat(nodes, counts), sizes.astype(np.int32), places.astype(np.int32)]
-            yield pa.record_batch([pa.array(c) for c in columns], schema=schema)
+            row = np.repeat(np.arange(len(nodes)), counts)
+            tokens, salts = np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in cut]]), np.concatenate([np.zeros(0, np.int64), *[s for _, s in cut]])
+            places = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+            mixed = (nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+            owner = ((tokens >> _CUT).astype(np.int64) % 1_000_003 + mixed[row] % salts * 7919) % known.owners
+            by_owner = np.lexsort((tokens, owner))
+            bounds = np.flatnonzero(np.diff(owner[by_owner], prepend=-1, append=known.owners))
+            blobs = []
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                at = by_owner[a:b]
+                blobs.append(pack_rows(tokens[at] >> _CUT, nodes[row[at]], np.array(sizes, np.int32)[row[at]], places[at]))
+            none = pa.nulls(len(blobs), pa.int64())
+            yield pa.record_batch([pa.array(owner[by_owner[bounds[:-1]]].astype(np.int32)), pa.array(blobs, pa.binary()), none, none], schema=schema)
+
+    return texts.select("node", "text").mapInArrow(run, "owner int, rows binary, node long, fp long")
+
+
+_STAR = "token long, lead long, lead_size int, lead_place int, node long, size int, place int"
+
+
+def token_stars(packed: DataFrame, order: Order) -> DataFrame:
+    """A row of _STAR for each token and text but the first (the least node) of those that share the token at an owner. Of
+    a salted token, whose texts have several owners, the first texts of all owners come too, led by the least."""
+    salted = np.sort(order.known[order.salts > 1] >> _CUT)
+    columns = [c.split(" ")[0] for c in _STAR.split(", ")]
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        parts = [unpack_rows(bytes(b)) for b in group["rows"]]
+        tokens, nodes, sizes, places = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        at = np.lexsort((nodes, tokens))
+        tokens, nodes, sizes, places = tokens[at], nodes[at], sizes[at], places[at]
+        first = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        use = nodes != nodes[lead]
+        if len(salted):
+            use |= first & np.isin(tokens, salted)
+        lead = lead[use]
+        found = (tokens[use].astype(np.int64), nodes[lead], sizes[lead], places[lead], nodes[use], sizes[use], places[use])
+        return pd.DataFrame(dict(zip(columns, found, strict=True)))
+
+    found = written(packed.groupBy("owner").applyInPandas(meet, _STAR), "simhash-met")
+    if not len(salted):
+        return found
+    wanted = found.sparkSession.createDataFrame([(t,) for t in salted.astype(np.int64).tolist()], "token long")
+    leads = found.join(F.broadcast(wanted), "token", "left_semi").groupBy("token", "lead").agg(F.min("lead_size").alias("lead_size"), F.min("lead_place").alias("lead_place"))
+    top = leads.groupBy("token").agg(F.min(F.struct("lead", "lead_size", "lead_place")).alias("top"))
+    among = leads.join(top, "token").select("token", "top.*", F.col("lead").alias("node"), F.col("lead_size").alias("size"), F.col("lead_place").alias("place"))
+    return written(found.filter("node <> lead").unionByName(among.filter("node <> lead").select(*columns)), "simhash-met-salted")
+
+
+def _possible(similarity: float, a: str, b: str) -> Column:
+    """Whether sets of these sizes that first share the tokens at these places can be similar enough."""
+    sizes, places = [F.col(f"{x}size") for x in (a, b)], [F.col(f"{x}place") for x in (a, b)]
+    room = 1 + F.least(sizes[0] - 1 - places[0], sizes[1] - 1 - places[1])
+    overlap = similarity / (1 + similarity) * (sizes[0] + sizes[1]) - 1e-9
+    return (F.least(*sizes) >= similarity * F.greatest(*sizes)) & (room >= overlap)
+
+
+def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least similarity."""
+    bounded_batches(texts.sparkSession)
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "simhash-wanted")
+    sets_schema = pa.schema([("node", pa.int64()), ("set", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(shingles(t, shingle), 42)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], schema=sets_schema)
+
+    def enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(common >= similarity * (len(s) + len(t) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return texts.select("node", "text").mapInArrow(run, "token long, node long, size int, i int")
+    sets = written(joined_with(texts.select("node", "text"), wanted, wanted.count(), "node", "left_semi").mapInArrow(cut, "node long, set binary"), "simhash-sets")
+    both = pairs.select("a", "b").join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b").select("a", "b", "s", "t")
+    return both.mapInArrow(enough, "a long, b long")
 
 
-def _grouped(nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """nodes with the column "of", the least node of their group."""
-    named = nodes.join(groups.withColumnRenamed("node", "g_node"), F.col("node") == F.col("g_node"), "left")
-    return named.withColumn("of", F.coalesce("root", "node")).drop("g_node", "root")
+def _apart(pairs: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs whose ends are in different groups."""
+    for end in (a, b):
+        pairs = pairs.join(groups.toDF(f"{end}_node", f"{end}_root"), F.col(end) == F.col(f"{end}_node"), "left").drop(f"{end}_node")
+    return pairs.filter(F.coalesce(f"{a}_root", a) != F.coalesce(f"{b}_root", b)).drop(f"{a}_root", f"{b}_root")
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """node and root for every document that is in a group with others: groups are the connected components of all pairs
     whose sets of shingles have a Jaccard similarity of at least similarity.
 
-    Every such pair is found, by prefix filtering: it shares one of the first shingles of both sets. Candidates are first the
-    fingerprints within 3 bits and, for each shingle, the least document with each other; these join most of a large group of
-    near copies at a linear number of comparisons. Then pairs that share a first shingle and are still in
-    different groups are compared, all of them."""
+    First candidates are fingerprints that meet at an anchor and differ in at most 3 bits. Beyond these every pair is found by prefix filtering:
+    it shares one of the first shingles of both sets. For each such shingle the least document is compared with each other; these
+    stars join most of a large group of near copies at a linear number of comparisons. Then, of shingles whose star fell apart, the pairs
+    that are still in different groups are compared, all of them."""
     texts = docs.select(_keyed(docs, id_col, text_col).alias("node"), F.col(text_col).cast("string").alias("text"))
-    shorter, longer = F.least("a_size", "b_size"), F.greatest("a_size", "b_size")
-    prefixes = written(_prefixes(texts, shingle, similarity), "simhash-prefixes")
-    leaders = prefixes.groupBy("token").agg(F.min(F.struct("node", "size")).alias("least"), F.max("node").alias("last")).filter("last > least.node")
-    met = leaders.select("token", F.col("least.node").alias("a"), F.col("least.size").alias("a_size"))
-    met = written(prefixes.join(met, "token"), "simhash-met")
-    stars = met.select("a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size")).filter("a < b")
-    stars = stars.filter(shorter >= similarity * longer).select("a", "b")
-
-    prints = written(fingerprints(texts, "node", "text"), "simhash-fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
-    close = _meetings(nodes, 3, ("node",)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
-    same = prints.join(nodes, "fp").filter("id > node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    first = written(stars.unionByName(close).unionByName(same).distinct(), "simhash-candidates")
-    groups = components(_similar_pairs(texts, first, "node", "text", shingle, similarity))
-
-    rows = written(_grouped(met.select("token", "node", "size", "i"), groups), "simhash-apart")
-    several = rows.groupBy("token").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("token")
-    rows = rows.join(several, "token", "left_semi")
-    a, b = (rows.toDF("token", *[f"{end}_{c}" for c in ("node", "size", "i", "of")]) for end in "ab")
-    # the first shared shingle leaves an overlap of at most 1 and what follows it in the set with less left
-    room = 1 + F.least(F.col("a_size") - 1 - F.col("a_i"), F.col("b_size") - 1 - F.col("b_i"))
-    overlap = similarity / (1 + similarity) * (F.col("a_size") + F.col("b_size")) - 1e-9
-    apart = a.join(b, "token").filter("a_node < b_node AND a_of <> b_of").filter((shorter >= similarity * longer) & (room >= overlap))
-    rest = apart.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    similar = _similar_pairs(texts, written(rest, "simhash-rest"), "node", "text", shingle, similarity)
+    order = token_order(texts, shingle, similarity)
+    signed = written(signatures(texts, shingle, similarity, order), "simhash-signatures")
+    prints = signed.filter("rows IS NULL").select("node", "fp")
+    nodes = written(prints.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("times")), "simhash-nodes")
+    n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
+    close = _meetings(nodes, TRIPLES if n > MANY else HALVES, 3, ("node",)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+    several = nodes.filter("times > 1").select("fp", F.col("node").alias("a"), "times")
+    same = looked_up(prints, several, ["fp"], "times", max(1000, rows // 1000)).filter("node > a").select("a", F.col("node").alias("b"))
+
+    met = token_stars(signed.filter("rows IS NOT NULL").select("owner", "rows"), order)
+    stars = met.groupBy("lead", "node").agg(F.max(_possible(similarity, "lead_", "")).alias("possible"))
+    stars = written(stars, "simhash-stars")
+    first = stars.filter("possible").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    first = written(close.unionByName(same).unionByName(first).distinct(), "simhash-candidates")
+    groups = components(similar_pairs(texts, first, shingle, similarity))
+
+    fell = written(_apart(stars.select("lead", "node"), groups, "lead", "node"), "simhash-apart")
+    n = fell.count()
+    if not n:
+        return groups
+    tokens = written(joined_with(met, fell, n, ["lead", "node"], "left_semi").select("token").distinct(), "simhash-tokens")
+    open_ = joined_with(met, tokens, tokens.count(), "token", "left_semi")
+    ends = open_.select("token", "node", "size", "place").unionByName(open_.select("token", F.col("lead").alias("node"), F.col("lead_size").alias("size"), F.col("lead_place").alias("place")))
+    ends = ends.distinct().join(groups.toDF("g_node", "root"), F.col("node") == F.col("g_node"), "left")
+    ends = written(ends.select("token", "node", "size", "place", F.coalesce("root", "node").alias("of")), "simhash-open")
+    a, b = (ends.toDF("token", *[f"{end}_{c}" for c in ("node", "size", "place", "of")]) for end in "ab")
+    rest = a.join(b, "token").filter("a_node < b_node AND a_of <> b_of").filter(_possible(similarity, "a_", "b_"))
+    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    similar = similar_pairs(texts, written(rest, "simhash-rest"), shingle, similarity)
     known = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(known.unionByName(similar))
 
@@ -374,5 +430,6 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the smallest id of each group of similar_texts(); all columns as they were. A row without an id stays
     only in a group where no row has one."""
-    gone = similar_texts(docs, id_col, text_col, **options).filter("node <> root").select(F.col("node").alias("_near_node"))
-    return docs.join(gone, _keyed(docs, id_col, text_col) == gone["_near_node"], "left_anti")
+    (name,) = free_names(docs, "near_node")
+    gone = written(similar_texts(docs, id_col, text_col, **options).filter("node <> root").select(F.col("node").alias(name)), "simhash-gone")
+    return joined_with(docs, gone, gone.count(), [_keyed(docs, id_col, text_col) == F.col(name)], "left_anti")

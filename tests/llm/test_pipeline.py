@@ -7,7 +7,7 @@ def brute_keep(rows):
     """Rows that exact and near dedup leave, by definition."""
     import re
 
-    from .test_simhash import brute_similar
+    from .test_similar_texts import brute_kept
 
     seen, first = set(), []
     for r in sorted(rows, key=lambda r: r["doc_id"]):
@@ -15,8 +15,7 @@ def brute_keep(rows):
         if t not in seen:
             seen.add(t)
             first.append(r)
-    groups = brute_similar([(r["doc_id"], r["text"]) for r in first])
-    return {r["doc_id"] for r in first}, {i for i, g in groups if i == g}
+    return {r["doc_id"] for r in first}, brute_kept([(r["doc_id"], r["text"]) for r in first])
 
 
 def test_stages_against_definitions(spark, sf_dir):

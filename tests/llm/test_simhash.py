@@ -38,19 +38,23 @@ def brute_groups(pairs, threshold=3):
     return [least.get(find(i)) for i in range(len(pairs))]
 
 
-def test_golay_code_covers():
-    low, high, nearest, bounds, ways = simhash.golay_tables()
-    assert all(bin(w).count("1") <= 3 for w in nearest.tolist())
-    assert len(ways) == 1 + 23 + 253 + 1771 + 8855
+def test_code_covers():
+    of_byte, ways = simhash.code_tables()
+
+    def syndrome(word):
+        return int(of_byte[0][word & 255] ^ of_byte[1][word >> 8 & 255] ^ of_byte[2][word >> 16 & 255] ^ of_byte[3][word >> 24])
+
     rng = np.random.default_rng(0)
-    for x in rng.integers(0, 1 << 23, 200).tolist():
-        rest = low[x & 0xFFF] ^ high[x >> 12]
-        for way in ways[bounds[rest] : bounds[rest + 1]].tolist():
-            y = x ^ way
-            assert low[y & 0xFFF] ^ high[y >> 12] == 0
+    for word in rng.integers(0, 1 << simhash.CODE_BITS, 200).tolist():
+        s = syndrome(word)
+        assert syndrome(word ^ int(ways[s, 0])) == 0 and bin(int(ways[s, 0])).count("1") <= 1
+        if s:
+            others = [int(w) for w in ways[s, 1:]]
+            assert len(set(others)) == 15 and all(syndrome(word ^ w) == 0 and bin(w).count("1") == 2 for w in others)
 
 
-def test_every_close_pair_meets():
+@pytest.mark.parametrize("searches", [simhash.HALVES, simhash.TRIPLES], ids=["halves", "triples"])
+def test_every_close_pair_meets(searches):
     rng = np.random.default_rng(1)
     fps = rng.integers(0, 1 << 63, 300).astype(np.uint64)
     near = fps.copy()
@@ -58,19 +62,27 @@ def test_every_close_pair_meets():
         for b in rng.choice(64, rng.integers(0, 4), replace=False):
             near[i] ^= np.uint64(1 << int(b))
     both = np.concatenate([fps, near]).view(np.int64)
-    index, keys, own = simhash.anchors(both)
-    home = {}
-    for i, k, o in zip(index.tolist(), keys.tolist(), own, strict=True):
+    index, keys, own = simhash.anchors(both, searches)
+    home, visits = {}, {}
+    for i, k, o in zip(index.tolist(), keys.tolist(), own.tolist(), strict=True):
+        visits.setdefault(i, set()).add(k)
         if o:
             home.setdefault(i, set()).add(k)
-    assert all(len(h) == 2 for h in home.values())
-    visits = {}
-    for i, k in zip(index.tolist(), keys.tolist(), strict=True):
-        visits.setdefault(i, set()).add(k)
+    assert all(len(h) == len(searches) for h in home.values())
     for i in range(300):
         assert visits[i] & home[i + 300] and visits[i + 300] & home[i]
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_copies_meet_few_residents_at_any_size(n):
+    fps = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, n)
+    index, keys, own = simhash.anchors(fps)
+    assert len(index) <= 34 * n
+    residents = np.sort(keys[own])
+    met = np.searchsorted(residents, keys, "right") - np.searchsorted(residents, keys, "left")
+    assert met.sum() - 2 * n < 0.1 * n  # besides itself
+
+
 def test_query_against_brute_force(spark, sf_dir):
     from pathloom.llm import queries
 
@@ -91,63 +103,9 @@ def test_odd_documents(odd_docs, no_docs):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, g in want if i == g}
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one(no_docs).count() == 0
     with pytest.raises(ValueError):
-        simhash.fingerprint_links(no_docs.selectExpr("doc_id AS fp"), 8)
-
-
-def brute_similar(rows, seeds=(42, 43)):
-    """(id, smallest id of its group) by comparing everything with everything."""
-    rows = [(i, simhash.shingles(t, 3), set(simhash.shingles(t, 5))) for i, t in rows]
-    fps = [[simhash.majority(simhash.shingle_hashes(r[1], s)) for s in seeds] for r in rows]
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            gap = [(a ^ b).bit_count() for a, b in zip(fps[i], fps[j], strict=True)]
-            if gap[0] <= 3 or (min(gap) <= 5 and len(rows[i][2] & rows[j][2]) >= 0.8 * len(rows[i][2] | rows[j][2])):
-                parent[max(find(i), find(j))] = min(find(i), find(j))
-    least = {}
-    for i, (doc, _, _) in enumerate(rows):
-        least[find(i)] = min(least.get(find(i), doc), doc)
-    return sorted((r[0], least[find(i)]) for i, r in enumerate(rows))
-
-
-def test_similar_documents_against_brute_force(spark, sf_dir):
-    import random
-
-    rng = random.Random(6)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = [tuple(r) for r in docs.collect()]
-    for i in range(60):
-        words = rng.choice(rows[:100])[1].split()
-        for _ in range(rng.randint(1, 1 + len(words) // 60)):
-            words[rng.randrange(len(words))] = "edited"
-        rows.append((10_000 + i, " ".join(words)))
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = sorted(map(tuple, simhash.similar_documents(df).collect()))
-    assert got == brute_similar(rows)
-    strict = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
-    assert sum(i != g for i, g in got) > sum(i != g for i, g in strict.items())
-
-
-def test_pairs_within_seven_bits_meet():
-    rng = np.random.default_rng(2)
-    fps = rng.integers(0, 1 << 63, 200).astype(np.uint64)
-    near = fps.copy()
-    for i in range(len(near)):
-        for b in rng.choice(64, rng.integers(0, 8), replace=False):
-            near[i] ^= np.uint64(1 << int(b))
-    index, keys, own = simhash.quarter_anchors(np.concatenate([fps, near]).view(np.int64))
-    home, visits = {}, {}
-    for i, k, o in zip(index.tolist(), keys.tolist(), own, strict=True):
-        visits.setdefault(i, set()).add(k)
-        if o:
-            home.setdefault(i, set()).add(k)
-    assert all(visits[i] & home[i + 200] and visits[i + 200] & home[i] for i in range(200))
+        simhash.fingerprint_links(no_docs.selectExpr("doc_id AS fp"), 4)
+    named = odd_docs.selectExpr("concat('x', doc_id) AS doc_id", "text")
+    assert sorted(r["doc_id"] for r in simhash.near_duplicates(named).filter("doc_id IS NOT NULL").collect()) == sorted(f"x{i}" for i, _ in rows if i is not None)
 
 
 def test_components_of_chains_stars_and_cycles(spark):
@@ -157,3 +115,6 @@ def test_components_of_chains_stars_and_cycles(spark):
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {i: 200 for i in (200, 201, 202)}
     assert got == want
     assert components.components(df.limit(0)).count() == 0
+    hub = spark.range(1, 30_001).selectExpr("0 AS a", "id AS b")  # its centre has more neighbours than are dealt by key
+    found = components.components(hub).selectExpr("count(*) AS n", "max(root) AS root").first()
+    assert (found["n"], found["root"]) == (30_001, 0)

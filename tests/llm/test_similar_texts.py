@@ -43,9 +43,29 @@ def test_no_similar_pair_is_left(spark, sf_dir):
     rows = edited(docs)
     stay = kept(spark, rows)
     assert stay == brute_kept(rows)
+    fps = [simhash.fingerprint(t, 5) for _, t in rows]
+    near = {i for i, _ in rows if i not in stay}
+    alone = [i for (i, _), f in zip(rows, fps, strict=True) if i in near and min((f ^ g).bit_count() for (j, _), g in zip(rows, fps, strict=True) if j != i) > 3]
+    assert alone  # what no anchor within 3 bits finds
+
+
+def test_common_tokens_are_dealt_by_salts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(simhash, "SALTED", 20)
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    base = docs[3][1].split()[:150]
+    rows = [(i, " ".join([*base[: 10 + i % 5], f"only{i}", *base[12 + i % 5 :]])) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    within = {r["doc_id"] for r in simhash.similar_documents(df).filter("doc_id = component_id").collect()}
-    assert within - stay  # what lies beyond 5 bits
+    order = simhash.token_order(df.withColumnRenamed("doc_id", "node"), 5, 0.8)
+    assert order.salts.max() > 1
+    assert kept(spark, rows) == brute_kept(rows)
+
+
+def test_packed_rows_come_back():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 1 << 40, 99).astype(np.uint64), rng.integers(-(1 << 62), 1 << 62, 99), rng.integers(0, 1 << 20, 99).astype(np.int32), rng.integers(0, 99, 99).astype(np.int32)]
+    assert all((a == b).all() for a, b in zip(rows, simhash.unpack_rows(simhash.pack_rows(*rows)), strict=True))
 
 
 def prose(rng, n):
@@ -56,7 +76,7 @@ def test_close_fingerprints_alone_drop_nothing(spark):
     for seed in range(500):
         rng = random.Random(seed)
         rows = [(i, "a b c " * 12 + prose(rng, 40)) for i in (1, 2)]
-        a, b = (simhash.fingerprint(t) for _, t in rows)
+        a, b = (simhash.fingerprint(t, 5) for _, t in rows)
         if 1 <= (a ^ b).bit_count() <= 3:
             break
     assert 1 <= (a ^ b).bit_count() <= 3 and brute_kept(rows) == {1, 2}
@@ -66,7 +86,7 @@ def test_close_fingerprints_alone_drop_nothing(spark):
 def test_members_of_one_fingerprint_are_compared_by_their_own_texts(spark):
     rng = random.Random(3)
     x, y = prose(rng, 40), prose(rng, 40)
-    rows = [(1, "a b c " * 50 + x), (2, "a b c " * 50 + y), (3, "a b c a b c a " + y)]
-    one, two, three = (simhash.fingerprint(t) for _, t in rows)
+    rows = [(1, "a b c " * 150 + x), (2, "a b c " * 150 + y), (3, "a b c a b c a " + y)]
+    one, two, three = (simhash.fingerprint(t, 5) for _, t in rows)
     assert one == two and (one ^ three).bit_count() > 7 and brute_kept(rows) == {1, 2}
     assert kept(spark, rows) == {1, 2}
