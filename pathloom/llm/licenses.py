@@ -37,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shuffle_width, written
 
 #: Words as the contract has them, on text with A-Z lower-cased.
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -197,15 +197,16 @@ def license_scan(
     prefixes = spark.createDataFrame(prefix_rows, "template int, t_step int, size int, need int, i int, word string")
     sets = spark.createDataFrame(set_rows, "template int, label string, t_words array<string>")
 
-    # windows by their step; lines are blocks of step 0
-    texts = read.filter("wrapped IS NOT NULL").select("row", "wrapped").repartition("row")
+    # windows by their step; lines are blocks of step 0; few rows with much work each, so their number of tasks is given
+    width = shuffle_width(spark)
+    texts = read.filter("wrapped IS NOT NULL").select("row", "wrapped").repartition(width, "row")
     steps = F.array(*[F.lit(x) for x in sorted({t["step"] for t in table})])
     cut = texts.select("row", "wrapped", F.explode(steps).alias("step"))
     cut = cut.withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.size("wrapped") - 1, F.lit(0)), F.col("step"))))
     windows = cut.select("row", "step", F.col("start").alias("block"), known(F.slice("wrapped", F.col("start") + 1, 2 * F.col("step"))).alias("words"))
     rare = _literal(sorted({r[5] for r in prefix_rows}))
     possible = (F.size("words") >= least) & F.arrays_overlap("words", rare)
-    blocks = of_lines.filter(possible).select("row", F.lit(0).alias("step"), "block", "words").repartition("row", "block").unionByName(windows.filter(possible))
+    blocks = of_lines.filter(possible).select("row", F.lit(0).alias("step"), "block", "words").repartition(width, "row", "block").unionByName(windows.filter(possible))
 
     ordered = F.filter(_literal(ranked), lambda w: F.array_contains("words", w))
     kept = blocks.withColumn("words", ordered)
