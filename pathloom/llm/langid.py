@@ -7,8 +7,8 @@ penalty for every order it fell. Scores add up over a text; the result is the be
 posterior share under a uniform prior, tempered by ``temper`` since words of a text are not independent.
 
 Fitting takes a bounded sample: of each language about ``per_language`` documents (all if there are fewer),
-chosen by a seeded hash of the id; at most ``most_words`` words and ``most_grams`` n-grams are kept,
-so the model's size has a bound that the input does not move. Prediction runs over every whole text.
+chosen by a seeded hash of the id. Of the words and n-grams of each language ``most_words`` and ``most_grams`` are kept at most, the most
+frequent first, so that no language takes another's place and the model's size has a bound that the input does not move. Prediction runs over every whole text.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; rows without a label are not
 learned from; without any labelled row everything is ``und``; equal scores go to the language first in code
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
@@ -112,8 +112,8 @@ def fit(
     text_col: str = "text",
     lang_col: str = "lang",
     per_language: int = 600,
-    most_words: int = 60_000,
-    most_grams: int = 60_000,
+    most_words: int = 30_000,
+    most_grams: int = 30_000,
     orders: int = 4,
     seed: int = 42,
 ) -> Model:
@@ -133,7 +133,12 @@ def fit(
         sample.select("lang", F.explode(letters).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")),
         "langid-words",
     )
-    top = words.orderBy(F.desc("n"), "lang", "word").limit(most_words).collect()
+
+    def most(table: DataFrame, key: str, n: int) -> list:
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), key))  # of a sample's words only
+        return table.withColumn("rank", rank).filter(F.col("rank") <= n).collect()
+
+    top = most(words, "word", most_words)
     marked = F.concat(F.lit("<"), "word", F.lit(">"))
 
     def cuts(k: int) -> Column:
@@ -142,7 +147,7 @@ def fit(
 
     grams = F.concat(*[cuts(k) for k in range(1, orders + 1)])
     counted = words.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top_grams = counted.orderBy(F.desc("n"), "lang", "gram").limit(most_grams).collect()
+    top_grams = most(counted, "gram", most_grams)
     word_rows, word_table = _log_frequencies({(r["lang"], r["word"]): r["n"] for r in top}, languages, 0.5)
     tables, gram_rows = [word_table], {}
     for k in range(1, orders + 1):
@@ -157,16 +162,16 @@ def fit(
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", temper: float = 0.1) -> DataFrame:
     """id, lang_pred and score for every row of docs."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size: see fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.predict(text, temper) for text in batch.column(1).to_pylist()]
             columns = [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
-            yield pa.record_batch(columns, schema=schema)
+            yield pa.record_batch(columns, names=["id", "lang_pred", "score"])
 
-    found = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, lang_pred string, score double")
+    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return found.withColumnRenamed("id", id_col)
 
 
@@ -177,7 +182,8 @@ def held_out(id_col: Column) -> Column:
 
 def confident(docs: DataFrame, model: Model, text_col: str = "text", least_score: float = 0.5, temper: float = 0.1) -> DataFrame:
     """docs whose language is determined with at least least_score; all columns as they were. Where no word
-    or n-gram is known, no language is determined. Rows pass through the worker in Arrow batches, so nothing is shuffled and rows with one id are judged one by one."""
+    or n-gram is known, no language is determined. Rows pass through the worker in Arrow batches, so nothing is shuffled and
+    rows with one id are judged one by one."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)

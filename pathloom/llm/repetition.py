@@ -131,11 +131,11 @@ def repetition(
     """id, the counts of measure(), base_failed and kept."""
     bounded_batches(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat"]
-    schema = pa.schema([("id", pa.int64()), *[(x, pa.int64()) for x in names]])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             start = 0
             while start < len(texts):
                 stop, size = start, 0
@@ -143,10 +143,10 @@ def repetition(
                     size += len(texts[stop])
                     stop += 1
                 found = measure(texts[start:stop], least_words)
-                yield pa.record_batch([pa.array(ids[start:stop], pa.int64()), *[pa.array(found[x], pa.int64()) for x in names]], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(start, stop - start), *[pa.array(found[x], pa.int64()) for x in names]], names=["id", *names])
                 start = stop
 
-    measured = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, ", ".join(["id long", *[f"{x} long" for x in names]]))
+    measured = rows.mapInArrow(run, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *[f"{x} long" for x in names]]))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     passes = (F.col("covered_words") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= most_words)
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & passes).withColumnRenamed("id", id_col)

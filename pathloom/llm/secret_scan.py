@@ -55,7 +55,7 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]+", 16),
 )
-# Publicly documented credential formats.
+# Publicly documented credential formats. None is tried from every place of a long run of letters.
 FORMAT_RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
@@ -63,9 +63,9 @@ FORMAT_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("bearer", r"bearer\x20+[A-Za-z0-9+/_.=-]{20,}", any_case=True),
-    Rule("url_login", r"[a-z][a-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{3,}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{0,30}://[^\s/:@]+:[^\s/:@]{3,}@"),
 )
 
 # A query is True (anything matches), a trigram, ("and", parts) or ("or", parts).
@@ -216,7 +216,8 @@ def scan_segment(texts: list[str], rules: list[tuple[Rule, re.Pattern, object]],
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + FORMAT_RULES, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 4_000_000) -> DataFrame:
     """id and spans: array of (kind, start, end) by start, then in the order of the rules."""
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("id", pa.int64()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))])
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = [(r, r.compiled(), trigram_query(r.pattern)) for r in rules]
@@ -224,7 +225,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + FORMAT_
         for _, _, query in ready:
             wanted[[_code(t) for t in query_trigrams(query)]] = True
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             start = 0
             while start < len(texts):
                 stop, size = start, 0
@@ -233,10 +234,10 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + FORMAT_
                     stop += 1
                 found = scan_segment(texts[start:stop], ready, wanted)
                 spans = [[{"kind": rules[k].kind, "start": a, "end": b} for a, k, b in one] for one in found]
-                yield pa.record_batch([pa.array(ids[start:stop], pa.int64()), pa.array(spans, schema.field(1).type)], schema=schema)
+                yield pa.record_batch([batch.column(0).slice(start, stop - start), pa.array(spans, kind)], names=["id", "spans"])
                 start = stop
 
-    found = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, spans array<struct<kind: string, start: long, end: long>>")
+    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<kind: string, start: long, end: long>>")
     return found.withColumnRenamed("id", id_col)
 
 

@@ -2,18 +2,22 @@
 
 A record is a row: record_type, record_id, target_uri, date, content_type, headers (map: its further WARC
 headers by name) and block (bytes). ``derive`` turns each response into two records: a metadata
-record (application/warc-fields) with the source's headers, digests, HTTP status, title and out-links, and
-a conversion record (text/plain) with the page's text. Both name the response in WARC-Refers-To, keep its
+record (application/warc-fields) with the source's headers, digests, HTTP status and headers, title and out-links, and
+a conversion record (text/plain) with the page's text. Transfer and content codings (chunked, gzip, deflate, zstd) are undone first. A
+payload that is no text by its content type, or has a coding that is not known or does not hold, gives
+the metadata record alone. Both name the response in WARC-Refers-To, keep its
 target URI and date, and carry the digests of the source beside those of their own block. Ids are made
 from the source's id and the record type, so that a rerun or a retried task gives the same records. One narrow
 pass: no shuffle, one record in memory at a time.
 
-``read_warc`` parses WARC files, plain or compressed by member; ``write_warc`` writes plain ones with
+``read_warc`` parses WARC files, plain or compressed by member, each a Spark value of up to 2 GB; what is no record (a length that is no
+number, a file that ends early) comes as a record of type ``malformed``, so that it can be counted. ``write_warc`` writes plain ones with
 Spark's own text writer, so that its committer and any store it knows apply.
 
 Edge cases: records of other types are passed over by derive(); a null or empty block, a block without an
 HTTP head, null URIs and null header maps give records with empty text and without the missing fields;
-repeated rows give repeated records; bytes that the charset cannot decode become U+FFFD; an empty table
+repeated rows give repeated records; repeated HTTP headers give a line each, repeated WARC headers one value joined by commas;
+markup is read in time linear in the page; bytes that the charset cannot decode become U+FFFD; an empty table
 gives an empty result; further columns with other names are kept out.
 """
 
@@ -26,6 +30,7 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,25 +54,39 @@ _COLUMNS = {
 _HIDDEN = "script|style|noscript|template|iframe|svg"
 _LINES = "address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|title|ul"
 
-_INSIDE = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-_UNSEEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b{_INSIDE}>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+# Quoted values hold no "<", so that no attempt reads beyond the next one; a tag with others ends at its first ">".
+_INSIDE = r"""(?:[^<>"']|"[^"<]*"|'[^'<]*')*+"""
+_UNSEEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({_HIDDEN})\b(?:{_INSIDE}|[^<>]*)>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _BREAKS = re.compile(rf"</?(?:{_LINES})\b(?:{_INSIDE}>|[^>]*>)", re.I)
 _TAGS = re.compile(rf"<[a-zA-Z/!?](?:{_INSIDE}>|[^>]*>)")
 _BLANKS = re.compile(r"[^\S\n]+")
 _EMPTY_LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LINKS = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_TITLE, _TITLE_END = re.compile(r"<title\b[^<>]*>", re.I), re.compile(r"</title\s*>", re.I)
+_LINKS = re.compile(r"""<a\b[^<>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _CHARSET = re.compile(r"""charset\s*=\s*["']?([\w.:-]+)""", re.I)
 
 
+# Content types, besides text/*, whose payload is text, and those that hold markup.
+_TEXT_TYPES = ("application/xhtml+xml", "application/xml", "application/json", "application/javascript", "application/rss+xml", "application/atom+xml")
+_MARKUP_TYPES = ("", "text/html", "application/xhtml+xml", "application/xml", "text/xml", "application/rss+xml", "application/atom+xml")
+
+
 def page_text(page: str) -> str:
     """The text of a page: no markup, hidden elements or comments; a line for each block; entities decoded."""
-    text = _TAGS.sub("", _BREAKS.sub("\n", _UNSEEN.sub("", page)))
+    page = _UNSEEN.sub("", page)
+    end = page.rfind(">") + 1  # behind it no tag ends
+    text = _TAGS.sub("", _BREAKS.sub("\n", page[:end])) + page[end:]
     if "&" in text:
         text = html.unescape(text)
     return _EMPTY_LINES.sub("\n", _BLANKS.sub(" ", text)).strip()
 
 
+def page_title(page: str) -> str | None:
+    start = _TITLE.search(page)
+    end = _TITLE_END.search(page, start.end()) if start else None
+    return page[start.end() : end.start()] if end else None
+
+
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
@@ -109,20 +128,67 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     )
 
 
-def _http(block: bytes) -> tuple[str, dict[str, str], bytes]:
-    """Status, headers (names in lower case) and payload of a stored response."""
+def _http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
+    """Status, headers in order (names in lower case) and payload of a stored response."""
     head, found, payload = block.partition(b"\r\n\r\n")
     if not found or not head.startswith(b"HTTP/"):
-        return "", {}, block
+        return "", [], block
     first, *rest = head.decode("latin-1").split("\r\n")
-    headers = {}
+    headers = []
     for line in rest:
         name, colon, value = line.partition(":")
         if colon:
-            headers.setdefault(name.strip().lower(), value.strip())
+            headers.append((name.strip().lower(), value.strip()))
     return (first.split(" ", 2) + ["", ""])[1], headers, payload
 
 
+def unchunked(payload: bytes) -> bytes:
+    """payload without the chunks' sizes. One that is not made of chunks (crawlers often undo them and leave the header)
+    comes as it is; of one that ends early what is there."""
+    parts, at = [], 0
+    while at < len(payload):
+        end = payload.find(b"\r\n", at, at + 1024)
+        size = payload[at:end].split(b";", 1)[0].strip() if end >= 0 else b""
+        if not size or not all(c in b"0123456789abcdefABCDEF" for c in size):
+            return b"".join(parts) if parts else payload
+        n = int(size, 16)
+        if not n:
+            break
+        parts.append(payload[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(parts)
+
+
+def uncoded(payload: bytes, coding: str) -> bytes | None:
+    """payload without its content codings; None if one of them is not known or does not hold. What a payload that ends early
+    still gives is taken."""
+    for name in reversed([c.strip().lower() for c in coding.split(",") if c.strip()]):
+        try:
+            if name in ("gzip", "x-gzip"):
+                parts = []
+                while payload[:2] == b"\x1f\x8b":
+                    member = zlib.decompressobj(31)
+                    parts.append(member.decompress(payload))
+                    payload = member.unused_data
+                if not parts:
+                    return None
+                payload = b"".join(parts)
+            elif name == "deflate":
+                wrapped = len(payload) > 1 and payload[0] & 15 == 8 and (payload[0] << 8 | payload[1]) % 31 == 0
+                payload = zlib.decompressobj(15 if wrapped else -15).decompress(payload)
+            elif name == "zstd":
+                import zstandard
+
+                payload = zstandard.ZstdDecompressor().decompressobj().decompress(payload)
+            elif name != "identity":
+                return None
+        except Exception as e:
+            if type(e).__name__ not in ("error", "ZstdError"):
+                raise
+            return None
+    return payload
+
+
 def _decoded(payload: bytes, content_type: str) -> str:
     charset = _CHARSET.search(content_type) or _CHARSET.search(payload[:1024].decode("latin-1"))
     try:
@@ -136,47 +202,53 @@ def _one_line(value: str) -> str:
 
 
 def derivatives(record_id: str | None, uri: str | None, date: str | None, headers: dict[str, str], block: bytes) -> list[tuple]:
-    """The metadata and the conversion record of one response, as rows of RECORD."""
+    """The metadata and, if the payload is text, the conversion record of one response, as rows of RECORD."""
     status, http, payload = _http(block)
-    kind = http.get("content-type", "")
-    page = _decoded(payload, kind)
+    first = dict(reversed(http))
+    stored = unchunked(payload) if "chunked" in first.get("transfer-encoding", "").lower() else payload
+    body = uncoded(stored, first.get("content-encoding", ""))
+    kind = first.get("content-type", "")
+    media = kind.split(";", 1)[0].strip().lower()
+    readable = body is not None and (media == "" or media.startswith("text/") or media in _TEXT_TYPES)
+    page = _decoded(body, kind) if readable else ""
+    markup = media in _MARKUP_TYPES
     block_digest = headers.get("WARC-Block-Digest") or digest(block)
-    payload_digest = headers.get("WARC-Payload-Digest") or digest(payload)
+    payload_digest = headers.get("WARC-Payload-Digest") or digest(stored)
     fields = [("source-block-digest", block_digest), ("source-payload-digest", payload_digest)]
     fields += [(f"source-{name.lower()}", value) for name, value in sorted(headers.items()) if name not in ("WARC-Block-Digest", "WARC-Payload-Digest")]
     fields += [("http-status", status)] if status else []
-    fields += [(f"http-{name}", value) for name, value in sorted(http.items())]
-    title = _TITLE.search(page)
-    fields += [("title", _one_line(title[1]))] if title else []
-    fields += [("outlink", _one_line(a or b or c)) for a, b, c in _LINKS.findall(page)]
-    about = "".join(f"{name}: {value}\r\n" for name, value in fields).encode()
-    text = page_text(page).encode("utf-8", "replace")
+    fields += [(f"http-{name}", value) for name, value in sorted(http, key=lambda h: h[0])]
+    title = page_title(page) if markup else None
+    fields += [("title", _one_line(title))] if title is not None else []
+    fields += [("outlink", _one_line(a or b or c)) for a, b, c in _LINKS.findall(page)] if markup else []
+    about = "".join(f"{name}: {value}\r\n" for name, value in fields).encode("utf-8", "replace")
     source = {"WARC-Source-Block-Digest": block_digest, "WARC-Source-Payload-Digest": payload_digest}
-    return [
-        ("metadata", derived_urn(record_id, "metadata"), record_id, uri, date, "application/warc-fields", source | {"WARC-Block-Digest": digest(about)}, about),
-        ("conversion", derived_urn(record_id, "conversion"), record_id, uri, date, "text/plain; charset=utf-8", source | {"WARC-Block-Digest": digest(text)}, text),
-    ]
+    made = [("metadata", derived_urn(record_id, "metadata"), record_id, uri, date, "application/warc-fields", source | {"WARC-Block-Digest": digest(about)}, about)]
+    if readable:
+        text = (page_text(page) if markup else page).encode("utf-8", "replace")
+        made.append(("conversion", derived_urn(record_id, "conversion"), record_id, uri, date, "text/plain; charset=utf-8", source | {"WARC-Block-Digest": digest(text)}, text))
+    return made
 
 
 def derive(records: DataFrame, *carry: str) -> DataFrame:
-    """Metadata and conversion records of the responses among records. carry: columns (of strings or longs)
-    that each derived record keeps from its response."""
+    """Metadata and conversion records of the responses among records. carry: columns of any type that each
+    derived record keeps from its response."""
     bounded_batches(records.sparkSession)
     source = records.filter(F.col("record_type") == "response").select("record_id", "target_uri", "date", "headers", "block", *carry)
     kept = source.select(*carry).schema
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema([*[(f.name, arrow[f.dataType.simpleString()]) for f in kept], *_ARROW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for record_id, uri, date, headers, block, *more in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            rows, of = [], []
+            for i, (record_id, uri, date, headers, block) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:5]], strict=True)):
                 found = derivatives(record_id, uri, date, dict(headers or ()), block or b"")
-                rows += [(*more, *r[:6], list(r[6].items()), r[7]) for r in found]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                rows += [(*r[:6], list(r[6].items()), r[7]) for r in found]
+                of += [i] * len(found)
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _ARROW]
+            more = [c.take(pa.array(of, pa.int64())) for c in batch.columns[5:]]
+            yield pa.record_batch([*more, *[pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)]], names=[*carry, *_ARROW.names])
 
-    return source.mapInArrow(run, ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in kept], RECORD]))
+    return source.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], RECORD]))
 
 
 def serialised(record: dict) -> bytes:
@@ -190,23 +262,38 @@ def serialised(record: dict) -> bytes:
 
 
 def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a file, by their Content-Length; what is no record at the end is left."""
+    """Records of a file, by their Content-Length. What is no record comes as one of type malformed, with the reason among its
+    headers, and reading goes on at the next line that begins a record, where there is one."""
     stream = gzip.open(io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        record: dict = dict.fromkeys(_ARROW.names)
-        headers, length = {}, 0
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            value = value.strip()
-            if name.lower() == "content-length":
-                length = int(value)
-            elif name.lower() in _COLUMNS:
-                record[_COLUMNS[name.lower()]] = value
+
+    def malformed(why: str, record_id: str | None = None) -> dict:
+        return dict.fromkeys(_ARROW.names) | {"record_type": "malformed", "record_id": record_id, "headers": {"reason": why}, "block": b""}
+
+    try:
+        while line := stream.readline():
+            if not line.startswith(b"WARC/"):
+                continue
+            record: dict = dict.fromkeys(_ARROW.names)
+            headers: dict[str, str] = {}
+            length = None
+            while (line := stream.readline()).strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                name, value = name.strip(), value.strip()
+                if name.lower() == "content-length":
+                    length = int(value) if value.isascii() and value.isdigit() else None
+                elif name.lower() in _COLUMNS:
+                    record[_COLUMNS[name.lower()]] = value
+                else:
+                    headers[name] = f"{headers[name]}, {value}" if name in headers else value
+            block = stream.read(length) if length is not None else b""
+            if length is None:
+                yield malformed("no valid Content-Length", record["record_id"])
+            elif len(block) < length:
+                yield malformed("the file ends within the record", record["record_id"])
             else:
-                headers[name] = value
-        yield record | {"headers": headers, "block": stream.read(length)}
+                yield record | {"headers": headers, "block": block}
+    except (EOFError, OSError, zlib.error) as e:
+        yield malformed(f"the file cannot be read on: {type(e).__name__}")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

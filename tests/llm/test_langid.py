@@ -76,3 +76,69 @@ def test_pipeline_keeps_short_texts(spark, sf_dir):
     stay = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(extra), sf_dir).collect()}
     assert {i for i in stay if i >= 10_000} == {10_000, 10_001, 10_002}
     assert {r["doc_id"] for r in docs.collect()} <= stay
+
+
+def brute_model(rows, orders=4, alpha=0.5):
+    """Tables by plain counting: {order or 'word': {key: {language: log frequency}}}."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+
+    counts = defaultdict(Counter)
+    for text, lang in rows:
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            counts["word"][lang, word] += 1
+            marked = f"<{word}>"
+            for k in range(1, orders + 1):
+                for i in range(len(marked) - k + 1):
+                    counts[k][lang, marked[i : i + k]] += 1
+    languages = sorted({lang for _, lang in rows})
+    tables = {}
+    for kind, found in counts.items():
+        keys = {key for _, key in found}
+        totals = {x: sum(found[x, key] + alpha for key in keys) for x in languages}
+        tables[kind] = {key: [math.log((found[x, key] + alpha) / totals[x]) for x in languages] for key in keys}
+    return languages, tables
+
+
+def brute_predict(text, languages, tables, temper=0.1, orders=4):
+    import re
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not words:
+        return "und", 0.0
+    total = np.zeros(len(languages))
+    for word in words:
+        if word in tables["word"]:
+            total += tables["word"][word]
+            continue
+        marked = f"<{word}>"
+        for k in range(min(orders, len(marked)), 0, -1):
+            known = [tables[k][g] for i in range(len(marked) - k + 1) if (g := marked[i : i + k]) in tables[k]]
+            if known:
+                total += np.mean(known, axis=0)
+                break
+    share = np.exp(temper * (total - total.max()))
+    return languages[int(share.argmax())], float(share.max() / share.sum())
+
+
+def test_fit_and_scores_against_brute_force(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    learned = [(t, lang) for i, t, lang in rows if lang is not None and zlib.crc32(str(i).encode()) % 5]
+    languages, tables = brute_model(learned)
+    got = {r["doc_id"]: r for r in queries.op5_language_id(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        want = brute_predict(text, languages, tables)
+        assert got[i]["lang_pred"] == want[0] and abs(got[i]["score"] - want[1]) < 1e-9, i
+
+
+def test_each_language_keeps_its_own_words(spark):
+    rows = [(i, " ".join("big" + chr(97 + j % 26) * (1 + j // 26) for j in range(50)), "aa") for i in range(20)] + [(100, "few rare words", "bb")]
+    fitted = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_words=40)
+    assert {"few", "rare", "words"} <= set(fitted.words) and len(fitted.words) == 43
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", "the der"), (None, None)], "doc_id string, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, model()).collect()} == {"a": "aa", None: "und"}

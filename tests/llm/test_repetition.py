@@ -67,3 +67,8 @@ def test_odd_documents(odd_docs, no_docs, segment_chars):
     assert have == sorted(((i, *brute(t)) for i, t in small), key=str)
     assert next(r for r in got if r["doc_id"] == 4)["base_failed"]
     assert repetition.repetition(no_docs).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    df = spark.createDataFrame([("a", "b c d"), (None, None)], "doc_id string, text string")
+    assert {(r["doc_id"], r["n_words"]) for r in repetition.repetition(df).collect()} == {("a", 3), (None, 0)}

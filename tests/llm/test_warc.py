@@ -93,3 +93,63 @@ def test_odd_records(spark):
     assert [r["record_type"] for r in found] == ["metadata", "conversion"] * 2
     assert bytes(found[1]["block"]) == b"" and "�" in bytes(found[3]["block"]).decode()
     assert warc.derive(df.limit(0)).count() == 0
+
+
+def response(headers, body):
+    head = "HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers)
+    return warc.derivatives("<r>", "u", "d", {}, head.encode() + b"\r\n" + body)
+
+
+def test_codings_and_content_types():
+    import zlib
+
+    page = b"<title>T</title><p>Hello</p>"
+    chunks = b"".join(b"%x;x=1\r\n%s\r\n" % (len(p), p) for p in (page[:7], page[7:])) + b"0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    bodies = [
+        ([("Transfer-Encoding", "chunked")], chunks), ([("Transfer-Encoding", "chunked")], page), ([("Transfer-Encoding", "chunked")], chunks[:-12]),
+        ([("Content-Encoding", "gzip")], gzip.compress(page)), ([("Content-Encoding", "deflate")], zlib.compress(page)), ([("Content-Encoding", "deflate")], raw.compress(page) + raw.flush()),
+        ([("Transfer-Encoding", "chunked"), ("Content-Encoding", "GZIP")], b"%x\r\n" % len(gzip.compress(page)) + gzip.compress(page) + b"\r\n0\r\n\r\n"),
+    ]
+    texts = [response(h, b)[1][-1] for h, b in bodies]
+    assert texts[0] == texts[1] == b"T\nHello" and texts[2].startswith(b"T\nHel") and texts[3:] == [b"T\nHello"] * 4
+    for headers, body in (([("Content-Type", "image/png")], b"\x89PNG"), ([("Content-Encoding", "br")], b"xx"), ([("Content-Encoding", "gzip")], b"no gzip")):
+        assert [r[0] for r in response(headers, body)] == ["metadata"]
+    plain = response([("Content-Type", "text/plain; charset=latin-1")], "<b>é".encode("latin-1"))
+    assert plain[1][-1].decode() == "<b>é"
+    several = response([("Set-Cookie", "a"), ("Set-Cookie", "b"), ("Link", "x")], b"")
+    assert several[0][-1].decode().count("http-set-cookie: ") == 2
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    for unit in ("<p ", "<title>", "<a ", '<x "><y"', "<script", "<!-", "<a href=", "<title ", "<script>", "<", "&#1", "</p", "<p '", "<a href='"):
+        page = unit * (1_000_000 // len(unit))
+        for tail in ("", ">", '">'):
+            start = time.process_time()
+            warc.derivatives("<r>", "u", "d", {}, b"HTTP/1.1 200 OK\r\n\r\n" + (page + tail).encode())
+            assert time.process_time() - start < 2, (unit, tail)
+
+
+def test_malformed_records_are_told(spark, tmp_path):
+    good = warc.serialised(dict.fromkeys(warc._ARROW.names) | {"record_type": "resource", "record_id": "<x>", "headers": {"X": "1"}, "block": b"abc"})
+    bad = good.replace(b"Content-Length: 3", b"Content-Length: x")
+    twice = good.replace(b"X: 1", b"X: 1\r\nX: 2")
+    kinds = lambda data: [r["record_type"] for r in warc.parse_warc(data)]
+    assert kinds(good + bad + good) == ["resource", "malformed", "resource"]
+    assert kinds(good + good[:-6]) == ["resource", "malformed"]
+    assert kinds(gzip.compress(good) + gzip.compress(good * 50)[:-20])[-1] == "malformed"
+    assert [r["headers"] for r in warc.parse_warc(twice)] == [{"X": "1, 2"}]
+    (tmp_path / "a.warc").write_bytes(good + bad)
+    back = warc.read_warc(spark, str(tmp_path / "a.warc"))
+    assert back.filter("record_type = 'malformed'").count() == 1 and warc.derive(back).count() == 0
+
+
+def test_carried_columns_of_any_type(spark):
+    import datetime
+
+    pages = spark.createDataFrame([("k", "u", "<p>x")], "key string, url string, html string")
+    records = warc.responses(pages, "key").withColumn("at", F.lit(datetime.date(2024, 1, 2))).withColumn("list", F.array(F.lit(1.5)))
+    rows = warc.derive(records, "page_id", "at", "list").collect()
+    assert {(r["page_id"], r["at"], tuple(r["list"])) for r in rows} == {("k", datetime.date(2024, 1, 2), (1.5,))} and len(rows) == 2
