@@ -10,11 +10,13 @@ all suffixes would move many times the corpus, so only those are sorted that can
    suffix is told apart already. Grams that occur very often are ranked behind all others and the
    anchors chosen anew: a window at the edge of a common passage then gets an anchor of its own.
 3. Runs. A task sorts the suffixes from its remaining anchors and front-codes them (bytes shared with the
-   suffix before are not repeated). A context found twice within a task is settled there and sent once.
+   suffix before are not repeated); of suffixes with the same gram, the contexts to the left, read backwards, are sorted and
+   front-coded likewise. Contexts that the sort finds equal are settled there and go into the run once.
 4. Merge. The owner of a hash range combines its runs with a loser tree. Every contender carries the length of the
    prefix known to be shared with the last suffix put out; only on equal lengths are bytes
-   compared, from that length on. The result is the sorted suffixes with their common prefixes; the
-   contexts to the left are sorted likewise, read backwards.
+   compared, from that length on. Where a common prefix is shorter than a gram, a group of suffixes is complete; the
+   group's left contexts are merged by a tree of their own. What is in memory is an owner's runs, whose number of
+   owners bounds in bytes, and a batch of groups.
 5. Windows. For each offset, two anchors have equal windows if no common prefix between them is too short on the
    right nor on the left; such windows are marked and their bytes removed.
 
@@ -32,10 +34,12 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +49,8 @@ GRAM = 32
 #: Texts are worked on in buffers of at most so many bytes (positions have 24 bits).
 BUFFER = 2_000_000
 _PLACE = np.uint64((1 << 24) - 1)
+#: What an entry weighs in a run, compressed, about.
+_ENTRY_BYTES = 150
 
 
 @cache
@@ -158,43 +164,56 @@ def _shared(a: bytes, b: bytes, known: int = 0) -> int:
     return known + m - (differ.bit_length() + 7) // 8
 
 
-_ENTRY = np.dtype([("shared", "<u2"), ("right", "<u2"), ("left", "<u2"), ("many", "?"), ("doc", "<i8"), ("key", "<i8"), ("place", "<i8")])
+_ENTRY = np.dtype([("shared", "<u2"), ("right", "<u2"), ("left", "<u2"), ("left_shared", "<u2"), ("left_order", "<u4"), ("many", "?"), ("doc", "<i8"), ("key", "<i8"), ("place", "<i8")])
 
 
-def encode_run(entries: list[tuple[bytes, bytes, bool, int, int, int]]) -> bytes:
-    """entries: (suffix, left context backwards, is there more than one, doc, key, place), sorted by suffix."""
+def build_run(contexts: list[tuple[bytes, bytes, int, int, int]], spans: dict[tuple[int, int], list[int]] | None = None) -> bytes:
+    """A sorted, front-coded run of contexts (suffix, left context backwards, doc, key, place). Equal contexts go into it
+    once; the bytes of those left out are put among the spans (start, end, ...) of their doc and key."""
     import zstandard
 
-    table = np.zeros(len(entries), _ENTRY)
-    rights, lefts, before = [], [], b""
-    for i, (right, left, many, doc, key, place) in enumerate(entries):
+    contexts.sort(key=itemgetter(0, 1))
+    kept, rights, before, left_before = [], [], b"", None
+    groups = [0]
+    for right, left, doc, key, place in contexts:
         shared = _shared(before, right)
-        table[i] = (shared, len(right), len(left), many, doc, key, place)
+        if shared == len(right) == len(before) and left == left_before:
+            kept[-1][3] = True
+            if spans is not None:
+                spans.setdefault((doc, key), []).extend((place - len(left), place + len(right)))
+            continue
+        if kept and shared < GRAM:
+            groups.append(len(kept))
+        kept.append([shared, len(right), left, False, doc, key, place])
         rights.append(right[shared:])
-        lefts.append(left)
-        before = right
+        before, left_before = right, left
+    table = np.zeros(len(kept), _ENTRY)
+    lefts = []
+    for a, b in zip(groups, [*groups[1:], len(kept)], strict=True):
+        before = b""
+        for at, i in enumerate(sorted(range(a, b), key=lambda i: kept[i][2]), a):
+            left = kept[i][2]
+            shared = _shared(before, left)
+            table["left_order"][at], table["left_shared"][at] = i, shared
+            lefts.append(left[shared:])
+            before = left
+    if kept:
+        columns = list(zip(*kept, strict=True))
+        for name, column in zip(("shared", "right", "left", "many", "doc", "key", "place"), columns, strict=True):
+            table[name] = [len(x) for x in column] if name == "left" else column
     body = table.tobytes() + b"".join(rights) + b"".join(lefts)
-    return struct.pack("<I", len(entries)) + zstandard.ZstdCompressor(level=1).compress(body)
-
+    return struct.pack("<I", len(kept)) + zstandard.ZstdCompressor(level=1).compress(body)
 
-class Run:
-    """A front-coded run, decoded suffix by suffix."""
 
-    def __init__(self, blob: bytes) -> None:
-        import zstandard
+class Cursor:
+    """A front-coded sequence, decoded item by item."""
 
-        n = struct.unpack_from("<I", blob)[0]
-        body = zstandard.ZstdDecompressor().decompress(blob[4:])
-        self.table = np.frombuffer(body, _ENTRY, n)
-        self.shared, self.length = self.table["shared"].tolist(), self.table["right"].tolist()
-        rights = n * _ENTRY.itemsize
-        self.body, self.at = body, rights
-        ends = rights + sum(self.length) - sum(self.shared) + np.cumsum(self.table["left"].astype(np.int64))
-        self.left_ends, self.left_lengths = ends.tolist(), self.table["left"].tolist()
-        self.next, self.n, self.current = 0, n, b""
+    def __init__(self, body: bytes, shared: list[int], length: list[int], at: int, first: int, end: int) -> None:
+        self.body, self.shared, self.length, self.at = body, shared, length, at
+        self.next, self.end, self.current = first, end, b""
 
     def advance(self) -> bool:
-        if self.next == self.n:
+        if self.next == self.end:
             return False
         i = self.next
         shared = self.shared[i]
@@ -203,11 +222,28 @@ class Run:
         self.at, self.next = stop, i + 1
         return True
 
-    def left(self, i: int) -> bytes:
-        return self.body[self.left_ends[i] - self.left_lengths[i] : self.left_ends[i]]
 
+class Run(Cursor):
+    """A run's suffixes; lefts(a, b): the left contexts of its entries a to b, a group, in their order."""
+
+    def __init__(self, blob: bytes) -> None:
+        import zstandard
 
-def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
+        n = struct.unpack_from("<I", blob)[0]
+        body = zstandard.ZstdDecompressor().decompress(blob[4:])
+        self.table = np.frombuffer(body, _ENTRY, n)
+        super().__init__(body, self.table["shared"].tolist(), self.table["right"].tolist(), n * _ENTRY.itemsize, 0, n)
+        self.order, self.left_shared = self.table["left_order"].tolist(), self.table["left_shared"].tolist()
+        lengths = self.table["left"][self.table["left_order"]].astype(np.int64)
+        self.left_length = lengths.tolist()
+        begin = self.at + sum(self.length) - sum(self.shared)
+        self.left_at = (begin + np.cumsum(lengths - self.table["left_shared"]) - (lengths - self.table["left_shared"])).tolist()
+
+    def lefts(self, a: int, b: int) -> Cursor:
+        return Cursor(self.body, self.left_shared, self.left_length, self.left_at[a], a, b)
+
+
+def merge(runs: list[Cursor]) -> Iterator[tuple[int, int, int]]:
     """(run, entry, bytes shared with the suffix before) in sorted order, by a loser tree.
 
     known[r]: how many bytes of run r's suffix are known to agree with the last suffix put out. The longer
@@ -261,39 +297,101 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
             node //= 2
 
 
+#: Entries of complete groups whose windows are looked at together.
+BATCH = 20_000
+
+
+def merged_groups(runs: list[Run]) -> Iterator[tuple[list[tuple[int, int]], list[int], list[tuple[int, int]], list[int]]]:
+    """For each group of suffixes that begin with the same gram, if it has more than one: (run, entry) and the bytes shared
+    with the one before, in the order of the suffixes, and both in the order of the left contexts."""
+
+    def complete(members: list[tuple[int, int]], shared: list[int]):
+        if len(members) == 1:
+            return members, shared, members, [0]
+        span: dict[int, list[int]] = {}
+        for r, i in members:
+            ends = span.setdefault(r, [i, i])
+            ends[1] = i
+        cursors = [runs[r].lefts(a, b + 1) for r, (a, b) in span.items()]
+        of = list(span)
+        if len(of) == 1:
+            a, b = span[of[0]]
+            return members, shared, [(of[0], i) for i in runs[of[0]].order[a : b + 1]], runs[of[0]].left_shared[a : b + 1]
+        lefts = list(merge(cursors))
+        return members, shared, [(of[c], runs[of[c]].order[i]) for c, i, _ in lefts], [x for _, _, x in lefts]
+
+    many = [r.table["many"].tolist() for r in runs]
+    members: list[tuple[int, int]] = []
+    lengths: list[int] = []
+    for r, i, length in merge(runs):
+        if length < GRAM and members:
+            if len(members) > 1 or many[members[0][0]][members[0][1]]:
+                yield complete(members, lengths)
+            members, lengths = [], []
+        members.append((r, i))
+        lengths.append(length)
+    if len(members) > 1 or (members and many[members[0][0]][members[0][1]]):
+        yield complete(members, lengths)
+
+
 def repeated_windows(blobs: list[bytes], least: int) -> pd.DataFrame:
     """(doc, key, start, end) of the bytes in windows that two entries of the runs share."""
     runs = [Run(b) for b in blobs]
-    order, shared = [], []
-    for r, i, length in merge(runs):
-        order.append((r, i))
-        shared.append(length)
-    n = len(order)
-    bounds = np.cumsum([0, *[r.n for r in runs]])
-    table = np.concatenate([r.table for r in runs])[[bounds[r] + i for r, i in order]] if n else np.empty(0, _ENTRY)
-    right = np.array(shared, np.int64)
-    lefts = [runs[r].left(i) for r, i in order]
-    by_left = sorted(range(n), key=lefts.__getitem__)
-    left = np.array([0, *[_shared(lefts[a], lefts[b]) for a, b in zip(by_left, by_left[1:], strict=False)]][:n], np.int64)
-    by_left = np.array(by_left, np.int64)
+    parts = [pd.DataFrame({c: np.empty(0, np.int64) for c in ("doc", "key", "start", "end")})]
+    entries, right, by_left, left = [], [], [], []
+
+    def look() -> None:
+        table = np.empty(len(entries), _ENTRY)
+        source, number = np.array(entries, np.int64).reshape(-1, 2).T
+        for r in np.unique(source):
+            mine = source == r
+            table[mine] = runs[r].table[number[mine]]
+        parts.append(_windows(table, np.array(right, np.int64), np.array(by_left, np.int64), np.array(left, np.int64), least))
+        for x in (entries, right, by_left, left):
+            x.clear()
+
+    for members, shared, ordered, left_shared in merged_groups(runs):
+        place = {m: len(entries) + k for k, m in enumerate(members)}
+        entries += members
+        right += shared
+        by_left += [place[m] for m in ordered]
+        left += left_shared
+        if len(entries) >= BATCH:
+            look()
+    if entries:
+        look()
+    return pd.concat(parts, ignore_index=True)
+
+
+def _windows(table: np.ndarray, right: np.ndarray, by_left: np.ndarray, left: np.ndarray, least: int) -> pd.DataFrame:
+    """repeated_windows() of whole groups: right and left are the bytes shared with the entry before, in the order of the table and
+    in that of by_left; both are shorter than a gram, or 0, where a group begins."""
+    n = len(table)
     first, last = least - table["right"].astype(np.int64), table["left"].astype(np.int64)  # offsets of the anchor in its windows
     many = table["many"]
-    found = np.zeros((n, least - GRAM + 3), bool)  # a column of False on either side
+    before, low, found = np.zeros(n, bool), np.zeros(n, np.int64), []
+
+    def close(rows: np.ndarray, high: int) -> None:
+        if len(rows):
+            place = table["place"][rows]
+            found.append((table["doc"][rows], table["key"][rows], place - high, place - low[rows] + least))
+
     for offset in range(least - GRAM + 1):
+        now = np.zeros(n, bool)
         on = np.flatnonzero((first <= offset) & (offset <= last))
-        if not len(on):
-            continue
-        right_class = np.cumsum(right < least - offset)
-        left_class = np.empty(n, np.int64)
-        left_class[by_left] = np.cumsum(left < offset) if offset else 0
-        _, group = np.unique(right_class[on] * (n + 1) + left_class[on], return_inverse=True)
-        times = np.bincount(group) + np.bincount(group, many[on]).astype(np.int64)
-        found[on, offset + 1] = times[group] > 1
-    step = np.diff(found.astype(np.int8), axis=1)
-    row, low = np.nonzero(step == 1)
-    high = np.nonzero(step == -1)[1] - 1
-    place = table["place"][row]
-    return pd.DataFrame({"doc": table["doc"][row], "key": table["key"][row], "start": place - high, "end": place - low + least})
+        if len(on):
+            group = np.cumsum(right < least - offset) * (n + 1)
+            if offset:
+                group[by_left] += np.cumsum(left < offset)
+            _, group = np.unique(group[on], return_inverse=True)
+            times = np.bincount(group) + np.bincount(group, many[on]).astype(np.int64)
+            now[on] = times[group] > 1
+        close(np.flatnonzero(before & ~now), offset - 1)
+        low[now & ~before] = offset
+        before = now
+    close(np.flatnonzero(before), least - GRAM)
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 4
+    return pd.DataFrame(dict(zip(("doc", "key", "start", "end"), columns, strict=True)))
 
 
 # --- the job ---------------------------------------------------------------------------------------------
@@ -326,34 +424,35 @@ def _unpacked(column: pa.Array) -> list[bytes]:
     return [expand(x) for x in column.to_pylist()]
 
 
-def _anchor_hashes(docs: DataFrame, least: int, common: np.ndarray) -> DataFrame:
+def _anchor_hashes(docs: DataFrame, least: int, shared: Broadcast) -> DataFrame:
     """For each text a mark (hash of doc and key; texts that share one only get marks too many), the hashes of its
-    anchors' grams without the common ones, and whether it has common ones."""
-    schema = pa.schema([("mark", pa.int64()), ("hashes", pa.list_(pa.int64())), ("common", pa.bool_())])
+    anchors' grams without the common ones, and how many common ones it has."""
+    schema = pa.schema([("mark", pa.int64()), ("hashes", pa.list_(pa.int64())), ("common", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
         for batch in batches:
             data, offsets = _flat(batch.column(2))
             for piece, ends, rows, _ in _buffers(data, offsets, least):
                 hashes, place, _, _ = anchors(piece, ends, least, common)
                 text = np.searchsorted(ends, place, side="right")
                 often = _marked(hashes, common) if len(common) else np.zeros(len(hashes), bool)
-                has_common = np.bincount(text[often], minlength=len(ends)) > 0
+                has_common = np.bincount(text[often], minlength=len(ends))
                 counts = np.bincount(text[~often], minlength=len(ends))
                 bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                some = np.flatnonzero((counts > 0) | has_common)
+                some = np.flatnonzero(counts + has_common)
                 values = pa.ListArray.from_arrays(pa.array(bounds), pa.array(hashes[~often].view(np.int64)))
                 yield pa.record_batch([batch.column(0).take(pa.array(rows[some])), values.take(pa.array(some)), pa.array(has_common[some])], schema=schema)
 
     texts = docs.filter(F.length("data") >= least).select(_mark(), F.col("key"), F.col("data"))
-    return texts.mapInArrow(run, "mark long, hashes array<long>, common boolean")
+    return texts.mapInArrow(run, "mark long, hashes array<long>, common long")
 
 
 def _mark() -> Column:
     return F.xxhash64("doc", "key").alias("mark")
 
 
-def _near_common(docs: DataFrame, least: int, common: np.ndarray, most_held: int = 1_000_000) -> DataFrame:
+def _near_common(docs: DataFrame, least: int, shared: Broadcast, most_held: int = 1_000_000) -> DataFrame:
     """hash, n of grams within a window of a common anchor: the rest of a passage is as common as its anchors. A task
     adds its grams up before it gives them on, and leaves out those it met once: they could only lengthen the list of
     common grams, which decides nothing but where work goes."""
@@ -370,6 +469,7 @@ def _near_common(docs: DataFrame, least: int, common: np.ndarray, most_held: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
+        common = shared.value
         for batch in batches:
             data, offsets = _flat(batch.column(0))
             for piece, ends, _, _ in _buffers(data, offsets, least):
@@ -402,18 +502,12 @@ def _counted(table: DataFrame) -> DataFrame:
     return table.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n"))
 
 
-def _sorted_runs(docs: DataFrame, marks: DataFrame, least: int, common: np.ndarray, owners: int, run_entries: int) -> DataFrame:
-    """Front-coded runs for each owner; and, for contexts met twice in a task, their bytes as spans."""
+def _sorted_runs(docs: DataFrame, marks: DataFrame, least: int, shared: Broadcast, owners: int, run_entries: int) -> DataFrame:
+    """Sorted, front-coded runs for each owner; and, for contexts that a run has already, their bytes as spans."""
     schema = pa.schema([("owner", pa.int32()), ("run", pa.binary()), ("doc", pa.int64()), ("key", pa.int64()), ("spans", pa.list_(pa.int64()))])
 
     def flush(contexts: dict, spans: dict) -> Iterator[pa.RecordBatch]:
-        by_owner: dict[int, list] = {}
-        for (right, left, owner), (member, many) in contexts.items():
-            by_owner.setdefault(owner, []).append((right, left, many, *member))
-        rows = []
-        for owner, entries in by_owner.items():
-            entries.sort(key=lambda e: e[:2])
-            rows.append((owner, encode_run(entries), 0, 0, None))
+        rows = [(owner, build_run(mine, spans), 0, 0, None) for owner, mine in contexts.items()]
         rows += [(doc % owners, None, doc, key, pairs) for (doc, key), pairs in spans.items()]
         contexts.clear()
         spans.clear()
@@ -422,8 +516,9 @@ def _sorted_runs(docs: DataFrame, marks: DataFrame, least: int, common: np.ndarr
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts: dict = {}
-        spans: dict = {}
+        contexts: dict[int, list] = {}
+        spans: dict[tuple[int, int], list[int]] = {}
+        held, common = 0, shared.value
         for batch in batches:
             ids, keys, marked = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
             texts = _unpacked(batch.column(2))
@@ -446,16 +541,11 @@ def _sorted_runs(docs: DataFrame, marks: DataFrame, least: int, common: np.ndarr
                     t = int(text[i])
                     moved = int(shift[t]) - int(begins[t])
                     row = rows[t]
-                    context = (raw[p:b], raw[a:p][::-1], int(owner[i]))
-                    held = contexts.get(context)
-                    if held is None:
-                        contexts[context] = ((ids[row], keys[row], p + moved), False)
-                        continue
-                    spans.setdefault((ids[row], keys[row]), []).extend((a + moved, b + moved))
-                    if not held[1]:
-                        contexts[context] = (held[0], True)
-                if len(contexts) >= run_entries:
+                    contexts.setdefault(int(owner[i]), []).append((raw[p:b], raw[a:p][::-1], ids[row], keys[row], p + moved))
+                    held += 1
+                if held >= run_entries:
                     yield from flush(contexts, spans)
+                    held = 0
         yield from flush(contexts, spans)
 
     texts = _packed(docs.filter(F.length("data") >= least).select("doc", "key", "data"))
@@ -463,14 +553,17 @@ def _sorted_runs(docs: DataFrame, marks: DataFrame, least: int, common: np.ndarr
     return joined.mapInArrow(run, "owner int, run binary, doc long, key long, spans array<long>")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, very_common: int = 1000, most_common: int = 1_000_000, run_entries: int = 200_000) -> DataFrame:
-    """doc, key (hash of the text), start, end: byte ranges whose union is what repeats.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, very_common: int = 1000, most_common: int = 1_000_000, run_entries: int = 200_000, owner_bytes: int = 2_000_000) -> DataFrame:
+    """doc, key (hash of the text), start, end: byte ranges whose union is what repeats. owner_bytes: about as much an
+    owner's runs may weigh.
 
     A gram is very common if it occurs more than very_common times and more often than one most_common-th of all
     that are counted, so at most about most_common of them (8 bytes each) are sent to the tasks."""
     bounded_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    table = written(_anchor_hashes(keyed, least, np.empty(0, np.uint64)), "suffix-anchors")
+    send = docs.sparkSession.sparkContext.broadcast  # of bounded size: see most_common
+    shared = send(np.empty(0, np.uint64))
+    table = written(_anchor_hashes(keyed, least, shared), "suffix-anchors")
     total = table.agg(F.sum(F.size("hashes"))).first()[0] or 0
 
     def often(counts: DataFrame, of: int) -> np.ndarray:
@@ -481,16 +574,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if len(common):
         discard(table)
         # a text has about this many grams for each anchor
-        common = np.union1d(common, often(_near_common(keyed, least, common), total * (least - GRAM)))
-        table = written(_anchor_hashes(keyed, least, common), "suffix-anchors-anew")
-    twice = _counted(table).filter("n > 1").select(F.col("hash").alias("twin"))
+        shared = send(np.union1d(common, often(_near_common(keyed, least, send(common)), total * (least - GRAM))))
+        table = written(_anchor_hashes(keyed, least, shared), "suffix-anchors-anew")
+    twice = written(_counted(table).filter("n > 1").select(F.col("hash").alias("twin"), "n"), "suffix-twins")
+    entries = (twice.agg(F.sum("n")).first()[0] or 0) + (table.agg(F.sum("common")).first()[0] or 0)
     exploded = table.select("mark", F.explode("hashes").alias("hash"))
     twins = exploded.join(twice, exploded["hash"] == twice["twin"]).select("mark", "hash")
     # common grams are known to every task; a text that has some is looked at, whatever else it has
-    also = table.filter("common").select("mark", F.lit(None).cast("long").alias("hash"))
+    also = table.filter("common > 0").select("mark", F.lit(None).cast("long").alias("hash"))
     marks = twins.unionByName(also).groupBy("mark").agg(F.collect_set("hash").alias("hashes"))
-    owners = max(shuffle_width(docs.sparkSession), total // 500_000)
-    runs = _sorted_runs(keyed, marks, least, common, owners, run_entries)
+    width = shuffle_width(docs.sparkSession)
+    owners = max(width, entries * _ENTRY_BYTES // owner_bytes)
+    runs = _sorted_runs(keyed, marks, least, shared, owners, run_entries)
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         found = repeated_windows([bytes(b) for b in group["run"] if b is not None], least)
@@ -501,7 +596,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             parts.append(pd.DataFrame({"doc": doc, "key": key, "start": pairs[:, 0], "end": pairs[:, 1]}))
         return pd.concat(parts, ignore_index=True).astype({"key": "int64", "start": "int64", "end": "int64"})
 
-    return runs.groupBy("owner").applyInPandas(settle, "doc long, key long, start long, end long")
+    # a task has a few owners, one after the other; a given number of tasks is not made smaller for small data
+    dealt = runs.repartition(max(width, min(owners, 10_000)), "owner")
+    return dealt.groupBy("owner").applyInPandas(settle, "doc long, key long, start long, end long")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 200, with_kept: bool = False, **options) -> DataFrame:

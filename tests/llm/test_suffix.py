@@ -42,7 +42,7 @@ def planted(seed):
     return [*rows, (3, rows[5][1]), (3, rows[3][1]), (200, None), (201, ""), (202, "ab" * 400), (203, "a" * 700), (204, "x" * 200), (205, "xyz" * 90), (None, rows[1][1]), (None, "q" * 199)]
 
 
-@pytest.mark.parametrize("options", [{}, {"very_common": 3}, {"very_common": 3, "run_entries": 20}])
+@pytest.mark.parametrize("options", [{}, {"very_common": 3}, {"very_common": 3, "run_entries": 20}, {"run_entries": 7, "owner_bytes": 500}])
 def test_against_brute_force(spark, options):
     rows = planted(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
@@ -89,9 +89,9 @@ def test_loser_tree_merges_and_knows_prefixes():
     for _ in range(100):
         runs, every = [], []
         for _ in range(rng.randint(1, 6)):
-            entries = sorted((bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 8))), b"L", False, 1, 2, 3) for _ in range(rng.randint(0, 6)))
-            runs.append(suffix.encode_run(entries))
-            every.append([e[0] for e in entries])
+            entries = {(bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 8))), b"L", 1, 2, 3) for _ in range(rng.randint(0, 6))}
+            runs.append(suffix.build_run(list(entries)))
+            every.append(sorted(e[0] for e in entries))
         order = list(suffix.merge([suffix.Run(b) for b in runs]))
         merged = [every[r][i] for r, i, _ in order]
         assert merged == sorted(x for run in every for x in run)
@@ -99,3 +99,27 @@ def test_loser_tree_merges_and_knows_prefixes():
         for text, (_, _, shared) in zip(merged, order, strict=True):
             assert text[:shared] == before[:shared] and (shared in (len(text), len(before)) or text[shared] != before[shared])
             before = text
+
+
+def test_groups_come_in_both_orders(monkeypatch):
+    monkeypatch.setattr(suffix, "GRAM", 3)
+    rng = random.Random(4)
+    some = lambda most: bytes(rng.choice(b"ab") for _ in range(rng.randint(0, most)))
+    for _ in range(100):
+        runs = [[(bytes(rng.choice(b"ab") for _ in range(3)) + some(3), some(4), r, 0, i) for i in range(rng.randint(0, 12))] for r in range(rng.randint(1, 4))]
+        spans = {}
+        blobs = [suffix.build_run(list(run), spans) for run in runs]
+        distinct = [sorted({e[:2] for e in run}) for run in runs]
+        assert sum(len(v) // 2 for v in spans.values()) == sum(map(len, runs)) - sum(map(len, distinct))
+        seen = []
+        for members, shared, ordered, left_shared in suffix.merged_groups([suffix.Run(b) for b in blobs]):
+            texts = [distinct[r][i] for r, i in members]
+            assert sorted(members) == sorted(ordered) and len({t[0][:3] for t in texts}) == 1
+            assert [t[0] for t in texts] == sorted(t[0] for t in texts)
+            lefts = [distinct[r][i][1] for r, i in ordered]
+            assert lefts == sorted(lefts)
+            for values, counts in (([t[0] for t in texts], shared), (lefts, left_shared)):
+                for a, b, n in zip(values, values[1:], counts[1:], strict=False):
+                    assert a[:n] == b[:n] and (n in (len(a), len(b)) or a[n] != b[n])
+            seen += [m for m in members]
+        assert len(seen) == len(set(seen))
