@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered
-from .common import WORD_CLASS, checkpointed, written
+from .common import WORD_CLASS, checkpointed, free_names, written
 
 #: Hash ranges that a source is cut into before one of them is ordered.
 RANGES = 4096
@@ -77,7 +77,9 @@ def mix(
 
     whole_documents: the document in which a source's words run out is repeated wholly if at least half of
     it fits and not at all otherwise, so that no text need be cut."""
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    # rows without an id are told apart by their text, so that they do not share one range
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(F.col(text_col)).cast("string")))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), name))
     sized = written(
         docs.select(
             F.col(id_col).alias("id"),
@@ -127,10 +129,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     without words have nothing to mix by: they stay once."""
     mixed = mix(docs, id_col=id_col, whole_documents=True, **options)
     n = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("whole") + (F.col("part") > 0).cast("long"))
-    times = mixed.groupBy(F.col(id_col).alias("_mix_id")).agg(F.max(n).cast("int").alias("_mix_times"))
-    joined = docs.join(times, docs[id_col].eqNullSafe(times["_mix_id"])).filter("_mix_times > 0")
-    again = joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-    return again.select(*[docs[c] for c in docs.columns])
+    of, times, copy = free_names(docs, "mix_id", "mix_times", "mix_copy")
+    table = mixed.groupBy(F.col(id_col).alias(of)).agg(F.max(n).cast("int").alias(times))
+    joined = docs.join(table, F.col(id_col).eqNullSafe(F.col(of))).filter(F.col(times) > 0)
+    again = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return again.select(*docs.columns)
 
 
 SQL = r"""

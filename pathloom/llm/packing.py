@@ -80,28 +80,31 @@ def tokenize(
 ) -> DataFrame:
     """Pieces: doc_id, piece, start, length, ids_crc32 (and ids, if asked for)."""
     bounded_batches(docs.sparkSession)
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     if with_ids:
         fields, schema = [*fields, ("ids", pa.list_(pa.int64()))], schema + ", ids array<long>"
-    out_schema = pa.schema(fields)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[] for _ in fields]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            of: list[int] = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 ids = encode_bytes(text or "", json_path, ranks_path, pattern) + end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[4 * start : 4 * (start + length)]
-                    row = [doc_id, piece, start, length, zlib.crc32(part)]
+                    row = [piece, start, length, zlib.crc32(part)]
                     if with_ids:
                         row.append(np.frombuffer(part, "<u4").astype("i8"))
                     for column, value in zip(columns, row, strict=True):
                         column.append(value)
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
+                    of.append(i)
+            made = [pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)]
+            yield pa.record_batch([batch.column(0).take(pa.array(of, pa.int64())), *made], names=["doc_id", *[n for n, _ in fields]])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -168,11 +171,11 @@ _PACKED = T.StructType(
 
 
 def _pack_partitions(pool: DataFrame, capacity: int, seed: int, parts: int) -> DataFrame:
-    dealt = pool.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(seed)), F.lit(parts)))
+    dealt = pool.withColumn("part", F.pmod(F.xxhash64("deal", F.lit(seed)), F.lit(parts)))
     keep = dealt.columns
 
     def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "start"], kind="stable").reset_index(drop=True)
+        group = group.sort_values("deal", kind="stable").reset_index(drop=True)
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, lengths, minlength=1).astype(np.int64)
@@ -188,8 +191,9 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = 50_000
     """pieces with sequence_id and offset. partition_pieces bounds what one task packs; a partition's
     memory does not depend on the input. Rounds end once one gains nothing or the pool fits one partition."""
     spark = pieces.sparkSession
-    payload = [c for c in pieces.columns if c not in ("part", "sequence_id", *_PACKED.names)]
-    pool = checkpointed(pieces.select(*payload))
+    payload = [c for c in pieces.columns if c not in ("deal", "part", "sequence_id", *_PACKED.names)]
+    # pieces are dealt by a number of their own, which stays: rows that share an id, or have none, are spread like others
+    pool = checkpointed(pieces.select(*payload).withColumn("deal", F.monotonically_increasing_id()))
     n = pool.count()
     parts = max(1, min(shuffle_width(spark), -(-n // 1000)), math.ceil(n / partition_pieces))
     done: list[DataFrame] = []
@@ -213,7 +217,7 @@ def pack(pieces: DataFrame, capacity: int = 1024, partition_pieces: int = 50_000
         if not pieces_left:
             break
         held = (given, before)
-        pool = given.select(*payload)
+        pool = given.select(*payload, "deal")
         parts = max(1, min(parts // 8, -(-pieces_left // 1000)), math.ceil(pieces_left / partition_pieces))
     out = done[0].select(*payload, "sequence_id", "offset")
     for more in done[1:]:
