@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import html
+import io
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,6 +27,11 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"(?<=.)\.[^.]*$", "")
 
 
+def suffix(path: Column) -> Column:
+    """The ending from the last dot on, which the stem leaves out; empty if there is none."""
+    return F.regexp_extract(base_name(path), r"(?<=.)(\.[^.]*)$", 1)
+
+
 def formula_guard(value: Column) -> Column:
     """A quote before text that a spreadsheet would take for a formula."""
     return F.when(value.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), value)).otherwise(value)
@@ -44,11 +52,16 @@ def cited_tokens(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\bFUN_[0-9a-fA-F]{4,}\b"), F.lit(0))))
 
 
-def cited_names(text: Column, known: Column) -> Column:
-    """Those of the known names that stand in text as whole words, and the cited tokens; sorted."""
-    quoted = lambda name: F.concat(F.lit(r"(?U)(?<!\w)\Q"), name, F.lit(r"\E(?!\w)"))
+def cited_names(text: Column, known: Column, explicit: Column | None = None) -> Column:
+    """Those of the known names that stand in text as whole words, and the cited tokens; sorted. A list of explicitly cited names, where
+    there is one, is the answer instead."""
+    literal = lambda name: F.replace(name, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    quoted = lambda name: F.concat(F.lit(r"(?U)(?<!\w)\Q"), literal(name), F.lit(r"\E(?!\w)"))
     found = F.filter(known, lambda name: (F.length(name) > 0) & F.regexp_like(text, quoted(name)))
-    return F.array_sort(F.array_distinct(F.concat(found, cited_tokens(text))))
+    named = F.array_sort(F.array_distinct(F.concat(found, cited_tokens(text))))
+    if explicit is None:
+        return named
+    return F.coalesce(F.array_sort(F.array_distinct(F.filter(explicit, lambda x: F.length(x) > 0))), named)
 
 
 def redacted(text: Column, secret: str) -> Column:
@@ -128,6 +141,21 @@ def markdown_table(columns: list[str], rows: list[dict]) -> str:
     return "\n".join(lines + ["| " + " | ".join(display(r.get(c)) for c in columns) + " |" for r in rows])
 
 
+def file_name(name: str) -> str:
+    return re.sub(r"[^\w.-]", "_", name)
+
+
+def csv_table(columns: list[str], rows: list[dict]) -> str:
+    """With a byte order mark and the formula guard."""
+    out = io.StringIO()
+    writer = csv.writer(out, lineterminator="\n")
+    writer.writerow(columns)
+    for r in rows:
+        values = ["" if r.get(c) is None else r[c] for c in columns]
+        writer.writerow(["'" + v if isinstance(v, str) and v[:1] in tuple("=+-@") else v for v in values])
+    return "\ufeff" + out.getvalue()
+
+
 def html_table(columns: list[str], rows: list[dict]) -> str:
     cells = lambda tag, values: "<tr>" + "".join(f"<{tag}>{html.escape(v)}</{tag}>" for v in values) + "</tr>"
     body = "".join(cells("td", [display(r.get(c)) for c in columns]) for r in rows)
@@ -135,11 +163,10 @@ def html_table(columns: list[str], rows: list[dict]) -> str:
 
 
 def duration(seconds: float) -> str:
-    """1h 02m 03s, 2m 03s or 3s."""
-    whole = int(seconds)
-    hours, minutes, rest = whole // 3600, whole // 60 % 60, whole % 60
-    if hours:
-        return f"{hours}h {minutes:02d}m {rest:02d}s"
-    return f"{minutes}m {rest:02d}s" if minutes else f"{rest}s"
+    """From an hour on hours and minutes, from a minute on minutes and seconds, else seconds; negative ones count as none."""
+    hours, within = divmod(max(0, int(seconds)), 3600)
+    minutes, rest = divmod(within, 60)
+    larger, smaller, units = (hours, minutes, "hm") if hours else (minutes, rest, "ms")
+    return f"{larger}{units[0]} {smaller:02d}{units[1]}" if larger else f"{rest}s"
 
 

@@ -20,11 +20,20 @@ def first_seen_vocabulary(ngrams: DataFrame, order: list[str]) -> DataFrame:
     return numbered(first, [F.col("first_seen"), F.col("ngram")], "feature_id")
 
 
+def ngram_counts(ngrams: DataFrame, sample: str = "program") -> DataFrame:
+    """Occurrences of each n-gram in each sample."""
+    return ngrams.groupBy(sample, "ngram").agg(F.count("*").alias("n"))
+
+
 def feature_counts(ngrams: DataFrame, vocabulary: DataFrame, sample: str = "program") -> DataFrame:
     """Occurrences of each known n-gram in each sample. Counts are taken before the vocabulary is joined, so
     the join moves a row per sample and n-gram; Spark broadcasts the vocabulary if it is small."""
-    counted = ngrams.groupBy(sample, "ngram").agg(F.count("*").alias("n"))
-    return counted.join(vocabulary.select("ngram", "feature_id"), "ngram").select(sample, "feature_id", "n")
+    return known_counts(ngram_counts(ngrams, sample), vocabulary, sample)
+
+
+def known_counts(counts: DataFrame, vocabulary: DataFrame, sample: str = "program") -> DataFrame:
+    """ngram_counts() of the known n-grams."""
+    return counts.join(vocabulary.select("ngram", "feature_id"), "ngram").select(sample, "feature_id", "n")
 
 
 def frequencies(counts: DataFrame, sample: str = "program") -> DataFrame:

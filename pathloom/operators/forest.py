@@ -11,25 +11,17 @@ import pandas as pd
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 #: Spark's trees are at most this deep.
 DEEPEST = 30
 
 
-def sparse(features: Column, size: int) -> Column:
-    """A map of id to value as a sparse vector."""
-
-    @F.udf(VectorUDT())
-    def build(m):
-        return SparseVector(size, dict(m or {}))
-
-    return build(features)
-
-
 def classifier(depth: int = DEEPEST, trees: int = 200, leaf: int = 1, seed: int = 42) -> RandomForestClassifier:
     """Gini forest over the square root of the features. A deeper tree than Spark's limit is asked for as 30."""
     return RandomForestClassifier(
@@ -63,9 +55,12 @@ def out_of_fold(train: DataFrame, forest: RandomForestClassifier, folds: int = 3
 
 
 def learning_curve(train: DataFrame, forest: RandomForestClassifier, order: str, shares: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0), folds: int = 3, fold_col: str = "fold") -> list[dict]:
-    """F1 of the positive class on the training part and on the held-out fold, by share of the training rows."""
+    """F1 of the positive class on the training part and on the held-out fold, by share of the training rows. Rows are numbered within
+    their fold over ranges, so no task holds a fold."""
     judge = MulticlassClassificationEvaluator(labelCol="label", metricName="fMeasureByLabel", metricLabel=1.0)
-    ranked = train.withColumn("_share", F.percent_rank().over(_by_fold(fold_col, order)))
+    sizes = train.groupBy(F.col(fold_col).alias("_fold")).agg(F.count("*").alias("_size"))
+    placed = numbered(train, [F.col(order)], "_place", (fold_col,))
+    ranked = placed.join(F.broadcast(sizes), placed[fold_col] == sizes["_fold"]).withColumn("_share", F.col("_place") / F.greatest(F.col("_size") - 1, F.lit(1)))
     out = []
     for share in shares:
         for k in range(folds):
@@ -76,10 +71,32 @@ def learning_curve(train: DataFrame, forest: RandomForestClassifier, order: str,
     return out
 
 
-def _by_fold(fold_col: str, order: str):
-    from pyspark.sql import Window
+def save(model: RandomForestClassificationModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
 
-    return Window.partitionBy(fold_col).orderBy(order)
+def load(path: str, features: int | None = None) -> RandomForestClassificationModel:
+    """A saved forest. features: what the samples to score have; another number is refused."""
+    model = RandomForestClassificationModel.load(path)
+    if features is not None and model.numFeatures != features:
+        raise ValueError(f"the model has {model.numFeatures} features, the samples {features}")
+    return model
+
+
+def refitted(train: DataFrame, test: DataFrame, forest: RandomForestClassifier, threshold: float, positive: int = 1) -> DataFrame:
+    """test with score and y_pred at a fixed threshold, by a forest of fixed parameters fitted on train and not kept. Both must have
+    the same binary labels, the positive one among them, and vectors of one size."""
+    labels = [sorted({r[0] for r in rows.select("label").distinct().limit(10).collect()}) for rows in (train, test)]
+    if labels[0] != labels[1]:
+        raise ValueError(f"the labels differ: {labels[0]} in training, {labels[1]} in test")
+    if len(labels[0]) != 2 or positive not in labels[0]:
+        raise ValueError(f"two labels with {positive} among them are needed, not {labels[0]}")
+    sizes = [rows.select("vector").first()[0].size for rows in (train, test)]
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"the feature counts differ: {sizes[0]} in training, {sizes[1]} in test")
+    scored = probabilities(forest.fit(train), test, positive)
+    other = next(x for x in labels[0] if x != positive)
+    return scored.withColumn("y_true", F.col("label")).withColumn("y_pred", F.when(F.col("score") >= threshold, positive).otherwise(other))
 
 
 # --- contributions ---------------------------------------------------------------------------------------
@@ -142,6 +159,17 @@ def leaf_contributions(leaf: Leaf, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def picked_entries(vector, column: dict[int, int]) -> list[float]:
+    """A vector's entries of the asked features, in their order."""
+    if not hasattr(vector, "indices"):
+        return [float(vector[f]) for f in column]
+    out = [0.0] * len(column)
+    for f, value in zip(vector.indices.tolist(), vector.values.tolist(), strict=True):
+        if f in column:
+            out[column[f]] = value
+    return out
+
+
 def contributions(model: RandomForestClassificationModel, rows: DataFrame, sample: str, positive: int = 1) -> DataFrame:
     """(sample, feature_id, value, shap_value) for every feature that a tree asks about, and the base value under
     feature_id -1: they add up to the forest's probability. The trees are the model itself, so their size
@@ -172,13 +200,14 @@ def contributions(model: RandomForestClassificationModel, rows: DataFrame, sampl
                 "shap_value": np.hstack([np.full((len(batch), 1), base), total]).ravel(),
             })
 
-    dense = vector_to_array("vector")
-    picked = rows.select(sample, F.array(*[dense[f] for f in asked]).cast("array<double>").alias("asked"))
+    # entry by entry, so that no row becomes an array as long as the vocabulary
+    parts = F.udf(lambda v: picked_entries(v, state.value[2]), "array<double>") if len(asked) < model.numFeatures else None
+    picked = rows.select(sample, parts("vector").alias("asked") if parts else vector_to_array("vector").alias("asked"))
     return picked.mapInPandas(run, f"{sample} {kinds[sample]}, feature_id int, value double, shap_value double")
 
 
-def tree_rules(model: RandomForestClassificationModel, tree: int = 0, depth: int = 4) -> str:
-    """One tree as indented text, down to a depth."""
+def tree_rules(model: RandomForestClassificationModel, tree: int = 0, depth: int = 4, names: dict[int, str] | None = None) -> str:
+    """One tree as indented text, down to a depth. names: of the features by id; leaves show the training rows of each class."""
     lines = []
     stack = [(model.trees[tree]._call_java("rootNode"), 0, "")]
     while stack:
@@ -186,12 +215,13 @@ def tree_rules(model: RandomForestClassificationModel, tree: int = 0, depth: int
         if text:
             lines.append("  " * (level - 1) + text)
         if node.numDescendants() == 0:
-            lines.append("  " * level + f"class {int(node.prediction())}")
+            weights = ", ".join(f"{w:.2f}" for w in node.impurityStats().stats())
+            lines.append("  " * level + f"weights: [{weights}] class: {int(node.prediction())}")
         elif level >= depth:
             lines.append("  " * level + "...")
         else:
             split = node.split()
-            name = f"feature {split.featureIndex()}"
+            name = (names or {}).get(split.featureIndex(), f"feature {split.featureIndex()}")
             stack.append((node.rightChild(), level + 1, f"{name} > {split.threshold():.6f}"))
             stack.append((node.leftChild(), level + 1, f"{name} <= {split.threshold():.6f}"))
     return "\n".join(lines)

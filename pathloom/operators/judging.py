@@ -223,14 +223,24 @@ def manifest_violations(rows: DataFrame) -> DataFrame:
 
 
 def batch_mismatches(matrix_rows: DataFrame, labels: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Batches whose matrix, labels and metadata differ in rows or labels; none is right."""
-    key = ["split", "batch_number"]
-    m = matrix_rows.groupBy(*key).agg(F.count("*").alias("matrix_rows"))
-    y = labels.groupBy(*key).agg(F.count("*").alias("label_rows"), F.sum("label").alias("label_sum"))
-    d = metadata.groupBy(*key).agg(F.count("*").alias("metadata_rows"), F.sum("label").alias("metadata_sum"))
-    joined = m.join(y, key, "full").join(d, key, "full")
-    same = F.col("matrix_rows").eqNullSafe(F.col("label_rows")) & F.col("matrix_rows").eqNullSafe(F.col("metadata_rows")) & F.col("label_sum").eqNullSafe(F.col("metadata_sum"))
-    return joined.filter(~same)
+    """Batches in which a row is missing in matrix, labels or metadata, comes twice, or has different labels; none is right. Rows
+    are told by (split, batch_number, row_index_in_batch); labels and metadata have a label.
+
+    split, batch_number, rows (different places), missing (in one of the three), repeated, different (labels)."""
+    key = ["split", "batch_number", "row_index_in_batch"]
+    null = F.lit(None).cast("int")
+    parts = [matrix_rows.select(*key, F.lit("m").alias("of"), null.alias("label")), labels.select(*key, F.lit("y").alias("of"), "label"), metadata.select(*key, F.lit("d").alias("of"), "label")]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    count = lambda of: F.count_if(F.col("of") == of)
+    row = every.groupBy(*key).agg(
+        F.least(count("m"), count("y"), count("d")).alias("fewest"), F.greatest(count("m"), count("y"), count("d")).alias("most"),
+        F.max(F.when(F.col("of") == "y", F.col("label"))).alias("y"), F.max(F.when(F.col("of") == "d", F.col("label"))).alias("d"),
+    )
+    batches = row.groupBy("split", "batch_number").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("fewest") == 0).alias("missing"), F.count_if(F.col("most") > 1).alias("repeated"),
+        F.count_if((F.col("fewest") > 0) & ~F.col("y").eqNullSafe(F.col("d"))).alias("different"),
+    )
+    return batches.filter("missing > 0 OR repeated > 0 OR different > 0")
 
 
 def valid_judgements(forms: DataFrame, valid_ids: Column) -> DataFrame:
@@ -244,6 +254,30 @@ def valid_judgements(forms: DataFrame, valid_ids: Column) -> DataFrame:
     return forms.withColumn("valid", F.coalesce(names & whole & refs, F.lit(False)))
 
 
+# Criteria and claim labels of the first judge form.
+CRITERIA_V1 = ("evidence_faithfulness", "shap_alignment", "code_region_grounding")
+SUPPORT_LABELS = ("supported", "partially_supported", "unsupported", "contradicted", "not_verifiable")
+
+
+def valid_criteria(forms: DataFrame, valid_ids: Column, criteria: tuple[str, ...] = CRITERIA_V1) -> DataFrame:
+    """forms of the first kind with valid: each criterion once with a whole score from 1 to 5 and a rationale, claims with a known label and a
+    rationale, an overall rationale, and evidence ids that exist.
+
+    criteria array<struct<name, score: double, rationale, evidence_ids>>, claims array<struct<claim, support, rationale, evidence_ids>>,
+    overall_rationale string."""
+    known = lambda ids: ids.isNotNull() & (F.size(F.array_except(ids, valid_ids)) == 0)
+    names = F.array_sort(F.transform("criteria", lambda c: c["name"])) == F.array_sort(F.array(*[F.lit(c) for c in criteria]))
+    scores = F.forall("criteria", lambda c: (c["score"] == F.floor(c["score"])) & c["score"].between(1, 5) & c["rationale"].isNotNull() & known(c["evidence_ids"]))
+    claims = F.forall("claims", lambda c: c["claim"].isNotNull() & c["support"].isin(*SUPPORT_LABELS) & c["rationale"].isNotNull() & known(c["evidence_ids"]))
+    return forms.withColumn("valid", F.coalesce(names & scores & claims & F.col("overall_rationale").isNotNull(), F.lit(False)))
+
+
+def claim_summaries(claims: DataFrame, by: str = "sample_id") -> DataFrame:
+    """Per report: claim_count, unsupported_or_contradicted_count and their ratio (all listed claims count, not verifiable ones too)."""
+    bad = F.count_if(F.col("label").isin("unsupported", "contradicted"))
+    return claims.groupBy(by).agg(F.count("*").alias("claim_count"), bad.alias("unsupported_or_contradicted_count"), (bad / F.count("*")).alias("unsupported_claim_rate"))
+
+
 def criterion_means(forms: DataFrame) -> DataFrame:
     """Mean of each criterion over all forms."""
     return forms.select(F.explode("scores").alias("criterion", "score")).groupBy("criterion").agg(F.avg("score").alias("mean"))
@@ -255,8 +289,8 @@ def unsupported_rate(claims: DataFrame) -> DataFrame:
     return claims.agg(F.when(F.count("*") > 0, bad / F.count("*")).alias("unsupported_claim_rate"))
 
 
-def with_citations(candidates: DataFrame, text: str, known: str) -> DataFrame:
-    return candidates.withColumn("cited", cited_names(F.col(text), F.col(known)))
+def with_citations(candidates: DataFrame, text: str, known: str, explicit: str | None = None) -> DataFrame:
+    return candidates.withColumn("cited", cited_names(F.col(text), F.col(known), F.col(explicit) if explicit else None))
 
 
 def evidence_catalog(evidence: DataFrame, disassembly: DataFrame) -> DataFrame:

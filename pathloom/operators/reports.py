@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Callable
 from dataclasses import MISSING, dataclass, field, fields
 from pathlib import Path
@@ -167,10 +168,19 @@ def run_states(attempts: DataFrame, most_errors: int = 3) -> DataFrame:
     return attempts.join(stops, "run", "left").withColumn("status", F.when(late, "not_attempted_batch_stopped").otherwise(F.col("outcome"))).drop("_stop_pos")
 
 
+def _pointers(documents, paths):
+    """json_pointer() over Arrow arrays."""
+    import pyarrow as pa
+
+    pairs = zip(documents.to_pylist(), paths.to_pylist(), strict=True)
+    return pa.array([tx.json_pointer(d, p) for d, p in pairs], pa.string())
+
+
 def verified_findings(findings: DataFrame, candidates: DataFrame, item: str = "sample_id") -> DataFrame:
     """findings with verified: does the text that candidate_path points to hold the quote word for word? Paths must
     lead into the candidate analysis. candidates: (sample_id, analysis), the analysis as JSON."""
-    find = F.udf(tx.json_pointer, "string")  # paths are data, which no built-in JSON path takes
+    # paths are data, which no built-in JSON path takes
+    find = F.arrow_udf(_pointers, "string")
     inner = F.regexp_replace("candidate_path", "^/candidate_analysis", "")
     joined = findings.join(candidates.select(item, "analysis"), item, "left").withColumn("_target", find("analysis", inner))
     inside = F.col("candidate_path").startswith("/candidate_analysis/")
@@ -183,24 +193,32 @@ def consistent_faithfulness(forms: DataFrame) -> DataFrame:
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """A JSON object a line; NaN and infinity, which JSON has not, are refused."""
-    p = F.col("random_forest.malware_probability")
-    bad = reports.filter(p.isNotNull() & ~tx.finite(p)).limit(1).count()
-    if bad:
-        raise ValueError("a probability is not finite")
+    """A JSON object a line; NaN and infinity, which JSON has not, are refused in any number."""
+    odd = lambda c: c.isNotNull() & ~tx.finite(c)
+    numbers = [odd(F.col("random_forest.malware_probability"))]
+    numbers += [F.coalesce(F.exists("shap.top_features", lambda x: odd(x["value"]) | odd(x["shap_value"])), F.lit(False))]
+    numbers += [odd(F.col("llm.analysis.confidence_score"))]
+    bad = numbers[0]
+    for x in numbers[1:]:
+        bad = bad | x
+    if reports.filter(bad).limit(1).count():
+        raise ValueError("a number is not finite")
     reports.write.mode("overwrite").json(path)
 
 
 def export_summary(tables: dict[str, DataFrame], folder: str | Path, title: str) -> None:
-    """report.md and report.html of summary tables: of a few rows each, so they are rendered on the driver."""
+    """report.md, report.html and a CSV of each summary table: of a few rows each, so they are rendered on the driver, into a
+    folder of the driver's (for people, not for further jobs)."""
     folder = Path(folder)
     folder.mkdir(parents=True, exist_ok=True)
-    md, pages = [f"# {title}"], [f"<h1>{title}</h1>"]
+    md, pages, bodies = [f"# {title}"], [f"<h1>{html.escape(title)}</h1>"], []
     for name, df in tables.items():
         rows = [r.asDict() for r in df.collect()]
         md += ["", f"## {name}", "", tx.markdown_table(df.columns, rows)]
         pages += [f"<h2>{name}</h2>", tx.html_table(df.columns, rows)]
-    for file, body in (("report.md", "\n".join(md) + "\n"), ("report.html", '<!doctype html><meta charset="utf-8">' + "".join(pages))):
+        bodies.append((f"{tx.file_name(name)}.csv", tx.csv_table(df.columns, rows)))
+    bodies += [("report.md", "\n".join(md) + "\n"), ("report.html", '<!doctype html><meta charset="utf-8">' + "".join(pages))]
+    for file, body in bodies:
         part = folder / (file + ".tmp")
         part.write_text(body, encoding="utf-8")
         part.replace(folder / file)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.numbering import numbered
+from ..functions.storage import written
 from ..operators import features as ft
 from ..operators import graphs as gr
 from ..operators import judging as jd
@@ -117,12 +118,13 @@ def feature_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _train_only(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(split samples, vocabulary of the training split, frequencies of all samples). n-grams that start with an
-    error stay out of the vocabulary, so that some are unknown."""
+    error stay out of the vocabulary, so that some are unknown. n-grams are counted once and stored: vocabulary and
+    features are both made from the counts."""
     split = ft.stratified_split(fx.samples(spark, sf_dir), "label", "program")
-    ngrams = _bigrams(spark, sf_dir)
-    seen = ngrams.join(split.filter("split = 'train'").select("program"), "program", "left_semi").filter(F.col("ngram")[0] != "error")
+    counts = written(ft.ngram_counts(_bigrams(spark, sf_dir)), "ngram-counts")
+    seen = counts.join(split.filter("split = 'train'").select("program"), "program", "left_semi").filter(F.col("ngram")[0] != "error")
     vocabulary = ft.lexicographic_vocabulary(seen)
-    return split, vocabulary, ft.frequencies(ft.feature_counts(ngrams, vocabulary))
+    return split, vocabulary, ft.frequencies(ft.known_counts(counts, vocabulary))
 
 
 @query(f"WITH {_TRAIN} SELECT s.program, s.split, ff.feature_id, round(ff.value, 9) AS value FROM split s LEFT JOIN ff USING (program) WHERE s.split = 'test'")

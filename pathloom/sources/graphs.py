@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+
 #: One file per binary. defs and uses of instructions are part of the format but nothing reads them.
 GRAPH_SCHEMA = """
 binary string, label int, label_name string,
@@ -40,15 +42,16 @@ def usable(files: DataFrame) -> DataFrame:
 
 
 def labelled_files(spark: SparkSession, dataset_dir: str) -> DataFrame:
-    """path, class_name and label of every file under the class folders; all must exist and one hold a file."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(dataset_dir).select("path")
+    """path, class_name, label and pos (place among the sorted files of its class) of every .json file in a class folder; all
+    folders must exist and hold one."""
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").load(dataset_dir).select("path")
     named = listing.withColumn("class_name", F.element_at(F.split("path", "/"), -2)).filter(F.col("class_name").isin(*CLASSES))
     label = F.create_map(*[F.lit(x) for pair in CLASSES.items() for x in pair])[F.col("class_name")]
     out = named.withColumn("label", label)
     missing = set(CLASSES) - {r[0] for r in out.select("class_name").distinct().collect()}
     if missing:
         raise FileNotFoundError(f"no files for {sorted(missing)} under {dataset_dir}")
-    return out
+    return numbered(out, [F.col("path")], "pos", ("class_name",))
 
 
 def functions(files: DataFrame) -> DataFrame:
@@ -107,13 +110,22 @@ def read_strict_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved_sources(rows: DataFrame, files: DataFrame, dataset_dir: str) -> DataFrame:
-    """rows with source: source_path if such a file exists, else <dataset>/<class>/<name> if that does."""
+    """rows with source: source_path if such a file exists, else <dataset>/<class>/<name> if that does, else null; require_sources()
+    refuses the last."""
     wanted = rows.withColumn("_fallback", F.concat_ws("/", F.lit(dataset_dir.rstrip("/")), "class_name", "source_name"))
     a, b = files.select(F.col("path").alias("_a")), files.select(F.col("path").alias("_b"))
     found = wanted.join(a, wanted["source_path"] == a["_a"], "left").join(b, wanted["_fallback"] == b["_b"], "left")
     return found.withColumn("source", F.coalesce("_a", "_b")).drop("_a", "_b", "_fallback")
 
 
+def require_sources(resolved: DataFrame) -> DataFrame:
+    """resolved, unless a row has no source."""
+    lost = resolved.filter("source IS NULL").select("source_name").limit(5).collect()
+    if lost:
+        raise FileNotFoundError(f"no source file for {[r['source_name'] for r in lost]}")
+    return resolved
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("y_true int, y_pred int").option("header", True).csv(path)
 
@@ -123,9 +135,14 @@ def positive_reports(reports: DataFrame) -> DataFrame:
     return reports.filter(F.col("random_forest.predicted_class") == 1)
 
 
-def guarded_csv(df: DataFrame, path: str) -> None:
-    """CSV with a quote before text that a spreadsheet would run as a formula."""
+def csv_guarded(df: DataFrame) -> DataFrame:
+    """df with a quote before text that a spreadsheet would run as a formula."""
     from ..functions.text import formula_guard
 
     guarded: list[Column] = [formula_guard(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name) for f in df.schema]
-    df.select(*guarded).write.mode("overwrite").option("header", True).csv(path)
+    return df.select(*guarded)
+
+
+def guarded_csv(df: DataFrame, path: str) -> None:
+    """CSV with the formula guard."""
+    csv_guarded(df).write.mode("overwrite").option("header", True).csv(path)

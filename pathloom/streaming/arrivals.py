@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.storage import exists
 from ..operators import judging, ngrams
 from ..sources import graphs
 
@@ -57,14 +58,20 @@ def analysed(samples: DataFrame, analyse: Callable[[str], str], attempts: int =
 
 
 def judge_arrivals(inputs: DataFrame, saved_path: str, judge: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Judges what has no saved success for the same input and protocol; the rest is resumed."""
-    saved_schema = "sample_id string, input_hash string, protocol_hash string, status string"
+    """Judges what has no saved success for the same input and protocol; the rest is resumed. Results are appended, never overwritten, and
+    every batch reads all of them: a batch that is repeated, a restart, and a new checkpoint over the same folder find what is done."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        before = spark.read.schema(saved_schema + ", arrival int").option("basePath", saved_path).parquet(f"{saved_path}/arrival=*") if number else spark.createDataFrame([], saved_schema)
-        before = before.filter(F.lit(True) if not number else F.col("arrival") < number).select("sample_id", "input_hash", "protocol_hash", "status")
+        before = saved_results(rows.sparkSession, saved_path)
         todo = judging.resume(rows, before).filter("action = 'run'").drop("action")
-        judge(todo).write.mode("overwrite").parquet(f"{saved_path}/arrival={number}")
+        judge(todo).write.mode("append").parquet(saved_path)
 
     return inputs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def saved_results(spark: SparkSession, path: str) -> DataFrame:
+    """sample_id, input_hash, protocol_hash and status of everything saved under path; none if nothing is."""
+    schema = "sample_id string, input_hash string, protocol_hash string, status string"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

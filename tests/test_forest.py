@@ -57,3 +57,36 @@ def test_depth_limit_search_and_out_of_fold(fitted):
 def test_rules_text(fitted):
     _, model = fitted
     assert "feature" in fo.tree_rules(model, depth=2)
+
+
+def test_saved_forests_come_back(spark, fitted, tmp_path):
+    df, model = fitted
+    fo.save(model, str(tmp_path / "m"))
+    back = fo.load(str(tmp_path / "m"), 4)
+    score = lambda m: [r["score"] for r in fo.probabilities(m, df).orderBy("sample").collect()]
+    assert score(back) == score(model)
+    with pytest.raises(ValueError):
+        fo.load(str(tmp_path / "m"), 5)
+
+
+def test_refit_with_fixed_threshold(spark, fitted):
+    df, _ = fitted
+    train, test = df.filter("sample < 150"), df.filter("sample >= 150")
+    forest = fo.classifier(depth=3, trees=2)
+    scored = fo.refitted(train, test, forest, 0.3).collect()
+    assert len(scored) == 50 and all((r["score"] >= 0.3) == (r["y_pred"] == 1) and r["y_true"] == r["label"] for r in scored)
+    with pytest.raises(ValueError):
+        fo.refitted(train, test.filter("label = 0"), forest, 0.3)
+    wider = spark.createDataFrame([(1, 0, Vectors.dense([0.0] * 5)), (2, 1, Vectors.dense([1.0] * 5))], ["sample", "label", "vector"])
+    with pytest.raises(ValueError):
+        fo.refitted(train, wider, forest, 0.3)
+
+
+def test_sparse_rows_keep_their_entries(spark):
+    rng = random.Random(4)
+    rows = [(i, i % 2, Vectors.sparse(1000, {7: rng.random() + i % 2, 500: rng.random()})) for i in range(60)]
+    df = spark.createDataFrame(rows, ["sample", "label", "vector"])
+    model = fo.classifier(depth=3, trees=5).fit(df)
+    total = {r[0]: r[1] for r in fo.contributions(model, df, "sample").groupBy("sample").sum("shap_value").collect()}
+    assert all(math.isclose(total[r["sample"]], r["score"], abs_tol=1e-9) for r in fo.probabilities(model, df).collect())
+    assert "weights: [" in fo.tree_rules(model, names={7: "mov add"})

@@ -30,7 +30,7 @@ def test_names_guards_pointers(spark):
     assert one(spark, tx.ngram_items(F.col("c0")), "  a \t b ") == ["a", "b"]
     assert tx.json_pointer('{"a": [{"b/c": "x"}]}', "/a/0/b~1c") == "x"
     assert tx.json_pointer('{"a": 1}', "/b") is None
-    assert tx.duration(3723) == "1h 02m 03s"
+    assert [tx.duration(s) for s in (3723, 3600, 123, 59.9, 0, -5)] == ["1h 02m", "1h 00m", "2m 03s", "59s", "0s", "0s"]
     assert tx.display(None) == "N/A" and tx.display(0.5) == "0.5000"
     assert "&lt;" in tx.html_table(["a"], [{"a": "<"}])
     assert tx.markdown_table(["a"], [{"a": 1}]).endswith("| 1 |")
