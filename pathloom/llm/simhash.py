@@ -15,7 +15,7 @@ Groups are the connected components of the links; each is named by its smallest
 
 ``similar_texts`` is for a filtering stage, which takes five-word shingles and a similarity of 0.8. Fingerprints of such pairs lie
 up to some fifteen bits apart, so anchors give the first candidates and an exact prefix-filtered join of the shingle sets the
-rest; every candidate is verified on the whole sets.
+rest; bitmaps of the sets rule out most candidates that only share a passage, and what is left is verified on the whole sets.
 
 Edge cases: a null text has no words; texts without words have fingerprint 0 and are linked like any other; a
 null id never names a group unless all ids of it are null; repeated rows have one fingerprint and one
@@ -274,26 +274,42 @@ def unpack_rows(blob: bytes) -> list[np.ndarray]:
     return found
 
 
+def parity_bits(found: np.ndarray) -> bytes:
+    """A set's bitmap, some two bits an element: a bit is 1 if an odd number of elements falls on it. Where two bitmaps differ,
+    the sets do, so the bits that differ are never more than the elements that do."""
+    width = max(64, 1 << (2 * len(found) - 1).bit_length()) if len(found) else 64
+    odd = np.bincount((found % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """How many elements two sets differ in at least, by their bitmaps. The longer one is folded to the length of the other."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(_BITS[x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)].sum())
+
+
 def signatures(texts: DataFrame, shingle: int, similarity: float, order: Order) -> DataFrame:
-    """For each text (node, text) its fingerprint (node, fp), and for each owner the rows (token, node, size of the set, place in the
+    """For each text (node, text) its fingerprint, the size of its set and the set's bitmap (node, fp, size, bits), and for each owner the rows (token, node, size of the set, place in the
     order) of the prefixes of a batch of texts, packed (owner, rows). One pass cuts the shingles for both."""
     bounded_batches(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(order)  # of bounded size
-    schema = pa.schema([("owner", pa.int32()), ("rows", pa.binary()), ("node", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("owner", pa.int32()), ("rows", pa.binary()), ("node", pa.int64()), ("fp", pa.int64()), ("size", pa.int32()), ("bits", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            prints, sizes, cut = [], [], []
+            prints, sizes, bits, cut = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes = shingle_hashes(shingles(text, shingle), 42)
                 found = np.unique(hashes)
                 prints.append(majority(hashes))
                 sizes.append(len(found))
+                bits.append(parity_bits(found))
                 cut.append(known.prefix(found, similarity))
             empty = pa.nulls(len(nodes))
-            yield pa.record_batch([empty.cast(pa.int32()), empty.cast(pa.binary()), pa.array(nodes), pa.array(np.array(prints, np.uint64).view(np.int64))], schema=schema)
+            prints = pa.array(np.array(prints, np.uint64).view(np.int64))
+            yield pa.record_batch([empty.cast(pa.int32()), empty.cast(pa.binary()), pa.array(nodes), prints, pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], schema=schema)
             counts = np.array([len(t) for t, _ in cut], np.int64)
             row = np.repeat(np.arange(len(nodes)), counts)
             tokens, salts = np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in cut]]), np.concatenate([np.zeros(0, np.int64), *[s for _, s in cut]])
@@ -306,10 +322,10 @@ def signatures(texts: DataFrame, shingle: int, similarity: float, order: Order)
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                 at = by_owner[a:b]
                 blobs.append(pack_rows(tokens[at] >> _CUT, nodes[row[at]], np.array(sizes, np.int32)[row[at]], places[at]))
-            none = pa.nulls(len(blobs), pa.int64())
-            yield pa.record_batch([pa.array(owner[by_owner[bounds[:-1]]].astype(np.int32)), pa.array(blobs, pa.binary()), none, none], schema=schema)
+            none = [pa.nulls(len(blobs), schema.field(k).type) for k in range(2, 6)]
+            yield pa.record_batch([pa.array(owner[by_owner[bounds[:-1]]].astype(np.int32)), pa.array(blobs, pa.binary()), *none], schema=schema)
 
-    return texts.select("node", "text").mapInArrow(run, "owner int, rows binary, node long, fp long")
+    return texts.select("node", "text").mapInArrow(run, "owner int, rows binary, node long, fp long, size int, bits binary")
 
 
 _STAR = "token long, lead long, lead_size int, lead_place int, node long, size int, place int"
@@ -353,6 +369,23 @@ def _possible(similarity: float, a: str, b: str) -> Column:
     return (F.least(*sizes) >= similarity * F.greatest(*sizes)) & (room >= overlap)
 
 
+def plausible(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) without those whose bitmaps tell that their sets (marks: node, size, bits) differ in too many elements. Of sets that
+    share a passage alone this rules out nearly all, for a fraction of what the sets weigh, and never one that is similar."""
+    bounded_batches(pairs.sparkSession)
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(2).to_numpy(zero_copy_only=False) + batch.column(4).to_numpy(zero_copy_only=False)
+            both = zip(sizes, batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([least_difference(x, y) <= share * n + 1e-9 for n, x, y in both], pa.bool_()))
+
+    known = pairs.select("a", "b").join(marks.toDF("a", "a_size", "a_bits"), "a").join(marks.toDF("b", "b_size", "b_bits"), "b")
+    # rows that share an id may give a pair more than once
+    return known.select("a", "b", "a_size", "a_bits", "b_size", "b_bits").mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of at least similarity."""
     bounded_batches(texts.sparkSession)
@@ -408,7 +441,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stars = written(stars, "simhash-stars")
     first = stars.filter("possible").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     first = written(close.unionByName(same).unionByName(first).distinct(), "simhash-candidates")
-    groups = components(similar_pairs(texts, first, shingle, similarity))
+    marks = signed.filter("rows IS NULL").select("node", "size", "bits")
+    likely = written(plausible(first, marks, similarity), "simhash-likely")
+    groups = components(similar_pairs(texts, likely, shingle, similarity))
 
     fell = written(_apart(stars.select("lead", "node"), groups, "lead", "node"), "simhash-apart")
     n = fell.count()
@@ -422,7 +457,8 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a, b = (ends.toDF("token", *[f"{end}_{c}" for c in ("node", "size", "place", "of")]) for end in "ab")
     rest = a.join(b, "token").filter("a_node < b_node AND a_of <> b_of").filter(_possible(similarity, "a_", "b_"))
     rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    similar = similar_pairs(texts, written(rest, "simhash-rest"), shingle, similarity)
+    rest = written(plausible(rest, marks, similarity), "simhash-rest")
+    similar = similar_pairs(texts, rest, shingle, similarity)
     known = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     return components(known.unionByName(similar))
 

@@ -90,3 +90,16 @@ def test_members_of_one_fingerprint_are_compared_by_their_own_texts(spark):
     one, two, three = (simhash.fingerprint(t, 5) for _, t in rows)
     assert one == two and (one ^ three).bit_count() > 7 and brute_kept(rows) == {1, 2}
     assert kept(spark, rows) == {1, 2}
+
+
+def test_bitmaps_never_rule_out_a_similar_pair():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    for size, other in ((0, 0), (1, 1), (40, 50), (300, 330), (3000, 2600), (700, 5)):
+        for shared in (0, min(size, other) // 2, min(size, other)):
+            common = rng.integers(0, 1 << 63, shared).astype(np.uint64)
+            a, b = (np.concatenate([common, rng.integers(0, 1 << 63, n - shared).astype(np.uint64)]) for n in (size, other))
+            differ = len(set(a.tolist()) ^ set(b.tolist()))
+            least = simhash.least_difference(simhash.parity_bits(a), simhash.parity_bits(b))
+            assert least <= differ and (differ == 0 or least > 0.2 * differ or size / 100 > other)
