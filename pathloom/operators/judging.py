@@ -10,7 +10,7 @@ from ..functions.text import cited_names, finite
 # Tolerances of shown SHAP values, rating dimensions and finding categories.
 TOLERANCE, SLACK = 5e-7, 1e-12
 DIMENSIONS = ("technical_accuracy", "coherence", "cybersecurity_relevance", "actionable_utility")
-TIERS = ("high-confidence", "low-confidence", "benign")
+TIERS = ("high-confidence", "low-confidence", "benign", "insufficient-evidence")
 
 
 # The two layouts of an explanation file: a detection report, and an analyser's own result.

@@ -45,6 +45,8 @@ class JudgeOptions:
             value = getattr(self, name)
             if type(value) is not int or value < least:
                 raise ValueError(f"{name} must be a whole number of at least {least}")
+        if not self.thinking and self.effort in ("xhigh", "max"):
+            raise ValueError("without thinking the effort is low, medium or high")
         if self.shap_target_class not in (0, 1) or self.timeout <= 0 or self.shap_tolerance < 0:
             raise ValueError("invalid class, timeout or tolerance")
 
@@ -132,25 +134,57 @@ def truncated(finish_reason: Column, done: Column, output_tokens: Column, max_to
     return F.coalesce(stated, F.lit(False)) | F.coalesce(~done, F.lit(False)) | F.coalesce(output_tokens >= max_tokens, F.lit(False))
 
 
+# The text of a prompt, on whose wording answers depend. Before and after the evidence; the system's part.
+PROMPT_INTRODUCTION = """ most influential features (assembly mnemonic n-gram sequences) that drove the Random Forest prediction, ranked by absolute SHAP contribution. For each n-gram, the relative frequency in the binary, the SHAP contribution score, and every function where the n-gram was observed are listed.
+
+============================================================
+SHAP EVIDENCE
+============================================================"""
+PROMPT_INSTRUCTIONS = """
+
+============================================================
+ANALYSIS INSTRUCTIONS
+
+Based on the SHAP evidence above, classify this binary into one of three tiers:
+  • high-confidence  — strong evidence of cryptojacking
+  • low-confidence   — some indicators present but inconclusive
+  • benign           — evidence does not support cryptojacking
+
+IMPORTANT: Your analysis must be grounded ONLY in the evidence provided above. Do not reference functions, API calls, or behaviors not present in the evidence. Every claim must be traceable to specific n-grams and SHAP contributions listed above.
+
+Respond with a single JSON object matching this schema:
+{
+  "tier": "<one of: high-confidence, low-confidence, benign>",
+  "explanation": "<detailed paragraph explaining your reasoning, referencing specific n-grams and SHAP contributions from the evidence>",
+  "evidence_analysis": [
+    {
+      "ngram": "<n-gram sequence>",
+      "shap_contribution": <float>,
+      "assessment": "<your interpretation of what this pattern indicates in the context of cryptojacking>"
+    }
+  ],
+  "confidence_score": <float between 0.0 and 1.0>,
+  "key_indicators": ["<indicator 1>", "<indicator 2>"],
+  "recommended_action": "<action recommendation for a malware analyst>"
+}"""
+PROMPT_SYSTEM = "You are an expert malware analyst specializing in cryptojacking detection. You analyze assembly-level evidence from binary executables and produce structured JSON assessments. Output ONLY valid JSON — no markdown fences, no commentary outside the JSON object."
+
+
 def prompts(samples: DataFrame, evidence: DataFrame) -> DataFrame:
     """sample_id and prompt: the forest's verdict and the ranked evidence in fixed lines, then what to answer.
 
     samples: sample_id, binary_name, prediction, probability; evidence: sample_id, rank, ngram, value, shap_value."""
     line = F.concat(
-        F.lit("\nRank "), F.col("rank").cast("string"), F.lit(": "), "ngram", F.lit("\n  Frequency : "), F.format_string("%.6f", "value"),
+        F.lit("\n\nRank "), F.col("rank").cast("string"), F.lit(": "), "ngram", F.lit("\n  Frequency : "), F.format_string("%.6f", "value"),
         F.lit("\n  SHAP      : "), F.format_string("%+.6f", "shap_value"), F.lit(" ("), tx.direction(F.col("shap_value")), F.lit(")"),
     )
     listed = evidence.select("sample_id", "rank", line.alias("line")).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("e"))
     joined = samples.join(listed, "sample_id", "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<rank: int, line: string>>")))
     head = F.concat(
         F.lit("Binary Name: "), "binary_name", F.lit("\nRandom Forest Prediction: MALWARE (class "), F.col("prediction").cast("string"),
-        F.lit(") with probability "), F.format_string("%.4f", "probability"), F.lit(".\n\nTop-"), F.size("e").cast("string"), F.lit(" n-grams by absolute SHAP contribution:"),
-    )
-    ask = (
-        "\n\nUse this evidence only. Choose a tier: " + ", ".join(tx.TIERS) + ".\nAnswer with one JSON object with the keys tier, explanation, evidence_analysis, "
-        "confidence_score, key_indicators and recommended_action."
+        F.lit(") with probability "), F.format_string("%.4f", "probability"), F.lit(".\n\nThe following are the Top-"), F.size("e").cast("string"), F.lit(PROMPT_INTRODUCTION),
     )
-    return joined.select("sample_id", F.concat(head, F.lit("\n"), F.array_join(F.transform("e", lambda x: x["line"]), "\n"), F.lit(ask)).alias("prompt"))
+    return joined.select("sample_id", F.concat(head, F.array_join(F.transform("e", lambda x: x["line"]), ""), F.lit(PROMPT_INSTRUCTIONS)).alias("prompt"))
 
 
 def run_states(attempts: DataFrame, most_errors: int = 3) -> DataFrame:

@@ -765,10 +765,9 @@ def batch_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {fx.CONTRIBUTIONS}, e AS (
-  SELECT vec_id, string_agg(chr(10) || 'Rank ' || rank::VARCHAR || ': ' || ngram || chr(10) || '  Frequency : ' || printf('%.6f', 0.25) || chr(10) || '  SHAP      : ' || printf('%+.6f', (feature_id - 32) / 64.0::DOUBLE) || ' (' || CASE WHEN feature_id > 32 THEN 'toward cryptojacking' ELSE 'toward benign' END || ')', chr(10) ORDER BY rank) AS lines, count(*) AS n
+  SELECT vec_id, string_agg(chr(10) || chr(10) || 'Rank ' || rank::VARCHAR || ': ' || ngram || chr(10) || '  Frequency : ' || printf('%.6f', 0.25) || chr(10) || '  SHAP      : ' || printf('%+.6f', (feature_id - 32) / 64.0::DOUBLE) || ' (' || CASE WHEN feature_id > 32 THEN 'toward cryptojacking' ELSE 'toward benign' END || ')', '' ORDER BY rank) AS lines, count(*) AS n
   FROM tk WHERE rank <= 3 GROUP BY vec_id
-) SELECT vec_id AS sample_id, 'Binary Name: v' || vec_id::VARCHAR || chr(10) || 'Random Forest Prediction: MALWARE (class 1) with probability 0.7500.' || chr(10) || chr(10) || 'Top-' || n::VARCHAR || ' n-grams by absolute SHAP contribution:' || chr(10) || lines
-|| chr(10) || chr(10) || 'Use this evidence only. Choose a tier: high-confidence, low-confidence, benign.' || chr(10) || 'Answer with one JSON object with the keys tier, explanation, evidence_analysis, confidence_score, key_indicators and recommended_action.' AS prompt FROM e""")
+) SELECT vec_id AS sample_id, 'Binary Name: v' || vec_id::VARCHAR || chr(10) || 'Random Forest Prediction: MALWARE (class 1) with probability 0.7500.' || chr(10) || chr(10) || 'The following are the Top-' || n::VARCHAR || '{rp.PROMPT_INTRODUCTION}' || lines || '{rp.PROMPT_INSTRUCTIONS}' AS prompt FROM e""")
 def prompt_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = ft.top_contributions(fx.contributions(spark, sf_dir), "vec_id", 3)
     evidence = top.select(F.col("vec_id").alias("sample_id"), "rank", "ngram", F.lit(0.25).alias("value"), ((F.col("feature_id") - 32) / 64.0).alias("shap_value"))
