@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from pathloom.plans import catalogue
+from pathloom.plans import catalogue, checks  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
