@@ -101,6 +101,32 @@ def read_matrix(spark: SparkSession, path: str, split: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("split") == split)
 
 
+def write_split(matrix: DataFrame, labels: DataFrame, features: int, path: str) -> None:
+    """A matrix and its labels (split, batch_number, row_index_in_batch, label) side by side, each by split and batch, with the number of
+    features beside every label."""
+    write_matrix(matrix, f"{path}/features")
+    labelled = labels.select("split", "batch_number", "row_index_in_batch", "label", F.lit(features).alias("n_features"))
+    labelled.repartition("split", "batch_number").write.mode("overwrite").partitionBy("split", "batch_number").parquet(f"{path}/labels")
+
+
+def load_split(spark: SparkSession, path: str, split: str) -> tuple[DataFrame, DataFrame, int]:
+    """(matrix entries, labels, number of features) of a written split. Refused: no labels, batches with different numbers of features, a
+    row with two labels, entries beyond the features, and entries of a row or batch without a label. A row without entries is all zeros."""
+    matrix = read_matrix(spark, f"{path}/features", split)
+    labels = read_matrix(spark, f"{path}/labels", split)
+    widths = [r[0] for r in labels.select("n_features").distinct().limit(3).collect()]
+    if len(widths) != 1:
+        raise ValueError(f"the batches of {split} have {sorted(widths) or 'no'} features")
+    key = ["batch_number", "row_index_in_batch"]
+    twice = labels.groupBy(*key).count().filter("count > 1").limit(1).count()
+    beyond = matrix.filter((F.col("feature_id") < 0) | (F.col("feature_id") >= widths[0])).limit(1).count()
+    lost = matrix.join(labels, key, "left_anti").limit(1).count()
+    for bad, why in ((twice, "a row has two labels"), (beyond, "an entry is beyond the features"), (lost, "a row of the matrix has no label")):
+        if bad:
+            raise ValueError(f"{split}: {why}")
+    return matrix, labels.drop("n_features"), widths[0]
+
+
 def read_strict_json(spark: SparkSession, path: str) -> DataFrame:
     """path, text and valid: one JSON object a file, byte order mark allowed, repeated keys not."""
     from ..functions.text import valid_json

@@ -184,3 +184,17 @@ def test_written_tables_are_released(spark):
     made, storage._MADE[spark.sparkContext.applicationId] = storage._MADE[spark.sparkContext.applicationId], [str(folder)]
     assert storage.release(spark) == 1 and not folder.exists() and not storage.exists(spark, str(folder))
     storage._MADE[spark.sparkContext.applicationId] = made
+
+
+def test_splits_load_only_if_they_fit(spark, tmp_path):
+    cells = spark.createDataFrame([("train", 0, 0, 1, 0.5), ("train", 1, 0, 2, 0.25), ("test", 0, 0, 1, 1.0)], "split string, batch_number int, row_index_in_batch int, feature_id long, value float")
+    labels = spark.createDataFrame([("train", 0, 0, 1), ("train", 0, 1, 0), ("train", 1, 0, 1), ("test", 0, 0, 0)], "split string, batch_number int, row_index_in_batch int, label int")
+    src.write_split(cells, labels, 3, str(tmp_path / "a"))
+    matrix, y, n = src.load_split(spark, str(tmp_path / "a"), "train")
+    assert (matrix.count(), y.count(), n) == (2, 3, 3)
+    for bad_cells, bad_labels, width in ((cells, labels, 2), (cells, labels.filter("batch_number = 0"), 3), (cells, labels.unionByName(labels), 3)):
+        src.write_split(bad_cells, bad_labels, width, str(tmp_path / "b"))
+        with pytest.raises(ValueError):
+            src.load_split(spark, str(tmp_path / "b"), "train")
+    with pytest.raises(ValueError):
+        src.load_split(spark, str(tmp_path / "a"), "none")

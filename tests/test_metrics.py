@@ -64,3 +64,13 @@ def test_numbering_over_ranges(spark):
     down = sorted(values, reverse=True)
     assert totals == dict(zip(down, np.cumsum(down).tolist(), strict=True))
     assert numbered(df.filter("v < 0"), [F.col("v")], "id").count() == 0
+
+
+def test_numbers_whatever_the_columns_are_called(spark):
+    names = ["range", "size", "AT", "offset", "rank", "in_g", "v", "g"]
+    df = spark.createDataFrame([(1, 2, 3, 4, 5, 6, i, i % 2) for i in range(20)], names)
+    got = numbered(df, [F.col("v")], "rank", ("g",))
+    assert got.columns == ["range", "size", "AT", "offset", "in_g", "v", "g", "rank"]
+    assert all(r["rank"] == r["v"] // 2 for r in got.collect())
+    totals = running_totals(df.withColumn("of_t", F.lit(1)), [F.col("v")], {"t": "v"})
+    assert all(r["t"] == r["v"] * (r["v"] + 1) // 2 for r in totals.collect())
