@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbering import free_names
 from ..functions.storage import checkpointed, shared_dir, shuffle_width, written
 
 __all__ = ["bounded_batches", "checkpointed", "discard", "documents", "free_names", "joined_with", "looked_up", "shared_dir", "shuffle_width", "written"]
@@ -14,7 +15,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 #: Rows of a table of keys that may be broadcast; beyond, both sides of a join are shuffled.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def joined_with(rows: DataFrame, few: DataFrame, n: int, on: str | list[str] | list[Column], how: str = "inner") -> DataFrame:
@@ -30,17 +31,6 @@ def looked_up(rows: DataFrame, table: DataFrame, on: list[str], times: str, ofte
     return rows.join(F.broadcast(hot), on).unionByName(others.join(rest, on))
 
 
-def free_names(df: DataFrame, *names: str) -> list[str]:
-    """The names, lengthened until df has no column of that name in any case."""
-    taken, found = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name += "_"
-        taken.add(name.lower())
-        found.append(name)
-    return found
-
-
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
     """Arrow batches hold so many bytes at most, so that a Python worker's memory does not follow the length of the
     texts. A session that has a bound of its own keeps it."""

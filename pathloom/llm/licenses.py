@@ -4,7 +4,7 @@ Built from DataFrame functions alone. A template is the wording of a notice, as
 text, or a window of words across its lines, since notices are wrapped: for a template whose wording has L words, windows are
 twice the first power of 2 from L / ``containment`` on, and start at every such power, so that any run of L /
 containment words lies within one of them. A block meets a template if it holds at least ``containment`` of the
-template's words. The join that finds every such pair:
+template's words, and those that tell it from notices worded alike. The join that finds every such pair:
 
 * frequency order: the templates' words are ranked by the number of lines that hold them, over all
   documents, rarest first (other words cannot contribute to an overlap and are dropped on reading);
@@ -51,30 +51,31 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Wordings of public license notices, openings and whole ones, and the labels they stand for.
-TEMPLATES = (
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+# The labels and wordings of public license notices, openings and whole ones; and, where others are worded alike, the words
+# that tell a notice from them.
+TEMPLATES: tuple[tuple[str, ...], ...] = (
+    ("gpl", "this work is licensed under the gnu general public license version 3", "gnu"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu program"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "lesser"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "affero"),
+    ("apache", "licensed under the apache license version 2 0", "apache"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache"),
     ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("mit", "released under the mit license"),
+    ("mit", "released under the mit license", "mit"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
-    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "organization accompanying"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse"),
+    ("cc-by", "licensed under cc by 4 0", "cc"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "commons"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "nc"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "noncommercial"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "sa"),
     ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("proprietary", "all rights reserved no part of this work may be reproduced without prior written permission"),
@@ -123,13 +124,13 @@ def _all_held(words: list[str]) -> Column:
     return found
 
 
-def template_table(templates: tuple[tuple[str, str], ...], containment: float) -> list[dict]:
-    """template, label, words (distinct), need (words that a block must hold) and step (of its windows)."""
+def template_table(templates: tuple[tuple[str, ...], ...], containment: float) -> list[dict]:
+    """template, label, words (distinct), need (how many of them a block must hold), must (which in any case) and step (of its windows)."""
     table = []
-    for number, (label, wording) in enumerate(templates):
+    for number, (label, wording, *must) in enumerate(templates):
         words = list(dict.fromkeys(wording.split(" ")))
         run = math.ceil(len(wording.split(" ")) / containment - 1e-9)
-        table.append({"template": number, "label": label, "words": words, "step": 1 << (run - 1).bit_length(), "need": math.ceil(containment * len(words) - 1e-9)})
+        table.append({"template": number, "label": label, "words": words, "step": 1 << (run - 1).bit_length(), "need": math.ceil(containment * len(words) - 1e-9), "must": " ".join(must).split()})
     return table
 
 
@@ -142,7 +143,7 @@ def license_scan(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    templates: tuple[tuple[str, ...], ...] = TEMPLATES,
     phrases: dict[str, str] = PHRASES,
     containment: float = 0.8,
 ) -> DataFrame:
@@ -193,9 +194,9 @@ def license_scan(
         t["words"].sort(key=rank.__getitem__)
         size = len(t["words"])
         prefix_rows += [(t["template"], t["step"], size, t["need"], i, w) for i, w in enumerate(_prefix(t["words"], t["need"]))]
-        set_rows.append((t["template"], t["label"], t["words"]))
+        set_rows.append((t["template"], t["label"], t["words"], t["must"]))
     prefixes = spark.createDataFrame(prefix_rows, "template int, t_step int, size int, need int, i int, word string")
-    sets = spark.createDataFrame(set_rows, "template int, label string, t_words array<string>")
+    sets = spark.createDataFrame(set_rows, "template int, label string, t_words array<string>, must array<string>")
 
     # windows by their step; lines are blocks of step 0; few rows with much work each, so their number of tasks is given
     width = shuffle_width(spark)
@@ -217,7 +218,7 @@ def license_scan(
     met = (
         pairs.join(F.broadcast(sets), "template")
         .withColumn("overlap", F.size(F.array_intersect("words", "t_words")))
-        .filter(F.col("overlap") >= F.col("need"))
+        .filter((F.col("overlap") >= F.col("need")) & (F.size(F.array_except("must", "words")) == 0))
         .groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("overlap") / F.col("size")).alias("best"))
     )
     places = F.concat(*[F.col(f"at_{label}") for label in phrases.values()])
@@ -239,13 +240,13 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
 
 
-def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = 0.8) -> str:
+def oracle(templates: tuple[tuple[str, ...], ...] = TEMPLATES, phrases: dict[str, str] = PHRASES, containment: float = 0.8) -> str:
     """Rows by brute force: each line, and each window of a template's step, against each template, each word against each
     phrase."""
-    t_rows = [(t["template"], t["label"], " ".join(t["words"]), t["need"], t["step"]) for t in template_table(templates, containment)]
+    t_rows = [(t["template"], t["label"], " ".join(t["words"]), t["need"], t["step"], " ".join(t["must"])) for t in template_table(templates, containment)]
     return f"""
 WITH t AS (
-  SELECT template, label, string_split(words, ' ') AS tw, need, step FROM (VALUES {_values(t_rows)}) v(template, label, words, need, step)
+  SELECT template, label, string_split(words, ' ') AS tw, need, step, list_filter(string_split(must, ' '), w -> w <> '') AS must FROM (VALUES {_values(t_rows)}) v(template, label, words, need, step, must)
 ), p AS (
   SELECT string_split(phrase, ' ') AS pw, label FROM (VALUES {_values(list(phrases.items()))}) v(phrase, label)
 ), d AS (
@@ -267,9 +268,9 @@ WITH t AS (
 ), x AS (
   SELECT doc_id, step, list_distinct(list_slice(words, start + 1, start + 2 * step)) AS lw FROM cut
 ), m AS (
-  SELECT l.doc_id, t.label, len(list_intersect(l.lw, t.tw)) AS overlap, len(t.tw) AS size FROM l JOIN t ON len(list_intersect(l.lw, t.tw)) >= t.need
+  SELECT l.doc_id, t.label, len(list_intersect(l.lw, t.tw)) AS overlap, len(t.tw) AS size FROM l JOIN t ON len(list_intersect(l.lw, t.tw)) >= t.need AND list_has_all(l.lw, t.must)
   UNION ALL
-  SELECT x.doc_id, t.label, len(list_intersect(x.lw, t.tw)) AS overlap, len(t.tw) AS size FROM x JOIN t ON x.step = t.step AND len(list_intersect(x.lw, t.tw)) >= t.need
+  SELECT x.doc_id, t.label, len(list_intersect(x.lw, t.tw)) AS overlap, len(t.tw) AS size FROM x JOIN t ON x.step = t.step AND len(list_intersect(x.lw, t.tw)) >= t.need AND list_has_all(x.lw, t.must)
 ), best AS (
   SELECT doc_id, max(overlap / size) AS score FROM m GROUP BY doc_id
 ), bl AS (
