@@ -246,7 +246,7 @@ def oracle(templates: tuple[tuple[str, ...], ...] = TEMPLATES, phrases: dict[str
     t_rows = [(t["template"], t["label"], " ".join(t["words"]), t["need"], t["step"], " ".join(t["must"])) for t in template_table(templates, containment)]
     return f"""
 WITH t AS (
-  SELECT template, label, string_split(words, ' ') AS tw, need, step, list_filter(string_split(must, ' '), w -> w <> '') AS must FROM (VALUES {_values(t_rows)}) v(template, label, words, need, step, must)
+  SELECT template, label, string_split(words, ' ') AS tw, need, step, CASE WHEN must = '' THEN []::VARCHAR[] ELSE string_split(must, ' ') END AS must FROM (VALUES {_values(t_rows)}) v(template, label, words, need, step, must)
 ), p AS (
   SELECT string_split(phrase, ' ') AS pw, label FROM (VALUES {_values(list(phrases.items()))}) v(phrase, label)
 ), d AS (

@@ -19,8 +19,9 @@ rest; bitmaps of the sets rule out most candidates that only share a passage, an
 
 Edge cases: a null text has no words; texts without words have fingerprint 0 and are linked like any other; a
 null id never names a group unless all ids of it are null; repeated rows have one fingerprint and one
-group; an empty table gives an empty result; columns other than the id and the text are ignored; fingerprints take ids of
-any type, similar_texts() whole numbers (rows that share one are one node, as similar as the most similar of their texts).
+group; an empty table gives an empty result; columns other than the id and the text are ignored; ids may have any type. In
+similar_texts() ids that are no whole numbers count by their hashes, and rows that share an id are one node, as similar as the most
+similar of their texts.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, free_names, joined_with, looked_up, shuffle_width, written
 from .components import components
@@ -202,9 +204,12 @@ _CUT = np.uint64(24)  # tokens are told apart by 40 bits: what they share by cha
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> Column:
-    """A row's node: its id, or for a row without one a number beyond ids that its text decides."""
+    """A row's node: its id, by its hash if it is no whole number, or for a row without one a number beyond ids that its text
+    decides."""
     unnamed = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).bitwiseAND(F.lit(_UNNAMED - 1)) + F.lit(_UNNAMED)
-    return F.coalesce(F.col(id_col).cast("long"), unnamed)
+    name = F.col(id_col)
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    return F.coalesce(name.cast("long") if whole else F.when(name.isNotNull(), F.xxhash64(name).bitwiseAND(F.lit(_UNNAMED - 1))), unnamed)
 
 
 @dataclass(frozen=True)

@@ -24,8 +24,8 @@ Bytes are compared throughout; hashes only choose anchors and rule out. ``kept``
 so the text that is left is given as bytes.
 
 Edge cases: a null text is empty; texts shorter than a window lose nothing; rows that repeat an id are told apart by
-a hash of their text, and rows that repeat both are the same text, which repeats; null ids pass through; an
-empty table gives an empty result; columns other than the id and the text are ignored.
+a hash of their text, and rows that repeat both are the same text, which repeats; ids may have any type and null ids pass
+through; an empty table gives an empty result; columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -42,12 +42,13 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, discard, shuffle_width, written
 
 GRAM = 32
-#: Texts are worked on in buffers of at most so many bytes (positions have 24 bits).
-BUFFER = 2_000_000
+#: Texts are worked on in buffers of at most so many bytes (positions have 24 bits), whose arrays a processor's cache holds.
+BUFFER = 128_000
 _PLACE = np.uint64((1 << 24) - 1)
 #: What an entry weighs in a run, compressed, about.
 _ENTRY_BYTES = 150
@@ -80,16 +81,30 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+#: The last sorted array and its table of 20-bit prefixes.
+_TABLE: list = [None, None]
+
+
 def _marked(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Which hashes are in the sorted array common: a table of 20-bit prefixes rules out most."""
-    table = np.zeros(1 << 20, bool)
-    table[(common >> np.uint64(44)).astype(np.int64)] = True
-    found = table[(hashes >> np.uint64(44)).astype(np.int64)]
+    """Which hashes are in the sorted array common: a table of prefixes rules out most. The table is kept as long as the
+    same array is asked for."""
+    if _TABLE[0] is not common:
+        table = np.zeros(1 << 20, bool)
+        table[(common >> np.uint64(44)).astype(np.int64)] = True
+        _TABLE[:] = common, table
+    found = _TABLE[1][(hashes >> np.uint64(44)).astype(np.int64)]
     at = np.flatnonzero(found)
-    found[at] = common[np.minimum(np.searchsorted(common, hashes[at]), len(common) - 1)] == hashes[at]
+    found[at] = _held(hashes[at], common)
     return found
 
 
+def _held(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
 def anchors(data: np.ndarray, ends: np.ndarray, least: int, common: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(hash, place, first window, last window) for every anchor of the texts that end at ends; hashes: of all grams,
     if they are known."""
@@ -398,8 +413,9 @@ def _windows(table: np.ndarray, right: np.ndarray, by_left: np.ndarray, left: np
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    given = F.col(id_col).cast("long")
-    return docs.select(F.coalesce(given, F.lit(0)).alias("doc"), F.xxhash64(text, given.isNull()).alias("key"), text.cast("binary").alias("data"), given.alias("id"))
+    given = F.col(id_col)
+    whole = isinstance(docs.schema[id_col].dataType, T.IntegralType)
+    return docs.select(F.coalesce(given.cast("long"), F.lit(0)).alias("doc") if whole else F.xxhash64(given).alias("doc"), F.xxhash64(text, given.isNull()).alias("key"), text.cast("binary").alias("data"), given.alias("id"))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -529,10 +545,7 @@ def _sorted_runs(docs: DataFrame, marks: DataFrame, least: int, shared: Broadcas
                 hashes, place, first, last = anchors(piece, ends, least, common)
                 text = np.searchsorted(ends, place, side="right")
                 mine = np.unique(wanted[wanted_ends[rows[0]] : wanted_ends[rows[-1] + 1]])
-                use = np.zeros(len(hashes), bool)
-                for known in (mine, common):
-                    if len(known):
-                        use |= _marked(hashes, known)
+                use = _held(hashes, mine) | _held(hashes, common)
                 raw = piece.tobytes()
                 begins = np.concatenate([[0], ends[:-1]])
                 owner = (hashes % np.uint64(owners)).astype(np.int64)
@@ -610,17 +623,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_doc = by_doc.select("s_doc", "s_key", F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))).alias("bounds"))
     keyed = _packed(_keyed(docs, id_col, text_col))
     joined = keyed.join(by_doc, (keyed["doc"] == by_doc["s_doc"]) & (keyed["key"] == by_doc["s_key"]), "left").select("id", "data", "bounds")
-    fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    ddl = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
+    ddl = f"id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     if with_kept:
         fields += [("removed", pa.list_(pa.int64())), ("kept", pa.binary())]
         ddl += ", removed array<long>, kept binary"
-    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, data, bounds in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for data, bounds in zip(_unpacked(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 merged: list[int] = []
                 for a, b in zip((bounds or [])[::2], (bounds or [])[1::2], strict=True):
                     if merged and a <= merged[-1]:
@@ -629,9 +641,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         merged += [a, b]
                 cuts = [0, *merged, len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)) if merged else data
-                row = [doc, len(data), len(data) - len(kept), len(merged) // 2, hashlib.sha256(kept).hexdigest()]
+                row = [len(data), len(data) - len(kept), len(merged) // 2, hashlib.sha256(kept).hexdigest()]
                 rows.append(row + [merged, kept] if with_kept else row)
             columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            made = [pa.array(c, kind) for c, (_, kind) in zip(columns, fields, strict=True)]
+            yield pa.record_batch([batch.column(0), *made], names=["id", *[name for name, _ in fields]])
 
     return joined.mapInArrow(run, ddl).withColumnRenamed("id", id_col)

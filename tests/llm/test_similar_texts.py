@@ -103,3 +103,11 @@ def test_bitmaps_never_rule_out_a_similar_pair():
             differ = len(set(a.tolist()) ^ set(b.tolist()))
             least = simhash.least_difference(simhash.parity_bits(a), simhash.parity_bits(b))
             assert least <= differ and (differ == 0 or least > 0.2 * differ or size / 100 > other)
+
+
+def test_ids_of_any_type(spark):
+    rng = random.Random(9)
+    base = prose(rng, 100)
+    df = spark.createDataFrame([("a", base), ("b", base + " more"), ("c", prose(rng, 50)), (None, base + " end")], "doc_id string, text string")
+    left = {r["doc_id"] for r in simhash.keep_one(df).collect()}
+    assert "c" in left and len(left & {"a", "b"}) == 1 and None not in left

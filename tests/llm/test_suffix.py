@@ -123,3 +123,9 @@ def test_groups_come_in_both_orders(monkeypatch):
                     assert a[:n] == b[:n] and (n in (len(a), len(b)) or a[n] != b[n])
             seen += [m for m in members]
         assert len(seen) == len(set(seen))
+
+
+def test_ids_of_any_type(spark):
+    text = "".join(chr(97 + i % 23) for i in range(300))
+    df = spark.createDataFrame([("a", text), ("b", "x" + text), (None, "short")], "doc_id string, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in suffix.remove_repeats(df).collect()} == {("a", 300), ("b", 300), (None, 0)}
