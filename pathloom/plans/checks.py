@@ -17,6 +17,7 @@ from ..sources import fixtures as fx
 from ..sources import graphs as src
 from ..sources import outputs as out
 from ..streaming import arrivals as ar
+from . import catalogue
 from .catalogue import query
 
 
@@ -194,3 +195,15 @@ def metrics_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = out.read_document(spark, path)
     rows = [("accuracy", round(back["classification_report"]["accuracy"]["f1"], 9)), ("true_positives", float(back["true_positives"])), ("support", float(back["classification_report"]["1"]["support"]))]
     return spark.createDataFrame(rows, "label string, value double")
+
+
+@query(f"""WITH RECURSIVE {fx.CFG}, wk(function, block, path, ways) AS (
+  SELECT function, entry_block, [entry_block], []::INT[] FROM eb
+  UNION ALL
+  SELECT w.function, ce.dst, list_append(w.path, ce.dst), list_append(w.ways, ce.pos) FROM wk w JOIN ce ON ce.function = w.function AND ce.src = w.block
+  WHERE NOT list_contains(w.path, ce.dst)
+) SELECT function, (row_number() OVER (PARTITION BY function ORDER BY ways) - 1)::INT AS path_id, path FROM wk w
+WHERE NOT EXISTS (SELECT 1 FROM ce WHERE ce.function = w.function AND ce.src = w.block)""")
+def cfg_path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths are numbered in depth-first order."""
+    return catalogue._paths(spark, sf_dir).select("function", "path_id", "path")
