@@ -21,14 +21,18 @@ def arriving_graphs(spark: SparkSession, path: str, files_per_batch: int = 1000)
 
 
 def count_ngrams(stream: DataFrame, n: int, out: str, checkpoint: str) -> StreamingQuery:
-    """n-gram counts of each arriving binary, appended to out; a batch that is repeated after a failure
-    overwrites what it wrote before."""
+    """n-gram counts of each arriving binary, appended to out. Files that are counted there already are passed over, so a batch
+    that is repeated after a failure, or a new checkpoint over the same folders, counts nothing twice and loses nothing."""
+    columns = "path string, binary string, ngram array<string>, n bigint"
 
     def batch(files: DataFrame, number: int) -> None:
+        if exists(files.sparkSession, out):
+            done = files.sparkSession.read.schema(columns).parquet(out).select("path").distinct()
+            files = files.join(done, "path", "left_anti")
         rows = graphs.instructions(graphs.functions(files))
         grams = ngrams.linear(rows, n, ["path", "binary", "pos"], order="pos_in_function")
         counted = grams.groupBy("path", "binary", "ngram").agg(F.count("*").alias("n"))
-        counted.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        counted.write.mode("append").parquet(out)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -116,6 +116,9 @@ def test_streamed_counts(spark, tmp_path):
         (tmp_path / f"in/{name}.json").write_text(json.dumps(graph_file(name)))
     rows = spark.read.parquet(out)
     assert sorted((r["binary"], " ".join(r["ngram"]), r["n"]) for r in rows.collect()) == [("a", "add ret", 1), ("a", "mov add", 1), ("b", "add ret", 1), ("b", "mov add", 1)]
+    arrivals.count_ngrams(arrivals.arriving_graphs(spark, str(tmp_path / "in")), 2, out, str(tmp_path / "cp2")).awaitTermination(120)  # a new checkpoint
+    counts = {r["binary"]: r["count"] for r in spark.read.parquet(out).groupBy("binary").count().collect()}
+    assert counts == {"a": 2, "b": 2, "c": 2}
 
 
 def test_vocabulary_round_trip(spark, tmp_path):
