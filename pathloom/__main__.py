@@ -32,7 +32,7 @@ def main(args: list[str], environ: dict[str, str]) -> int:
             print(f"{status}: {n}")
         if given.report:
             runner.export(spark, given.input, given.output, options, rubric, given.report, given.limit)
-        return calls.exit_code(counts)
+        return calls.exit_code(counts, "not_attempted_interrupted" in counts)
     except KeyboardInterrupt:
         return calls.exit_code({}, interrupted=True)
     except (ValueError, TypeError, OSError) as e:

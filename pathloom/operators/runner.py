@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
 from ..functions.storage import exists, written
 from ..sources.graphs import read_strict_json
 from . import calls, judging, reports
@@ -57,9 +58,12 @@ def judged(inputs: DataFrame, saved: DataFrame, protocol: str) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("form", "verdict")], *[F.col("form.scores")[d].alias(d) for d in judging.DIMENSIONS])
 
 
-def run_batch(spark: SparkSession, inputs: str, output: str, options: JudgeOptions, rubric: calls.Rubric, send: Callable[[dict], dict], limit: int | None = None, dry_run: bool = False, delay: float = 1.0) -> dict[str, int]:
+def run_batch(spark: SparkSession, inputs: str, output: str, options: JudgeOptions, rubric: calls.Rubric, send: Callable[[dict], dict], limit: int | None = None, dry_run: bool = False, delay: float = 1.0, chunk: int = 1000) -> dict[str, int]:
     """Judges the files under inputs that have no saved success, appends to output/results, and returns how many have which status. A folder of
-    results made under another protocol is refused, so that protocols are never mixed. dry_run: nothing is asked."""
+    results made under another protocol is refused, so that protocols are never mixed. dry_run: nothing is asked.
+
+    Samples are judged and saved in chunks, one after another. After a chunk that stopped (a fatal refusal, or errors in a row) the rest is
+    not_attempted_batch_stopped, after an interruption not_attempted_interrupted; what was saved stays, and another run goes on from there."""
     if output.rstrip("/") == inputs.rstrip("/") or output.startswith(inputs.rstrip("/") + "/"):
         raise ValueError("the output must lie outside the input folder")
     protocol, path = calls.protocol_hash(options, rubric), f"{output.rstrip('/')}/results"
@@ -67,11 +71,23 @@ def run_batch(spark: SparkSession, inputs: str, output: str, options: JudgeOptio
     if saved.filter(F.col("protocol_hash") != protocol).limit(1).count():
         raise ValueError("options or rubric have changed: use another output folder")
     rows = prepared(spark, inputs, limit)
+    pending = "input_ready"
     if not dry_run:
         ready = rows.filter("item IS NOT NULL").withColumn("input_hash", F.sha2("item", 256)).withColumn("protocol_hash", F.lit(protocol))
-        todo = judging.resume(ready, saved).filter("action = 'run'")
-        calls.evaluate_all(todo, options, rubric, send, delay).write.mode("append").parquet(path)
-    return {r["status"]: r["n"] for r in judging.status_counts(judged(rows, results(spark, path), protocol)).collect()}
+        todo = written(numbered(judging.resume(ready, saved).filter("action = 'run'").select("sample_id", "item"), [F.col("sample_id")], "pos"), "judge-todo")
+        for first in range(0, todo.count(), chunk):
+            part = todo.filter((F.col("pos") >= first) & (F.col("pos") < first + chunk))
+            try:
+                found = written(calls.evaluate_all(part, options, rubric, send, delay), "judge-chunk")
+                found.write.mode("append").parquet(path)
+            except KeyboardInterrupt:
+                pending = "not_attempted_interrupted"
+                break
+            if found.filter("fatal OR status = 'not_attempted_batch_stopped'").limit(1).count():
+                pending = "not_attempted_batch_stopped"
+                break
+    done = judged(rows, results(spark, path), protocol).withColumn("status", F.when(F.col("status") == "input_ready", pending).otherwise(F.col("status")))
+    return {r["status"]: r["n"] for r in judging.status_counts(done).collect()}
 
 
 def summary_tables(done: DataFrame) -> dict[str, DataFrame]:

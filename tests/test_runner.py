@@ -75,3 +75,27 @@ def test_command_line(spark, folder, capsys):
     assert cli.main([given, out, "--dry-run"], {"JUDGE_MODEL": "m"}) == 1  # rejected inputs
     assert cli.main([given, out], {"JUDGE_MODEL": "m"}) == 1 and "JUDGE_API_KEY" in capsys.readouterr().err
     assert cli.main([given, out, "--dry-run", "--limit", "0"], {"JUDGE_MODEL": "m"}) == 1
+
+
+def test_chunks_are_saved_one_by_one(spark, folder, monkeypatch):
+    given, out = str(folder / "in"), str(folder / "out")
+    go = lambda send: {k: v for k, v in ru.run_batch(spark, given, out, OPTIONS, ca.Rubric(), send, chunk=1).items() if "error" not in k or k == "judge_error"}
+    ids = sorted(r["sample_id"] for r in ru.prepared(spark, given).filter("item IS NOT NULL").collect())
+    asked, real = [], ca.evaluate_all
+
+    def interrupted(*args, **more):
+        asked.append(1)
+        if len(asked) == 2:
+            raise KeyboardInterrupt
+        return real(*args, **more)
+
+    monkeypatch.setattr(ca, "evaluate_all", interrupted)
+    assert go(judge()) == {"success": 1, "not_attempted_interrupted": 2, "duplicate_input": 1}
+    monkeypatch.setattr(ca, "evaluate_all", real)
+
+    def refuse(body):
+        raise ca.ProviderError("no", 401)
+
+    assert go(refuse) == {"success": 1, "judge_error": 1, "not_attempted_batch_stopped": 1, "duplicate_input": 1}
+    assert go(judge(fail={ids[2]})) == {"success": 2, "judge_error": 1, "duplicate_input": 1}
+    assert go(judge()) == {"success": 3, "duplicate_input": 1}
