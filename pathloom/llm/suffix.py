@@ -398,7 +398,7 @@ def _windows(table: np.ndarray, right: np.ndarray, by_left: np.ndarray, left: np
             group = np.cumsum(right < least - offset) * (n + 1)
             if offset:
                 group[by_left] += np.cumsum(left < offset)
-            _, group = np.unique(group[on], return_inverse=True)
+            group = pd.factorize(group[on])[0]
             times = np.bincount(group) + np.bincount(group, many[on]).astype(np.int64)
             now[on] = times[group] > 1
         close(np.flatnonzero(before & ~now), offset - 1)
