@@ -23,12 +23,13 @@ def joined_with(rows: DataFrame, few: DataFrame, n: int, on: str | list[str] | l
     return rows.join(F.broadcast(few) if n <= BROADCAST_ROWS else few, on, how)
 
 
-def looked_up(rows: DataFrame, table: DataFrame, on: list[str], times: str, often: int) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], times: str, often: int, shuffled: bool = False) -> DataFrame:
     """rows joined with a table whose column ``times`` tells how many of them meet each of its rows. Those that more than
-    ``often`` meet are few and broadcast, so that no task gets all the rows of one key."""
+    ``often`` meet are few and broadcast, so that no task gets all the rows of one key. shuffled: the rest is never broadcast, however
+    small its compressed files are."""
     hot, rest = table.filter(F.col(times) > often), table.filter(F.col(times) <= often)
     others = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).unionByName(others.join(rest, on))
+    return rows.join(F.broadcast(hot), on).unionByName(others.join(rest.hint("merge") if shuffled else rest, on))
 
 
 def bounded_batches(spark: SparkSession, most: str = "8m") -> None:

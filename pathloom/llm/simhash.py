@@ -172,7 +172,8 @@ def _meetings(distinct: DataFrame, searches: tuple[Search, ...], threshold: int,
 
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
     residents, visitors = placed(True, "a", "anchor"), placed(False, "b", "at")
-    return residents.join(visitors, (F.col("anchor") == F.col("at")) & near).drop("anchor", "at")
+    # Spark takes both for as small as the file of fingerprints, which the copies are many times of: neither may be broadcast
+    return residents.join(visitors.hint("merge"), (F.col("anchor") == F.col("at")) & near).drop("anchor", "at")
 
 
 def fingerprint_links(distinct: DataFrame, threshold: int = 3, searches: tuple[Search, ...] = HALVES) -> DataFrame:
@@ -191,7 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = members.filter("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("nodes"))
     linked = looked_up(members.filter("root IS NOT NULL"), smallest, ["root"], "nodes", often).select("fp", "times", F.coalesce("least", "first").alias("component_id"))
     alone = members.filter("root IS NULL").select("fp", "times", F.col("first").alias("component_id"))
-    return looked_up(found, linked.unionByName(alone), ["fp"], "times", often).select(
+    return looked_up(found, linked.unionByName(alone), ["fp"], "times", often, shuffled=True).select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

@@ -5,6 +5,7 @@ import pytest
 import xxhash
 
 from pathloom.llm import components, simhash
+from pyspark.sql import functions as F
 
 
 def brute_fingerprint(text):
@@ -118,3 +119,11 @@ def test_components_of_chains_stars_and_cycles(spark):
     hub = spark.range(1, 30_001).selectExpr("0 AS a", "id AS b")  # its centre has more neighbours than are dealt by key
     found = components.components(hub).selectExpr("count(*) AS n", "max(root) AS root").first()
     assert (found["n"], found["root"]) == (30_001, 0)
+
+
+def test_copies_of_fingerprints_are_never_broadcast(spark, tmp_path):
+    spark.range(20_000).select(F.xxhash64("id").alias("fp"), F.col("id").alias("node")).write.parquet(str(tmp_path / "fps"))
+    distinct = spark.read.parquet(str(tmp_path / "fps"))
+    for found in (simhash.fingerprint_links(distinct), simhash._meetings(distinct, simhash.HALVES, 3, ("node",))):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
