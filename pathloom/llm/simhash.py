@@ -387,7 +387,9 @@ def plausible(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFram
             both = zip(sizes, batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True)
             yield batch.select(["a", "b"]).filter(pa.array([least_difference(x, y) <= share * n + 1e-9 for n, x, y in both], pa.bool_()))
 
-    known = pairs.select("a", "b").join(marks.toDF("a", "a_size", "a_bits"), "a").join(marks.toDF("b", "b_size", "b_bits"), "b")
+    # equal bitmaps make small files, so nothing but counted pairs is broadcast
+    known = joined_with(marks.toDF("a", "a_size", "a_bits").hint("merge"), pairs.select("a", "b"), pairs.count(), "a")
+    known = known.join(marks.toDF("b", "b_size", "b_bits").hint("merge"), "b")
     # rows that share an id may give a pair more than once
     return known.select("a", "b", "a_size", "a_bits", "b_size", "b_bits").mapInArrow(run, "a long, b long").distinct()
 
@@ -413,7 +415,8 @@ def similar_pairs(texts: DataFrame, pairs: DataFrame, shingle: int, similarity:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sets = written(joined_with(texts.select("node", "text"), wanted, wanted.count(), "node", "left_semi").mapInArrow(cut, "node long, set binary"), "simhash-sets")
-    both = pairs.select("a", "b").join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b").select("a", "b", "s", "t")
+    # equal sets make small files, so they are never broadcast
+    both = pairs.select("a", "b").join(sets.toDF("a", "s").hint("merge"), "a").join(sets.toDF("b", "t").hint("merge"), "b").select("a", "b", "s", "t")
     return both.mapInArrow(enough, "a long, b long")
 
 
@@ -440,7 +443,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n, rows = nodes.agg(F.count("*"), F.coalesce(F.sum("times"), F.lit(0))).first()
     close = _meetings(nodes, TRIPLES if n > MANY else HALVES, 3, ("node",)).select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
     several = nodes.filter("times > 1").select("fp", F.col("node").alias("a"), "times")
-    same = looked_up(prints, several, ["fp"], "times", max(1000, rows // 1000)).filter("node > a").select("a", F.col("node").alias("b"))
+    same = looked_up(prints, several, ["fp"], "times", max(1000, rows // 1000), shuffled=True).filter("node > a").select("a", F.col("node").alias("b"))
 
     met = token_stars(signed.filter("rows IS NOT NULL").select("owner", "rows"), order)
     stars = met.groupBy("lead", "node").agg(F.max(_possible(similarity, "lead_", "")).alias("possible"))
@@ -455,14 +458,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = fell.count()
     if not n:
         return groups
-    tokens = written(joined_with(met, fell, n, ["lead", "node"], "left_semi").select("token").distinct(), "simhash-tokens")
+    tokens = written(joined_with(met.hint("merge"), fell, n, ["lead", "node"], "left_semi").select("token").distinct(), "simhash-tokens")
     open_ = joined_with(met, tokens, tokens.count(), "token", "left_semi")
     ends = open_.select("token", "node", "size", "place").unionByName(open_.select("token", F.col("lead").alias("node"), F.col("lead_size").alias("size"), F.col("lead_place").alias("place")))
     ends = ends.distinct().join(groups.toDF("g_node", "root"), F.col("node") == F.col("g_node"), "left")
     ends = written(ends.select("token", "node", "size", "place", F.coalesce("root", "node").alias("of")), "simhash-open")
     a, b = (ends.toDF("token", *[f"{end}_{c}" for c in ("node", "size", "place", "of")]) for end in "ab")
     rest = a.join(b, "token").filter("a_node < b_node AND a_of <> b_of").filter(_possible(similarity, "a_", "b_"))
-    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = rest.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    rest = joined_with(rest.hint("merge"), first, first.count(), ["a", "b"], "left_anti")
     rest = written(plausible(rest, marks, similarity), "simhash-rest")
     similar = similar_pairs(texts, rest, shingle, similarity)
     known = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -474,4 +478,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     only in a group where no row has one."""
     (name,) = free_names(docs, "near_node")
     gone = written(similar_texts(docs, id_col, text_col, **options).filter("node <> root").select(F.col("node").alias(name)), "simhash-gone")
-    return joined_with(docs, gone, gone.count(), [_keyed(docs, id_col, text_col) == F.col(name)], "left_anti")
+    return joined_with(docs.hint("merge"), gone, gone.count(), [_keyed(docs, id_col, text_col) == F.col(name)], "left_anti")

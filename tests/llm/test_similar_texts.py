@@ -2,7 +2,8 @@
 
 import random
 
-from pathloom.llm import simhash
+from pathloom.llm import common, simhash
+from pyspark.sql import functions as F
 
 
 def brute_kept(rows, similarity=0.8):
@@ -111,3 +112,15 @@ def test_ids_of_any_type(spark):
     df = spark.createDataFrame([("a", base), ("b", base + " more"), ("c", prose(rng, 50)), (None, base + " end")], "doc_id string, text string")
     left = {r["doc_id"] for r in simhash.keep_one(df).collect()}
     assert "c" in left and len(left & {"a", "b"}) == 1 and None not in left
+
+
+def test_equal_sets_and_bitmaps_are_never_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    text = " ".join(f"word{i}" for i in range(400))
+    spark.range(500).select(F.col("id").alias("node"), F.lit(text).alias("text"), F.lit(396).alias("size"), F.lit(bytes(128)).alias("bits")).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    rows.filter("node > 0").select((F.col("node") * 0).alias("a"), F.col("node").alias("b")).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    for found in (simhash.plausible(pairs, rows.select("node", "size", "bits"), 0.8), simhash.similar_pairs(rows, pairs, 5, 0.8)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == 499
